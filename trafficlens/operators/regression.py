@@ -212,29 +212,30 @@ def _descend(size: Column, extra_intercept: bool) -> Column:
 
 
 def _solve(sums: DataFrame) -> DataFrame:
-    """Gauss-Jordan elimination of the 6x6 normal equations, one projection per pivot."""
-    keep = [*PAGE, "hours", "n", "mean", "sigma"]
-    cells = [
-        F.col(f"a{min(i, j)}{max(i, j)}").alias(f"m{i}{j}") for i in range(6) for j in range(6)
-    ] + [F.col(f"b{i}").alias(f"m{i}6") for i in range(6)]
-    system = sums.select(*keep, *cells)
-    for p in range(6):
+    """Least squares by eliminating the 6x6 normal equations, held as one array of rows of 7."""
+    cells = []
+    for i in range(6):
+        cells += [F.col(f"a{min(i, j)}{max(i, j)}") for j in range(6)] + [F.col(f"b{i}")]
+
+    def eliminate(m: Column, p: Column) -> Column:
         # The matrix is symmetric and positive, so its pivots are positive unless it is singular.
-        pivot = F.when(F.col(f"m{p}{p}") > F.col("n") * 1e-12, F.col(f"m{p}{p}"))
-        system = system.select(
-            *keep,
-            *[(F.col(f"m{i}{j}") if i != p else F.col(f"m{i}{j}") / pivot).alias(f"m{i}{j}")
-              for i in range(6) for j in range(7)],
-        )
-        system = system.select(
-            *keep,
-            *[(F.col(f"m{i}{j}") if i == p
-               else F.col(f"m{i}{j}") - F.col(f"m{i}{p}") * F.col(f"m{p}{j}")).alias(f"m{i}{j}")
-              for i in range(6) for j in range(7)],
-        )
-    named = [F.col(f"m{i}6").alias(name) for i, name in enumerate(WEIGHTS)]
-    solved = system.select(*keep, F.lit(None).cast("double").alias("step_size"), *named)
-    return solved.dropna(subset=list(WEIGHTS))
+        diagonal = F.get(m, p * 8)
+        pivot = F.when(diagonal > F.col("n") * 1e-12, diagonal)
+
+        def cell(value: Column, at: Column) -> Column:
+            row, column = F.floor(at / 7).cast("int"), at % 7
+            scaled = F.get(m, p * 7 + column) / pivot
+            return F.when(row == p, scaled).otherwise(value - F.get(m, row * 7 + p) * scaled)
+
+        return F.transform(m, cell)
+
+    pivots = F.array(*[F.lit(p) for p in range(6)])
+    solved = sums.withColumn("m", F.aggregate(pivots, F.array(*cells), eliminate))
+    named = [F.col("m")[i * 7 + 6].alias(name) for i, name in enumerate(WEIGHTS)]
+    weights = solved.where(F.col("m")[6].isNotNull())
+    return weights.select(
+        *PAGE, "hours", "n", "mean", "sigma", F.lit(None).cast("double").alias("step_size"), *named
+    )
 
 
 def predict(rows: DataFrame, weights: DataFrame) -> DataFrame:
