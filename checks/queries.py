@@ -16,7 +16,7 @@ from trafficlens import configure
 from trafficlens.functions.hours import calendar_fields, hour_number
 from trafficlens.operators import anomalies, filters, regression, scoring, series, stats, windows
 from trafficlens.plans.incremental import new_window_models
-from trafficlens.schema import PAGE, TRAFFIC_FIELDS, WHITELIST_DDL, colocate
+from trafficlens.schema import PAGE, TRAFFIC_FIELDS, WHITELIST_DDL
 from trafficlens.session import scratch_path
 from trafficlens.sinks import write_text
 from trafficlens.sources import (
@@ -308,7 +308,7 @@ def all_anomalies_ranked(spark, sf):
 
 def _lagged(spark, sf):
     # The adapter already gives one row per page and hour.
-    return regression.lagged(colocate(traffic_all(spark, sf)))
+    return regression.lagged(traffic_all(spark, sf))
 
 
 def _sums(spark, sf):

@@ -1,9 +1,10 @@
 """Linear regression of each page's hour on its own past, for all pages at once.
 
-The page is a grouping key throughout. Hours of a page are brought together once
-(:func:`trafficlens.schema.colocate`); lags, sums, weights, residuals and threshold then follow
-without another shuffle. The fit needs only sums over a page's rows, 28 numbers, so iterations
-and grid search run on one row per page.
+The page is a grouping key throughout. The lag window brings the hours of a page together once;
+sums, weights, residuals and threshold then follow in the same partitioning, without another
+shuffle. A page has one row per hour of the calendar at most (:func:`trafficlens.schema.hourly`),
+so even a page holding much of the raw traffic is a small group here. The fit needs only sums
+over a page's rows, 28 numbers, so iterations and grid search run on one row per page.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trafficlens.schema import PAGE, colocate, with_hour_number
+from trafficlens.functions.hours import calendar_fields
+from trafficlens.schema import PAGE, hourly, with_hour_number
 
 LAGS = (1, 2, 3, 24, 48)
 # The step sizes tried by the grid search, in order.
@@ -268,10 +270,7 @@ def page_regression(
     ``unique_hours`` says that the input already has one row per page and hour, which saves a
     shuffle. Options go to :func:`fit`.
     """
-    from trafficlens.functions.hours import calendar_fields
-    from trafficlens.schema import hourly
-
-    rows = lagged(colocate(traffic if unique_hours else hourly(traffic)))
+    rows = lagged(traffic if unique_hours else hourly(traffic))
     weights = fit(enough(page_sums(rows), min_rows), **fit_options)
     found = residuals(predict(rows, weights))
     return found.select(

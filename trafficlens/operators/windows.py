@@ -3,9 +3,9 @@
 Window k covers hours k*step .. k*step + size after the anchor, both ends included; its middle is
 k*step + size div 2. All windows of all pages come from one grouped aggregation: hours are first
 summed into slices of ``step`` hours, each cut at ``size mod step`` into a head and a rest, because
-a window's last slice is covered up to that offset only. A slice part then counts into every
-window that covers it, so at most two rows per page and slice are spread over windows instead of
-every hour.
+a window's last slice is covered up to that offset only. The slice parts of a page, at most two
+per slice of the calendar however many rows it had, then meet in one place and each counts into
+every window that covers it; hours themselves are never copied to windows.
 """
 
 from __future__ import annotations
@@ -74,7 +74,9 @@ def count_windows(last: Column, size: int, step: int, rule: str) -> Column:
 def slices(rows: DataFrame, size: int, step: int, sums: list[Column], keys=()) -> DataFrame:
     """Sum anchored rows into slice parts: columns origin, windows, slice, head and the sums.
 
-    The grouping combines before the shuffle, so repeated rows of a hot page stay small.
+    Rows combine before the first shuffle, which spreads a page over all tasks by slice; only the
+    few parts left are then brought together by page, so spreading them over windows and summing
+    those needs no further shuffle.
     """
     h = F.col("hour_no") - F.col("origin")
     offset = F.pmod(h, F.lit(step))
@@ -84,7 +86,8 @@ def slices(rows: DataFrame, size: int, step: int, sums: list[Column], keys=()) -
         ((h - offset) / step).cast("bigint").alias("slice"),
         (offset <= size % step).alias("head"),
     )
-    return cut.groupBy(*PAGE, "origin", "windows", "slice", "head", *keys).agg(*sums)
+    parts = cut.groupBy(*PAGE, "origin", "windows", "slice", "head", *keys).agg(*sums)
+    return parts.repartition(*PAGE)
 
 
 def covering(size: int, step: int) -> Column:
@@ -214,8 +217,6 @@ def daily_scores(
     parts = slices(
         rows.withColumn("day_no", day), size, step, [*_model_sums(), *extremes], keys=["day_no"]
     )
-    # From here on a page has at most three rows per slice; they meet in one place.
-    parts = parts.repartition(*PAGE)
     counted = F.transform(
         F.coalesce(covering(size, step), F.array().cast("array<bigint>")),
         lambda k: F.struct(k.alias("k"), F.lit(False).alias("own")),

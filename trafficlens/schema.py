@@ -52,11 +52,3 @@ def hourly(traffic: DataFrame) -> DataFrame:
         F.sum("requests").alias("requests"), F.sum("bytes").alias("bytes")
     )
     return with_timestamp(summed).select(*TRAFFIC_FIELDS, "ts")
-
-
-def colocate(hour_rows: DataFrame) -> DataFrame:
-    """Bring each page's hours together once, for all the per-page steps that follow.
-
-    Meant for the output of :func:`hourly` (or input known to hold one row per page and hour).
-    """
-    return hour_rows.repartition(*PAGE)

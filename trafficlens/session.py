@@ -12,9 +12,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Page-partitioned rows also serve joins on (page, window) and (page, day): without
-    # this, such a join shuffles both sides again although each page is already in one place.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

@@ -7,8 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.functions.hours import calendar_fields, hour_number_of
-from trafficlens.schema import TRAFFIC_FIELDS, with_timestamp
+from trafficlens.functions.hours import calendar_fields, hour_number_of, timestamp_of
 
 
 def read_traffic_table(
@@ -27,10 +26,15 @@ def read_traffic_table(
 
 
 def events_as_traffic(events: DataFrame, project: Column, title: Column) -> DataFrame:
-    """Count events into traffic rows: one per (project, title, hour), bytes in cents of value."""
+    """Count events into traffic rows: one per (project, title, hour), bytes in cents of value.
+
+    Keeps hour_no, so that operators need not work it out again.
+    """
     cents = F.round(F.col("value") * 100).cast("bigint")
     counted = events.groupBy(
         project.alias("project"), title.alias("title"), hour_number_of("ts").alias("hour_no")
     ).agg(F.count("*").alias("requests"), F.sum(cents).alias("bytes"))
-    rows = counted.select("project", "title", "requests", "bytes", *calendar_fields("hour_no"))
-    return with_timestamp(rows.select(*TRAFFIC_FIELDS))
+    return counted.select(
+        "project", "title", "requests", "bytes", *calendar_fields("hour_no"),
+        timestamp_of("hour_no").alias("ts"), "hour_no",
+    )
