@@ -169,7 +169,7 @@ def best_step(sums: DataFrame, extra_intercept: bool = False) -> DataFrame:
 
     def ranked(try_: Column) -> Column:
         rss = residual_sum(try_["w"])
-        broken = F.isnan(rss) | (rss == float("inf"))
+        broken = F.isnan(rss) | (F.abs(rss) == float("inf"))
         return F.struct(
             broken.alias("broken"), rss.alias("rss"), try_["i"].alias("i"),
             try_["s"].alias("s"), try_["w"].alias("w"),
