@@ -37,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     windows(job("page-windows", "traffic", "output", "project", "title"))
     regression = job("regression", "traffic", "project", "output")
     regression.add_argument("--grid-search", action="store_true")
+    regression.add_argument("--unique-hours", action="store_true")
     regression.add_argument("--solver", choices=["gd", "ols"], default="gd")
     job("anomalies-per-day", "anomalies").add_argument("--k", type=int, default=5)
     job("top-anomalies", "anomalies").add_argument("--k", type=int)

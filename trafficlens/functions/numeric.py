@@ -13,6 +13,21 @@ def wide(value: Column) -> Column:
     return value.cast("decimal(19,0)")
 
 
+def sum_of_squares(value: Column) -> Column:
+    """Exact sum of x^2 of a bigint, as decimal(38,0).
+
+    Squares that fit a bigint, nearly all, are added up as two bigint halves, several times faster
+    than decimals; larger ones as decimals.
+    """
+    square = F.try_multiply(value, value)
+    low = F.sum(square.bitwiseAND(F.lit(2**32 - 1))).cast(WIDE)
+    high = F.sum(F.shiftright(square, 32)).cast(WIDE)
+    large = F.sum(F.when(square.isNull(), wide(value) * wide(value)))
+    zero = F.lit(0).cast(WIDE)
+    small = F.coalesce(high, zero) * F.lit(2**32).cast("decimal(10,0)") + F.coalesce(low, zero)
+    return (small + F.coalesce(large, zero)).cast(WIDE)
+
+
 def population_variance(n: Column, total: Column, squares: Column) -> Column:
     """(n*sum(x^2) - sum(x)^2) / n^2 with an exact numerator.
 

@@ -48,10 +48,23 @@ def lagged(hours: DataFrame, log_target: bool = False) -> DataFrame:
         (F.col("hour_no") - F.first("hour_no").over(so_far)).alias("hour_id"),
         "y",
         F.first("y").over(so_far).alias("pivot"),
-        *[F.max("y").over(past.rangeBetween(-k, -k)).alias(f"lag{k}") for k in LAGS],
+        *[_hours_before(k, past).alias(f"lag{k}") for k in LAGS],
     )
 
 
+def _hours_before(k: int, past) -> Column:
+    """y of the same page k hours before."""
+    if k > 3:
+        return F.max("y").over(past.rangeBetween(-k, -k))
+    # With one row per hour, the row k hours back is at most k rows back; looking at those few
+    # rows is cheaper than a frame.
+    wanted = F.col("hour_no") - k
+    return F.coalesce(*[
+        F.when(F.lag("hour_no", back).over(past) == wanted, F.lag("y", back).over(past))
+        for back in range(1, k + 1)
+    ])
+
+
 def complete() -> Column:
     """True for hours that have all lags."""
     found = F.col(LAG_NAMES[0]).isNotNull()

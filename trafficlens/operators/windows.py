@@ -16,7 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions.hours import date_of, day_number, hour_number_from, timestamp_of
-from trafficlens.functions.numeric import population_variance, times_deviation, wide
+from trafficlens.functions.numeric import (
+    population_variance,
+    sum_of_squares,
+    times_deviation,
+    wide,
+)
 from trafficlens.operators.stats import time_bounds
 from trafficlens.schema import PAGE, with_hour_number
 
@@ -90,12 +95,21 @@ def slices(rows: DataFrame, size: int, step: int, sums: list[Column], keys=()) -
     return parts.repartition(*PAGE)
 
 
-def covering(size: int, step: int) -> Column:
-    """Numbers of the windows that cover a slice part, as an array (empty or null if none)."""
+def first_window(size: int, step: int) -> Column:
+    """Number of the first window that covers a slice part."""
     whole = size // step
     low = F.when(F.col("head"), F.col("slice") - whole).otherwise(F.col("slice") - whole + 1)
-    low = F.greatest(low, F.lit(0).cast("bigint"))
-    high = F.least(F.col("slice"), F.col("windows") - 1)
+    return F.greatest(low, F.lit(0).cast("bigint"))
+
+
+def last_window() -> Column:
+    """Number of the last window that covers a slice part; below the first if none does."""
+    return F.least(F.col("slice"), F.col("windows") - 1)
+
+
+def covering(size: int, step: int) -> Column:
+    """Numbers of the windows that cover a slice part, as an array, NULL if there is none."""
+    low, high = first_window(size, step), last_window()
     return F.when(low <= high, F.sequence(low, high))
 
 
@@ -110,8 +124,8 @@ def window_models(
 ) -> DataFrame:
     """Mean and population variance of requests and bytes per page and window, n > 1.
 
-    ``drop_zero_variance`` leaves out models in which either variance is 0. Sums are exact for
-    any bigint counts. Input rows are taken as they are: two rows of one hour count as two.
+    ``drop_zero_variance`` leaves out models in which either variance is 0. Squares are summed
+    exactly for any counts; a window's plain totals must fit a bigint. Input rows are taken as they are: two rows of one hour count as two.
     """
     rows = anchored(traffic, anchor, last, size, step, window_count)
     parts = slices(rows, size, step, _model_sums())
@@ -157,10 +171,10 @@ def window_models_builtin(
 def _model_sums() -> list[Column]:
     return [
         F.count("*").alias("n"),
-        F.sum(wide(F.col("requests"))).alias("requests"),
-        F.sum(wide(F.col("bytes"))).alias("bytes"),
-        F.sum(wide(F.col("requests")) * wide(F.col("requests"))).alias("requests_sq"),
-        F.sum(wide(F.col("bytes")) * wide(F.col("bytes"))).alias("bytes_sq"),
+        F.sum("requests").alias("requests"),
+        F.sum("bytes").alias("bytes"),
+        sum_of_squares(F.col("requests")).alias("requests_sq"),
+        sum_of_squares(F.col("bytes")).alias("bytes_sq"),
     ]
 
 
@@ -217,20 +231,25 @@ def daily_scores(
     parts = slices(
         rows.withColumn("day_no", day), size, step, [*_model_sums(), *extremes], keys=["day_no"]
     )
-    counted = F.transform(
-        F.coalesce(covering(size, step), F.array().cast("array<bigint>")),
-        lambda k: F.struct(k.alias("k"), F.lit(False).alias("own")),
+    low, high, own = F.col("first_k"), F.col("last_k"), F.col("own_k")
+    parts = parts.select(
+        "*",
+        first_window(size, step).alias("first_k"),
+        last_window().alias("last_k"),
+        own_window(F.col("day_no"), size, step).alias("own_k"),
     )
-    own = F.array(
-        F.struct(own_window(F.col("day_no"), size, step).alias("k"), F.lit(True).alias("own"))
+    covered = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    # A day's own window nearly always covers it; short windows may leave some of its slices out.
+    targets = F.when(own.isNull() | own.between(low, high), covered).otherwise(
+        F.concat(covered, F.array(own))
     )
-    spread = parts.withColumn("target", F.explode(F.concat(counted, own))).where("target.k is not null")
-    is_own = F.col("target.own")
+    spread = parts.withColumn("k", F.explode(targets))
+    counts, is_own = F.col("k").between(low, high), F.col("k") == own
     sums = [
-        F.sum(F.when(~is_own, F.col(c))).alias(c)
+        F.sum(F.when(counts, F.col(c))).alias(c)
         for c in ("n", "requests", "bytes", "requests_sq", "bytes_sq")
     ]
-    grouped = spread.groupBy(*PAGE, "origin", F.col("target.k").alias("k")).agg(
+    grouped = spread.groupBy(*PAGE, "origin", "k").agg(
         *sums,
         F.max(F.when(is_own, F.col("high"))).alias("high"),
         F.min(F.when(is_own, F.col("low"))).alias("low"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.functions.hours import hour_number, timestamp_of
+from trafficlens.functions.hours import calendar_fields, hour_number, timestamp_of
 
 PAGE = ("project", "title")
 
@@ -47,8 +47,10 @@ def hourly(traffic: DataFrame) -> DataFrame:
     one row per hour of the calendar (8,784 a year) however many input rows it has. Operators
     that keep a page's history together rely on that bound.
     """
-    keys = [*PAGE, "year", "month", "day", "hour"]
-    summed = traffic.groupBy(*keys).agg(
+    summed = with_hour_number(traffic).groupBy(*PAGE, "hour_no").agg(
         F.sum("requests").alias("requests"), F.sum("bytes").alias("bytes")
     )
-    return with_timestamp(summed).select(*TRAFFIC_FIELDS, "ts")
+    return summed.select(
+        *PAGE, "requests", "bytes", *calendar_fields("hour_no"),
+        timestamp_of("hour_no").alias("ts"), "hour_no",
+    )
