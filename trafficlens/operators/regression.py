@@ -65,75 +65,72 @@ def _hours_before(k: int, past) -> Column:
     ])
 
 
+COMPLETE = " AND ".join(f"{name} IS NOT NULL" for name in LAG_NAMES)
+
+
 def complete() -> Column:
     """True for hours that have all lags."""
-    found = F.col(LAG_NAMES[0]).isNotNull()
-    for name in LAG_NAMES[1:]:
-        found = found & F.col(name).isNotNull()
-    return found
+    return F.expr(COMPLETE)
+
+
+# Mean and population deviation of y, from its sums relative to the pivot.
+MOMENTS = (
+    "pivot + s / hours AS mean",
+    "sqrt(greatest(q / hours - (s / hours) * (s / hours), 0D)) AS sigma",
+)
+MOMENT_SUMS = (
+    "count(*) AS hours", "count_if(complete) AS n", "first(pivot) AS pivot",
+    "sum(d0) AS s", "sum(d0 * d0) AS q",
+)
+
+
+def _relative(rows: DataFrame) -> DataFrame:
+    """y and its lags relative to the pivot as d0..d5, and whether all are there."""
+    lags = [f"{name} - pivot AS d{i}" for i, name in enumerate(LAG_NAMES, 1)]
+    return rows.selectExpr(*PAGE, "pivot", f"{COMPLETE} AS complete", "y - pivot AS d0", *lags)
 
 
 def page_moments(rows: DataFrame) -> DataFrame:
     """Mean and population deviation of all hours of each page, and how many have all lags."""
-    d = F.col("y") - F.col("pivot")
-    sums = rows.groupBy(*PAGE).agg(
-        F.count("*").alias("hours"), F.count_if(complete()).alias("n"),
-        F.first("pivot").alias("pivot"), F.sum(d).alias("s"), F.sum(d * d).alias("q"),
-    )
-    return sums.select(*PAGE, "hours", "n", *_moments())
+    sums = _relative(rows).groupBy(*PAGE).agg(*map(F.expr, MOMENT_SUMS))
+    return sums.selectExpr(*PAGE, "hours", "n", *MOMENTS)
 
 
 def page_sums(rows: DataFrame) -> DataFrame:
     """Sums of products of the standardised features and target, one row per page.
 
-    Values are (x - mean) / deviation with the page's own moments. Raw sums are taken relative to
-    the pivot, one of the page's own values, in the same pass that finds the moments, and moved to
-    the mean afterwards; the pivot lies within deviation * sqrt(hours) of the mean, so little is
-    lost to cancellation. Pages with deviation 0 get NULL sums.
+    Values are (x - mean) / deviation with the page's own moments: aij between features i and j,
+    bi between feature i and the target, yy of the target. Raw sums are taken relative to the
+    pivot, one of the page's own values, in the same pass that finds the moments, and moved to the
+    mean afterwards; the pivot lies within deviation * sqrt(hours) of the mean, so little is lost
+    to cancellation. Pages with deviation 0 get NULL sums.
     """
-    use = complete()
-    d = {0: F.col("y") - F.col("pivot")}
-    d.update({i + 1: F.col(name) - F.col("pivot") for i, name in enumerate(LAG_NAMES)})
     products = [
-        F.sum(F.when(use, d[i] * d[j])).alias(f"p{i}{j}") for i in range(6) for j in range(i, 6)
+        f"sum(CASE WHEN complete THEN d{i} * d{j} END) AS p{i}{j}"
+        for i in range(6) for j in range(i, 6)
     ]
-    totals = [F.sum(F.when(use, d[i])).alias(f"t{i}") for i in range(6)]
-    sums = rows.groupBy(*PAGE).agg(
-        F.count("*").alias("hours"), F.count_if(use).alias("n"),
-        F.first("pivot").alias("pivot"), F.sum(d[0]).alias("s"), F.sum(d[0] * d[0]).alias("q"),
-        *products, *totals,
-    )
-    sums = sums.select("*", *_moments(), (F.col("s") / F.col("hours")).alias("shift"))
-    shift, n, sigma = F.col("shift"), F.col("n"), F.col("sigma")
+    totals = [f"sum(CASE WHEN complete THEN d{i} END) AS t{i}" for i in range(6)]
+    sums = _relative(rows).groupBy(*PAGE).agg(*map(F.expr, (*MOMENT_SUMS, *products, *totals)))
+    sums = sums.selectExpr("*", *MOMENTS, "s / hours AS shift")
 
-    def product(i: int, j: int) -> Column:
-        i, j = min(i, j), max(i, j)
-        both = F.col(f"t{i}") + F.col(f"t{j}")
-        return F.try_divide(F.col(f"p{i}{j}") - shift * both + n * shift * shift, sigma * sigma)
+    # d0 is the target, d1..d5 are the features 0..4; feature 5 is the constant.
+    def product(i: int, j: int) -> str:
+        moved = f"p{i}{j} - shift * (t{i} + t{j}) + n * shift * shift"
+        return f"try_divide({moved}, sigma * sigma)"
 
-    def total(i: int) -> Column:
-        return F.try_divide(F.col(f"t{i}") - n * shift, sigma)
+    def total(i: int) -> str:
+        return f"try_divide(t{i} - n * shift, sigma)"
 
     gram = [
-        (product(i + 1, j + 1) if j < 5 else total(i + 1) if i < 5 else n.cast("double"))
-        .alias(f"a{i}{j}")
+        (product(i + 1, j + 1) if j < 5 else total(i + 1) if i < 5 else "double(n)") + f" AS a{i}{j}"
         for i, j in PAIRS
     ]
-    target = [product(0, i + 1).alias(f"b{i}") for i in range(5)] + [total(0).alias("b5")]
-    return sums.select(
-        *PAGE, "hours", "n", "mean", "sigma", *gram, *target, product(0, 0).alias("yy")
+    target = [f"{product(0, i + 1)} AS b{i}" for i in range(5)] + [f"{total(0)} AS b5"]
+    return sums.selectExpr(
+        *PAGE, "hours", "n", "mean", "sigma", *gram, *target, f"{product(0, 0)} AS yy"
     )
 
 
-def _moments() -> list[Column]:
-    hours, s, q = F.col("hours"), F.col("s"), F.col("q")
-    variance = q / hours - (s / hours) * (s / hours)
-    return [
-        (F.col("pivot") + s / hours).alias("mean"),
-        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("sigma"),
-    ]
-
-
 def enough(sums: DataFrame, min_rows: int = 7) -> DataFrame:
     """Pages that can be fitted: at least ``min_rows`` complete hours and a deviation above 0."""
     return sums.where((F.col("n") >= min_rows) & (F.col("sigma") > 0))
@@ -166,101 +163,81 @@ def fit(
     if grid_search:
         tried = best_step(sums, extra_intercept)
     else:
-        w = _descend(F.lit(float(step_size)), extra_intercept)
-        tried = sums.withColumn("w", w).withColumn("step_size", F.lit(float(step_size)))
-    named = [F.col("w")[name].alias(name) for name in WEIGHTS]
-    return tried.select(*PAGE, "hours", "n", "mean", "sigma", "step_size", *named)
+        size = f"{float(step_size)}D"
+        tried = sums.selectExpr("*", f"{size} AS step_size", f"{_descend(size, extra_intercept)} AS w")
+    named = [f"w.{name} AS {name}" for name in WEIGHTS]
+    return tried.selectExpr(*PAGE, "hours", "n", "mean", "sigma", "step_size", *named)
 
 
 def best_step(sums: DataFrame, extra_intercept: bool = False) -> DataFrame:
     """Per page the step size with the smallest residual sum, its weights and that sum."""
-    sizes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(STEP_SIZES)])
-
-    def attempt(size: Column) -> Column:
-        w = _descend(size["s"], extra_intercept)
-        return F.struct(size["i"].alias("i"), size["s"].alias("s"), w.alias("w"))
-
-    def ranked(try_: Column) -> Column:
-        rss = residual_sum(try_["w"])
-        broken = F.isnan(rss) | (F.abs(rss) == float("inf"))
-        return F.struct(
-            broken.alias("broken"), rss.alias("rss"), try_["i"].alias("i"),
-            try_["s"].alias("s"), try_["w"].alias("w"),
-        )
-
-    # Two passes over the array: the weights of an attempt are worked out once, then ranked.
-    attempts = sums.withColumn("attempts", F.transform(sizes, attempt))
-    best = F.array_min(F.transform("attempts", ranked))
-    return attempts.withColumn("best", best).select(
-        *sums.columns,
-        F.col("best.s").alias("step_size"), F.col("best.rss").alias("rss"), F.col("best.w").alias("w"),
+    sizes = ", ".join(f"struct({i} AS i, {size}D AS s)" for i, size in enumerate(STEP_SIZES))
+    attempt = f"struct(size.i AS i, size.s AS s, {_descend('size.s', extra_intercept)} AS w)"
+    attempts = sums.selectExpr("*", f"transform(array({sizes}), size -> {attempt}) AS attempts")
+    # The weights of an attempt are worked out once, then ranked: finite sums first, then the
+    # smallest, then the earliest.
+    rated = attempts.selectExpr(
+        "*", f"transform(attempts, t -> struct({residual_sum('t.w')} AS rss, t AS t)) AS rated"
+    )
+    ranked = (
+        "array_min(transform(rated, r -> struct(isnan(r.rss) OR abs(r.rss) = double('Infinity') AS broken, "
+        "r.rss AS rss, r.t AS t)))"
+    )
+    return rated.selectExpr("*", f"{ranked} AS best").selectExpr(
+        *sums.columns, "best.t.s AS step_size", "best.rss AS rss", "best.t.w AS w"
     )
 
 
-def residual_sum(w: Column) -> Column:
-    """Sum of squared residuals of weights ``w`` from the page's sums."""
-    linear = sum((w[WEIGHTS[i]] * F.col(f"b{i}") for i in range(1, 6)), w["w0"] * F.col("b0"))
-    quadratic = sum(
-        (w[WEIGHTS[i]] * w[WEIGHTS[j]] * F.col(f"a{i}{j}") * (1.0 if i == j else 2.0)
-         for i, j in PAIRS[1:]),
-        w["w0"] * w["w0"] * F.col("a00"),
+def residual_sum(w: str) -> str:
+    """SQL of the sum of squared residuals of weights ``w``, from the page's sums."""
+    linear = " + ".join(f"{w}.w{i} * b{i}" for i in range(6))
+    quadratic = " + ".join(
+        f"{'' if i == j else '2D * '}{w}.w{i} * {w}.w{j} * a{i}{j}" for i, j in PAIRS
     )
-    return F.col("yy") - linear * 2.0 + quadratic
+    return f"yy - 2D * ({linear}) + {quadratic}"
 
 
-def _descend(size: Column, extra_intercept: bool) -> Column:
-    """Weights after the descent, as a struct w0..w5."""
-    n = F.col("n")
+def _descend(size: str, extra_intercept: bool) -> str:
+    """SQL of the weights after the descent, a struct w0..w5."""
 
-    def gradient(w: Column, i: int) -> Column:
-        row = [F.col(f"a{min(i, j)}{max(i, j)}") * w[WEIGHTS[j]] for j in range(6)]
-        return (sum(row[1:], row[0]) - F.col(f"b{i}")) / n
+    def moved(i: int) -> str:
+        row = " + ".join(f"a{min(i, j)}{max(i, j)} * w.w{j}" for j in range(6))
+        pull = 2 if extra_intercept and i == 5 else 1
+        return f"w.w{i} - {pull}D * {size} / sqrt(k) * (({row}) - b{i}) / n AS w{i}"
 
-    def step(w: Column, i: Column) -> Column:
-        rate = size / F.sqrt(i)
-        pull = [2.0 if extra_intercept and j == 5 else 1.0 for j in range(6)]
-        moved = [w[WEIGHTS[j]] - rate * pull[j] * gradient(w, j) for j in range(6)]
-        return F.struct(*[m.alias(WEIGHTS[j]) for j, m in enumerate(moved)])
-
-    start = F.struct(*[F.lit(0.0).alias(name) for name in WEIGHTS])
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ITERATIONS)), start, step)
+    start = ", ".join(f"0D AS {name}" for name in WEIGHTS)
+    step = ", ".join(moved(i) for i in range(6))
+    return f"aggregate(sequence(1, {ITERATIONS}), struct({start}), (w, k) -> struct({step}))"
 
 
 def _solve(sums: DataFrame) -> DataFrame:
     """Least squares by eliminating the 6x6 normal equations, held as one array of rows of 7."""
     cells = []
     for i in range(6):
-        cells += [F.col(f"a{min(i, j)}{max(i, j)}") for j in range(6)] + [F.col(f"b{i}")]
-
-    def eliminate(m: Column, p: Column) -> Column:
-        # The matrix is symmetric and positive, so its pivots are positive unless it is singular.
-        diagonal = F.get(m, p * 8)
-        pivot = F.when(diagonal > F.col("n") * 1e-12, diagonal)
-
-        def cell(value: Column, at: Column) -> Column:
-            row, column = F.floor(at / 7).cast("int"), at % 7
-            scaled = F.get(m, p * 7 + column) / pivot
-            return F.when(row == p, scaled).otherwise(value - F.get(m, row * 7 + p) * scaled)
-
-        return F.transform(m, cell)
-
-    pivots = F.array(*[F.lit(p) for p in range(6)])
-    solved = sums.withColumn("m", F.aggregate(pivots, F.array(*cells), eliminate))
-    named = [F.col("m")[i * 7 + 6].alias(name) for i, name in enumerate(WEIGHTS)]
-    weights = solved.where(F.col("m")[6].isNotNull())
-    return weights.select(
-        *PAGE, "hours", "n", "mean", "sigma", F.lit(None).cast("double").alias("step_size"), *named
+        cells += [f"a{min(i, j)}{max(i, j)}" for j in range(6)] + [f"b{i}"]
+    # Cell c is in row c div 7, column c % 7. The matrix is symmetric and positive, so its pivots
+    # are positive unless it is singular.
+    pivot = "CASE WHEN m[p * 8] > n * 1e-12D THEN m[p * 8] END"
+    cell = (
+        f"CASE WHEN c div 7 = p THEN v / ({pivot}) "
+        f"ELSE v - m[int(c div 7) * 7 + p] * m[p * 7 + c % 7] / ({pivot}) END"
+    )
+    solve = f"aggregate(sequence(0, 5), array({', '.join(cells)}), (m, p) -> transform(m, (v, c) -> {cell}))"
+    solved = sums.selectExpr("*", f"{solve} AS m").where("m[6] IS NOT NULL")
+    named = [f"m[{i * 7 + 6}] AS {name}" for i, name in enumerate(WEIGHTS)]
+    return solved.selectExpr(
+        *PAGE, "hours", "n", "mean", "sigma", "double(NULL) AS step_size", *named
     )
 
 
 def predict(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """Complete hours with their prediction, back on the original scale."""
     # sigma cancels in the lag terms; the constant gathers the rest, once per page.
-    rest = F.col("mean") * (1 - sum((F.col(w) for w in WEIGHTS[1:5]), F.col("w0")))
-    models = weights.select(*PAGE, *WEIGHTS[:5], (F.col("w5") * F.col("sigma") + rest).alias("base"))
-    joined = rows.where(complete()).join(models, list(PAGE))
-    predicted = sum((F.col(w) * F.col(x) for w, x in zip(WEIGHTS, LAG_NAMES)), F.col("base"))
-    return joined.select(*PAGE, "hour_no", F.col("y").alias("original"), predicted.alias("predicted"))
+    base = f"w5 * sigma + mean * (1D - ({' + '.join(WEIGHTS[:5])})) AS base"
+    models = weights.selectExpr(*PAGE, *WEIGHTS[:5], base)
+    terms = " + ".join(f"{w} * {lag}" for w, lag in zip(WEIGHTS, LAG_NAMES))
+    joined = rows.where(COMPLETE).join(models, list(PAGE))
+    return joined.selectExpr(*PAGE, "hour_no", "y AS original", f"base + {terms} AS predicted")
 
 
 def residuals(predictions: DataFrame, deviations: float = 3.0) -> DataFrame:
