@@ -298,11 +298,11 @@ ORACLES: dict[str, str] = {
     "project_filter": f"WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic WHERE project IN ('en','de')",
     "page_filter": f"WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic WHERE project = 'en' AND title = 'click'",
     "whitelist_semi": f"""WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic t
-        WHERE EXISTS (SELECT 1 FROM {LISTED} WHERE l.project = t.project AND l.title = t.title)
-           OR title = 'signup'""",
+        WHERE EXISTS (SELECT 1 FROM {LISTED} WHERE l.project = t.project AND l.title = t.title)""",
+    "whitelist_titles": f"""WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic
+        WHERE title IN (SELECT title FROM {LISTED})""",
     "whitelist_join": f"""WITH {traffic('langs')}
-        SELECT {TRAFFIC} FROM traffic JOIN {LISTED} USING (project, title)
-        UNION ALL SELECT {TRAFFIC} FROM traffic WHERE title = 'signup'""",
+        SELECT {TRAFFIC} FROM traffic JOIN {LISTED} USING (project, title)""",
     "day_sums": f"""WITH {traffic('langs')}
         SELECT project, title, year, month, day, CAST(sum(requests) AS BIGINT) AS requests,
                CAST(sum(bytes) AS BIGINT) AS bytes

@@ -16,7 +16,7 @@ from trafficlens import configure
 from trafficlens.functions.hours import calendar_fields, hour_number
 from trafficlens.operators import anomalies, filters, regression, scoring, series, stats, windows
 from trafficlens.plans.incremental import new_window_models
-from trafficlens.schema import PAGE, TRAFFIC_FIELDS, WHITELIST_DDL
+from trafficlens.schema import PAGE, TRAFFIC_FIELDS
 from trafficlens.session import scratch_path
 from trafficlens.sinks import write_text
 from trafficlens.sources import (
@@ -28,8 +28,8 @@ from trafficlens.sources import (
     read_traffic,
 )
 
-# One page listed twice, one by title only.
-LISTED = [("en", "click"), ("de", "error"), ("en", "click"), (None, "signup")]
+# One page is listed twice.
+LISTED = [("en", "click"), ("de", "error"), ("en", "click")]
 SERIES_PAGE = ("all", "click")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,7 +76,7 @@ def stamps_as_text(df: DataFrame) -> DataFrame:
 
 
 def whitelist(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LISTED, WHITELIST_DDL)
+    return spark.createDataFrame(LISTED, "project string, title string")
 
 
 # ---- sources and sinks ----------------------------------------------------------------------
@@ -145,6 +145,12 @@ def whitelist_semi(spark, sf):
     return filters.on_whitelist(traffic_langs(spark, sf), whitelist(spark)).select(*TRAFFIC_FIELDS)
 
 
+def whitelist_titles(spark, sf):
+    """Listed titles in every project."""
+    titles = whitelist(spark).select("title")
+    return filters.on_whitelist(traffic_langs(spark, sf), titles).select(*TRAFFIC_FIELDS)
+
+
 def whitelist_join(spark, sf):
     rows = filters.on_whitelist(traffic_langs(spark, sf), whitelist(spark), dedupe=False)
     return rows.select(*TRAFFIC_FIELDS)
@@ -402,7 +408,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         dump_lines, traffic_text_roundtrip, anomalies_text_roundtrip, hour_versions,
-        hour_coverage_gaps, project_filter, page_filter, whitelist_semi, whitelist_join, day_sums,
+        hour_coverage_gaps, project_filter, page_filter, whitelist_semi, whitelist_titles,
+        whitelist_join, day_sums,
         page_stats, time_bounds, running_totals, distinct_titles, window_models,
         window_models_nonzero, window_models_ragged, window_models_sparse, window_models_by_page,
         window_models_builtin, incremental_equals_full, kernel_weighted_mean, scored_rows,

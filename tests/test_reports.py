@@ -42,13 +42,14 @@ def test_top_is_cut_before_the_shuffle(found):
 
 def test_whitelist(make_traffic, spark):
     traffic = make_traffic([row((p, t), at, 1) for p in ("en", "de") for t in "ABC" for at in range(2)])
-    listed = spark.createDataFrame(
-        [("en", "A"), ("en", "A"), (None, "B"), (None, "B"), ("en", "B")], "project string, title string")
+    listed = spark.createDataFrame([("en", "A"), ("en", "A"), ("de", "B")], "project string, title string")
     once = filters.on_whitelist(traffic, listed)
-    assert sorted((r.project, r.title, r.hour) for r in once.collect()) == sorted(
-        (p, t, h) for p, t in (("en", "A"), ("en", "B"), ("de", "B")) for h in (5, 6))
+    assert sorted((r.project, r.title, r.hour) for r in once.collect()) == [
+        ("de", "B", 5), ("de", "B", 6), ("en", "A", 5), ("en", "A", 6)]
     assert once.columns == traffic.columns
-    assert filters.on_whitelist(traffic, listed, dedupe=False).count() == 2 * (2 + 2 + 2 + 1)
+    assert filters.on_whitelist(traffic, listed, dedupe=False).count() == 2 * (2 + 1)
+    titles = filters.on_whitelist(traffic, listed.select("title"))
+    assert titles.count() == 2 * 2 * 2 and titles.columns == traffic.columns
 
 
 def test_long_whitelist_is_not_broadcast(make_traffic, spark):

@@ -94,9 +94,14 @@ def test_anomalies_roundtrip(spark, tmp_path):
 
 
 def test_whitelist_forms(spark, tmp_path):
-    (tmp_path / "w").write_text("en Main_Page\nSpecial:Search\n\n")
+    (tmp_path / "w").write_text("en Main_Page\nde Spezial:Suche\n\n")
     rows = {tuple(r) for r in read_whitelist(spark, str(tmp_path / "w")).collect()}
-    assert rows == {("en", "Main_Page"), (None, "Special:Search")}
+    assert rows == {("en", "Main_Page"), ("de", "Spezial:Suche")}
+    (tmp_path / "t").write_text("Main_Page\n%C3%84\n")
+    titles = read_whitelist(spark, str(tmp_path / "t"), titles_only=True)
+    assert titles.columns == ["title"] and titles.count() == 2
+    with pytest.raises(Exception, match="fewer than 2"):
+        read_whitelist(spark, str(tmp_path / "t")).collect()
 
 
 def test_table_prunes_by_date(spark, sample, tmp_path):

@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--size", type=int, default=WEEK)
         p.add_argument("--step", type=int, default=DAY)
 
-    job("filter", "dumps", "output", "whitelist")
+    job("filter", "dumps", "output", "whitelist").add_argument("--titles-only", action="store_true")
     job("ingest", "dumps", "output")
     job("stats", "dumps", "output").add_argument("--projects", nargs="+", default=["en", "de"])
     moving = job("moving-average", "traffic", "output")

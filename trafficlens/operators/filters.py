@@ -38,22 +38,11 @@ def until(traffic: DataFrame, last: dt.datetime) -> DataFrame:
 
 
 def on_whitelist(traffic: DataFrame, whitelist: DataFrame, dedupe: bool = True) -> DataFrame:
-    """Rows of whitelisted pages.
+    """Rows of listed pages; ``whitelist`` has the columns project and title, or title alone.
 
-    ``dedupe=False`` is a plain inner join: a page listed twice doubles its rows. Entries without
-    a project match the title in every project. No broadcast is forced: Spark broadcasts a list
-    it measures as small and sort-merges a long one, splitting hot pages under adaptive execution.
+    ``dedupe=False`` is a plain inner join: a page listed twice doubles its rows. No broadcast is
+    forced: Spark broadcasts a list it measures as small and sort-merges a long one. Nothing stands
+    between shuffle and join on either side, so adaptive execution can split a hot page.
     """
-    exact = whitelist.where(F.col("project").isNotNull()).select("project", "title")
-    anywhere = whitelist.where(F.col("project").isNull()).select(
-        "title", F.lit(True).alias("anywhere")
-    )
-    if dedupe:
-        # One pass: both lists are marked with a left join on distinct keys.
-        marked = traffic.join(
-            exact.distinct().withColumn("exact", F.lit(True)), ["project", "title"], "left"
-        ).join(anywhere.distinct(), "title", "left")
-        return marked.where(F.col("exact") | F.col("anywhere")).select(*traffic.columns)
-    pages = traffic.join(exact, ["project", "title"])
-    titles = traffic.join(anywhere.select("title"), "title")
-    return pages.select(*traffic.columns).unionByName(titles.select(*traffic.columns))
+    joined = traffic.join(whitelist, whitelist.columns, "left_semi" if dedupe else "inner")
+    return joined.select(*traffic.columns)

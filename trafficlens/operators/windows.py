@@ -27,6 +27,7 @@ from trafficlens.schema import PAGE, with_hour_number
 
 WEEK = 7 * 24
 DAY = 24
+PAGE_SALTS = 16
 MODEL_COLUMNS = (
     "project", "title", "k", "window_start", "window_mid", "window_end", "n",
     "avg_requests", "avg_bytes", "var_requests", "var_bytes",
@@ -54,7 +55,11 @@ def anchored(
         bounds = rows.groupBy(*PAGE).agg(
             F.min("hour_no").alias("origin"), F.max("hour_no").alias("last_hour")
         )
-        rows = rows.join(bounds, list(PAGE))
+        # Spread each page over a few keys, so that a hot page's rows do not meet in one task.
+        salts = F.sequence(F.lit(0), F.lit(PAGE_SALTS - 1)).cast("array<bigint>")
+        bounds = bounds.withColumn("salt", F.explode(salts))
+        salted = rows.withColumn("salt", F.pmod("hour_no", F.lit(PAGE_SALTS)))
+        rows = salted.join(bounds, [*PAGE, "salt"]).drop("salt")
     elif anchor == "global" or last is None:
         # A global aggregate: always exactly one row.
         bounds = time_bounds(rows).withColumnRenamed("first_hour", "origin")

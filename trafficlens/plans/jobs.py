@@ -34,9 +34,13 @@ SCORED_FIELDS = (
 )
 
 
-def filter_job(spark: SparkSession, dumps: str, output: str, whitelist: str, dedupe: bool = True) -> None:
+def filter_job(
+    spark: SparkSession, dumps: str, output: str, whitelist: str, titles_only: bool = False,
+    dedupe: bool = True,
+) -> None:
     """Raw dumps to prepared text traffic of the whitelisted pages."""
-    rows = on_whitelist(read_dumps(spark, dumps), read_whitelist(spark, whitelist), dedupe)
+    listed = read_whitelist(spark, whitelist, titles_only=titles_only)
+    rows = on_whitelist(read_dumps(spark, dumps), listed, dedupe)
     write_text(rows.select(*TRAFFIC_FIELDS), f"{output}/filtered")
 
 

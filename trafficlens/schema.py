@@ -9,15 +9,10 @@ from trafficlens.functions.hours import calendar_fields, hour_number, timestamp_
 
 PAGE = ("project", "title")
 
-TRAFFIC_DDL = (
-    "project string, title string, requests bigint, bytes bigint, "
-    "year int, month int, day int, hour int, ts timestamp_ntz"
-)
 ANOMALIES_DDL = (
     "project string, title string, year int, month int, day int, "
     "visit_max bigint, relative_to_quantile double, relative_to_norm double"
 )
-WHITELIST_DDL = "project string, title string"
 
 TRAFFIC_FIELDS = ("project", "title", "requests", "bytes", "year", "month", "day", "hour")
 ANOMALIES_FIELDS = (

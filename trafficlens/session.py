@@ -12,6 +12,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot page in a join even where that costs a shuffle afterwards.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 

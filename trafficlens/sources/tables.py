@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.functions.hours import calendar_fields, hour_number_of, timestamp_of
+from trafficlens.schema import with_timestamp
 
 
 def read_traffic_table(
@@ -22,7 +23,7 @@ def read_traffic_table(
         table = table.where(F.col("date") >= F.lit(start))
     if end is not None:
         table = table.where(F.col("date") <= F.lit(end))
-    return table.drop("date")
+    return with_timestamp(table.drop("date"))
 
 
 def events_as_traffic(events: DataFrame, project: Column, title: Column) -> DataFrame:

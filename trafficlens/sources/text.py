@@ -71,14 +71,13 @@ def read_anomalies(spark: SparkSession, paths, sep: str = " ", mode: str = "fail
     return _typed(rows.select(*_named(fields)), fields, mode)
 
 
-def read_whitelist(spark: SparkSession, paths, sep: str = " ") -> DataFrame:
-    """Pages to keep. Lines hold ``project title``, or ``title`` alone (project is then NULL)."""
-    rows = _split_lines(spark.read.text(paths), sep, 1, "drop").where(F.col("parts")[0] != "")
-    both = F.size("parts") >= 2
-    return rows.select(
-        F.when(both, F.col("parts")[0]).alias("project"),
-        F.when(both, F.get("parts", F.lit(1))).otherwise(F.col("parts")[0]).alias("title"),
-    )
+def read_whitelist(
+    spark: SparkSession, paths, sep: str = " ", titles_only: bool = False, mode: str = "fail"
+) -> DataFrame:
+    """Pages to keep: lines of ``project title``, or of a title for every project."""
+    fields = ("title",) if titles_only else ("project", "title")
+    rows = _split_lines(spark.read.text(paths).where("value != ''"), sep, len(fields), mode)
+    return rows.select(*_named(fields))
 
 
 def _split_lines(lines: DataFrame, sep: str, arity: int, short_lines: str, keep=()) -> DataFrame:
