@@ -317,6 +317,11 @@ ORACLES: dict[str, str] = {
         FROM d GROUP BY project, title""",
     "time_bounds": f"""WITH {traffic('all')}
         SELECT min(hour_no) AS first_hour, max(hour_no) AS last_hour FROM traffic""",
+    "edge_records": f"""WITH {traffic('all')},
+        ranked AS (SELECT *, row_number() OVER (ORDER BY hour_no, project, title) AS up,
+                   row_number() OVER (ORDER BY hour_no DESC, project DESC, title DESC) AS down FROM traffic)
+        SELECT CASE WHEN up = 1 THEN 'first' ELSE 'last' END AS edge, hour_no, project, title, requests, bytes
+        FROM ranked WHERE up = 1 OR down = 1""",
     "running_totals": f"""WITH {traffic('all')},
         log AS (SELECT hour_no, sum(bytes) AS b, sum(requests) * 0.25::DOUBLE AS s FROM traffic GROUP BY hour_no),
         total AS (
@@ -332,6 +337,7 @@ ORACLES: dict[str, str] = {
     "window_models_by_page": window_query("langs", by_page=True),
     "window_models_builtin": window_query("all"),
     "incremental_equals_full": window_query("all", rule="loop"),
+    "rolled_window_models": window_query("all", rule="loop"),
     "kernel_weighted_mean": kernel(),
     "scored_rows": f"WITH {traffic('all')}, {models()}, {scored()} SELECT {SCORED_OUT} FROM scored",
     "scored_rows_short_steps": f"""WITH {traffic('langs')}, {models(size=48, step=6)},
@@ -397,6 +403,8 @@ ORACLES: dict[str, str] = {
         "SELECT project, title, n, round(threshold, 6) AS threshold FROM limits"),
     "residual_quantile": regression("""SELECT project, title, count(*) AS n,
         round(quantile_cont(abs_diff, 0.999), 6) AS quantile FROM residuals GROUP BY project, title"""),
+    "residual_quantile_approx": regression("""SELECT project, title, count(*) AS n,
+        round(quantile_disc(abs_diff, 0.999), 6) AS quantile FROM residuals GROUP BY project, title"""),
     "regression_daily_anomalies": regression(REGRESSION_DAYS),
     "regression_daily_anomalies_grid": regression(REGRESSION_DAYS, grid=True),
     "traffic_series": f"""WITH {traffic('all')}

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from trafficlens import configure
 from trafficlens.functions.hours import calendar_fields, hour_number
 from trafficlens.operators import anomalies, filters, regression, scoring, series, stats, windows
-from trafficlens.plans.incremental import new_window_models
+from trafficlens.plans.incremental import new_window_models, roll_forward
 from trafficlens.schema import PAGE, TRAFFIC_FIELDS
 from trafficlens.session import scratch_path
-from trafficlens.sinks import write_text
+from trafficlens.sinks import write_text, write_traffic_table
 from trafficlens.sources import (
     coverage_gaps,
     events_as_traffic,
@@ -168,6 +168,10 @@ def time_bounds(spark, sf):
     return stats.time_bounds(traffic_all(spark, sf))
 
 
+def edge_records(spark, sf):
+    return stats.edge_records(traffic_all(spark, sf))
+
+
 def running_totals(spark, sf):
     """Each hour of traffic as one fetched file."""
     log = traffic_all(spark, sf).groupBy("year", "month", "day", "hour").agg(
@@ -229,6 +233,17 @@ def incremental_equals_full(spark, sf):
     return _models(early.unionByName(late))
 
 
+def rolled_window_models(spark, sf):
+    """The table of models after two rounds: traffic up to day 12, then all of it."""
+    traffic = traffic_all(spark, sf)
+    first, last = bounds(traffic)
+    table, models = scratch_path(spark, "rolled-traffic"), scratch_path(spark, "rolled-models")
+    for seen in (first + dt.timedelta(days=12), last):
+        write_traffic_table(filters.until(traffic, seen), table)
+        roll_forward(spark, table, models, anchor=first)
+    return _models(spark.read.parquet(models).drop("window_mid_date"))
+
+
 def kernel_weighted_mean(spark, sf):
     return _models(windows.kernel_means(traffic_langs(spark, sf)))
 
@@ -410,9 +425,10 @@ QUERIES: dict[str, Query] = {
         dump_lines, traffic_text_roundtrip, anomalies_text_roundtrip, hour_versions,
         hour_coverage_gaps, project_filter, page_filter, whitelist_semi, whitelist_titles,
         whitelist_join, day_sums,
-        page_stats, time_bounds, running_totals, distinct_titles, window_models,
+        page_stats, time_bounds, edge_records, running_totals, distinct_titles, window_models,
         window_models_nonzero, window_models_ragged, window_models_sparse, window_models_by_page,
-        window_models_builtin, incremental_equals_full, kernel_weighted_mean, scored_rows,
+        window_models_builtin, incremental_equals_full, rolled_window_models,
+        kernel_weighted_mean, scored_rows,
         scored_rows_short_steps, scored_rows_left, scored_rows_last_window, severity_counts,
         severity_levels, anomalies_or_bytes, ma_daily_anomalies, ma_daily_anomalies_hours,
         ma_daily_anomalies_as_written, top5_per_day, newsletter_distinct_pages, top_k_anomalies,

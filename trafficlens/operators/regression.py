@@ -253,14 +253,15 @@ def residuals(predictions: DataFrame, deviations: float = 3.0) -> DataFrame:
 
 
 def page_regression(
-    traffic: DataFrame, min_rows: int = 7, unique_hours: bool = False, **fit_options
+    traffic: DataFrame, min_rows: int = 7, unique_hours: bool = False, log_target: bool = False,
+    **fit_options,
 ) -> DataFrame:
     """Residuals and thresholds of every page's own model, from traffic rows.
 
     ``unique_hours`` says that the input already has one row per page and hour, which saves a
-    shuffle. Options go to :func:`fit`.
+    shuffle; ``log_target`` models the logarithm of the requests. Options go to :func:`fit`.
     """
-    rows = lagged(traffic if unique_hours else hourly(traffic))
+    rows = lagged(traffic if unique_hours else hourly(traffic), log_target)
     weights = fit(enough(page_sums(rows), min_rows), **fit_options)
     found = residuals(predict(rows, weights))
     return found.select(

@@ -47,6 +47,16 @@ def time_bounds(traffic: DataFrame) -> DataFrame:
     )
 
 
+def edge_records(traffic: DataFrame) -> DataFrame:
+    """Two rows, the earliest and the latest record (edge 'first', 'last'); ties go by page."""
+    record = F.struct("hour_no", *PAGE, "requests", "bytes")
+    edges = with_hour_number(traffic).agg(F.min(record).alias("first"), F.max(record).alias("last"))
+    return edges.select(F.explode(F.array(
+        F.struct(F.lit("first").alias("edge"), F.col("first.*")),
+        F.struct(F.lit("last").alias("edge"), F.col("last.*")),
+    )).alias("e")).select("e.*")
+
+
 def running_totals(log: DataFrame) -> DataFrame:
     """Running file count, bytes, seconds and mean speed (MB/s) over a fetch log.
 

@@ -31,9 +31,11 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where the cluster names no such folder (tests on one machine) is one made locally.
+    A session on this machine alone may go without that setting and gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         base = tempfile.mkdtemp(prefix="trafficlens-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

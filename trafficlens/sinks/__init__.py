@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions.hours import date_of
-from trafficlens.schema import TRAFFIC_FIELDS, with_hour_number
+from trafficlens.schema import PAGE, TRAFFIC_FIELDS, with_hour_number
 
 
 def write_text(df: DataFrame, path: str, sep: str = " ", mode: str = "overwrite") -> None:
@@ -15,26 +15,34 @@ def write_text(df: DataFrame, path: str, sep: str = " ", mode: str = "overwrite"
     df.select(F.concat_ws(sep, *fields).alias("value")).write.mode(mode).text(path)
 
 
-def write_traffic_table(traffic: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_traffic_table(
+    traffic: DataFrame, path: str, mode: str = "overwrite", files_per_date: int = 8
+) -> None:
     """Traffic as Parquet by date, pages sorted within files.
 
-    Rows are split by range of (date, page, hour), so neither a busy day nor a hot page makes a
-    large task, and a day's files hold neighbouring pages: filters on a page skip row groups.
+    A day is spread over ``files_per_date`` tasks by page. The rebalance hint lets adaptive
+    execution split a task that got too much and merge small ones, and unlike a range partitioning
+    it reads its input once. Sorting lets filters on a page skip row groups.
     """
     dated = with_hour_number(traffic).withColumn("date", date_of("hour_no"))
-    keys = ["date", "project", "title", "hour_no"]
-    rows = dated.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    rows.select(*TRAFFIC_FIELDS, "date").write.mode(mode).partitionBy("date").parquet(path)
+    rows = _spread(dated.select(*TRAFFIC_FIELDS, "date"), "date", files_per_date)
+    rows.sortWithinPartitions("date", *PAGE, "hour").write.mode(mode).partitionBy("date").parquet(path)
 
 
-def write_window_models(models: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_window_models(
+    models: DataFrame, path: str, mode: str = "overwrite", files_per_date: int = 2
+) -> None:
     """Window models, one folder per date of the window's middle."""
     dated = models.withColumn("window_mid_date", F.col("window_mid").cast("date"))
-    keys = ["window_mid_date", "project", "title"]
-    rows = dated.repartitionByRange(*keys)
+    rows = _spread(dated, "window_mid_date", files_per_date)
     rows.write.mode(mode).partitionBy("window_mid_date").parquet(path)
 
 
+def _spread(df: DataFrame, date: str, parts: int) -> DataFrame:
+    part = F.pmod(F.xxhash64(*PAGE), F.lit(parts))
+    return df.withColumn("part", part).hint("rebalance", date, "part").drop("part")
+
+
 def write_by(df: DataFrame, path: str, column: str, mode: str = "overwrite") -> None:
     """One folder per value of ``column``, such as the severity or the project."""
     df.write.mode(mode).partitionBy(column).parquet(path)
