@@ -39,6 +39,8 @@ def lagged(hours: DataFrame, log_target: bool = False) -> DataFrame:
     taken relative to.
     """
     rows = with_hour_number(hours)
+    if log_target:
+        rows = rows.where(F.col("requests") > 0)
     y = F.ln("requests") if log_target else F.col("requests").cast("double")
     past = Window.partitionBy(*PAGE).orderBy("hour_no")
     so_far = past.rowsBetween(Window.unboundedPreceding, Window.currentRow)

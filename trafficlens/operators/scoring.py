@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions.numeric import times_deviation
@@ -41,9 +41,8 @@ def attach_last_window(traffic: DataFrame, models: DataFrame) -> DataFrame:
 
     What remains when every round of a loop rebuilds all rows and forgets the round before.
     """
-    last = models.agg(F.max("k").alias("last_k"))
-    newest = models.crossJoin(F.broadcast(last)).where(F.col("k") == F.col("last_k"))
-    return attach(traffic, newest.drop("last_k"), how="left")
+    newest = models.where(F.col("k") == models.agg(F.max("k")).scalar())
+    return attach(traffic, newest, how="left")
 
 
 def score(attached: DataFrame) -> DataFrame:

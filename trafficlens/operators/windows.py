@@ -61,9 +61,11 @@ def anchored(
         salted = rows.withColumn("salt", F.pmod("hour_no", F.lit(PAGE_SALTS)))
         rows = salted.join(bounds, [*PAGE, "salt"]).drop("salt")
     elif anchor == "global" or last is None:
-        # A global aggregate: always exactly one row.
-        bounds = time_bounds(rows).withColumnRenamed("first_hour", "origin")
-        rows = rows.crossJoin(F.broadcast(bounds))
+        # One row found first, then a constant of the plan.
+        bounds = time_bounds(rows).select(F.struct("first_hour", "last_hour")).scalar()
+        rows = rows.withColumn("bounds", bounds).select(
+            "*", F.col("bounds.first_hour").alias("origin"), F.col("bounds.last_hour").alias("last_hour")
+        ).drop("bounds")
     if anchor not in ("page", "global"):
         rows = rows.withColumn("origin", F.lit(hour_number_from(anchor)))
     if last is not None:
@@ -130,7 +132,8 @@ def window_models(
     """Mean and population variance of requests and bytes per page and window, n > 1.
 
     ``drop_zero_variance`` leaves out models in which either variance is 0. Squares are summed
-    exactly for any counts; a window's plain totals must fit a bigint. Input rows are taken as they are: two rows of one hour count as two.
+    exactly for any counts; a window's plain totals must fit a bigint. Input rows are taken as
+    they are: two rows of one hour count as two.
     """
     rows = anchored(traffic, anchor, last, size, step, window_count)
     parts = slices(rows, size, step, _model_sums())
