@@ -61,9 +61,12 @@ def bounds(traffic: DataFrame):
 
 
 def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places, scaled first as DuckDB does: for large values, whose sixth place a
+    double hardly holds, rounding the decimal digits instead can differ in the last one."""
     kinds = dict(df.dtypes)
     return df.select(*[
-        F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns
+        (F.round(F.col(c) * 1e6, 0) / 1e6).alias(c) if kinds[c] == "double" else F.col(c)
+        for c in df.columns
     ])
 
 
