@@ -1,3 +1,17 @@
 """SQL for DuckDB of those queries that SQL can express on whole tables."""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+                   sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), f AS (
+            SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY ALL
+        )
+        SELECT page_id, payload_bytes, p.payload_digest,
+               CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first < page_id THEN first END AS refers_to
+        FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 100
+    """,
+}

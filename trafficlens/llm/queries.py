@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import quality_rules
+from trafficlens.llm import quality_rules, warc
+from trafficlens.session import scratch_path, written
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,10 +17,18 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    archives = written(warc.write_warc(warc.with_revisits(pages), scratch_path(spark, "warc")), "warc-archives")
+    return warc.read_warc(archives, with_payload=False).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op6_quality_rules": op6_quality_rules,
 }
