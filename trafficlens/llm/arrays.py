@@ -96,7 +96,7 @@ def texts_of(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
     while at < len(column):
         stop = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
         # Empty texts take no bytes, so the number of texts is held as well.
-        stop = min(stop, len(column), at + 20_000)
+        stop = min(stop, len(column), at + 2_000)
         yield Texts(data[ends[at] : ends[stop]], ends[at : stop + 1] - ends[at], at)
         at = stop
 

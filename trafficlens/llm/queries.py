@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import quality_rules, warc
+from trafficlens.llm import packing, quality_rules, warc
 from trafficlens.session import scratch_path, written
 
 
@@ -17,6 +17,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def vocabulary() -> tuple[str, str]:
+    """The tiktoken and the tokenizers file of the byte-level vocabulary of 50,257 ids."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     archives = written(warc.write_warc(warc.with_revisits(pages), scratch_path(spark, "warc")), "warc-archives")
@@ -24,11 +31,16 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), *vocabulary())
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(documents(spark, sf_dir))
 
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
 }
