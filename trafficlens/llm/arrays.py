@@ -25,8 +25,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
-_ARE_SPACE = np.zeros(256, bool)
-_ARE_SPACE[[9, 10, 11, 12, 13, 32]] = True
+# Bytes of a word: all but white space; letters: those of the alphabet and of every longer code point.
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+# Bytes with the capitals A to Z made small.
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[65:91] += 32
 
 
 @dataclass
@@ -57,9 +63,9 @@ class Texts:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[self.data if data is None else data] * up[:-1])))
         return mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and stops of the runs without white space (9 to 13 and 32)."""
-        inside = ~_ARE_SPACE[self.data]
+    def words(self, bytes_of_word: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and stops of the runs of given bytes; by default all but white space (9 to 13, 32)."""
+        inside = bytes_of_word[self.data]
         start, stop = inside.copy(), inside.copy()
         start[1:] &= ~inside[:-1]
         stop[:-1] &= ~inside[1:]

@@ -41,7 +41,7 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return twice[np.minimum(at, len(twice) - 1)] == keys
 
 
-def _later(keys: np.ndarray) -> np.ndarray:
+def later_repeats(keys: np.ndarray) -> np.ndarray:
     """Which keys equal an earlier one."""
     out = np.zeros(len(keys), bool)
     some = np.flatnonzero(_repeated(keys))
@@ -84,7 +84,7 @@ def measure(texts: Texts) -> dict[str, np.ndarray]:
         if size == 5:
             found = valid[_repeated(keys)]
             out["n_repeat_words"] = count(owner, _covered(found, 5, len(owner))).astype(np.int64)
-        again = valid[_later(keys)]
+        again = valid[later_repeats(keys)]
         out[f"coverage_{size}"] = count(owner, length * _covered(again, size, len(owner))) / total
 
     begin, end = texts.lines()
@@ -93,7 +93,7 @@ def measure(texts: Texts) -> dict[str, np.ndarray]:
     begin, end = begin[has_word], end[has_word]
     line_owner = texts.owners(begin)
     keys = texts.span_hashes(begin, end) ^ mix(line_owner.astype(np.uint64) * _ODD + np.uint64(1))
-    again = _later(keys)
+    again = later_repeats(keys)
     out["n_dup_lines"] = count(line_owner, again).astype(np.int64)
     size = chars[end] - chars[begin]
     out["coverage_lines"] = count(line_owner, size * again) / np.maximum(count(line_owner, size), 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import packing, quality_rules, warc
+from trafficlens.llm import packing, quality_classifier, quality_rules, warc
 from trafficlens.session import scratch_path, written
 
 
@@ -39,8 +39,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(documents(spark, sf_dir))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 QUERIES = {
     "op2_warc": op2_warc,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
 }
