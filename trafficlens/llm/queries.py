@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import packing, quality_classifier, quality_rules, warc
+from trafficlens.llm import packing, quality_classifier, quality_rules, toxicity, warc
 from trafficlens.session import scratch_path, written
 
 
@@ -31,6 +31,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), *vocabulary())
 
@@ -45,6 +49,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op3_toxicity": op3_toxicity,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
