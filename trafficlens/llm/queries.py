@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import packing, quality_classifier, quality_rules, toxicity, warc
+from trafficlens.llm import packing, pii, quality_classifier, quality_rules, toxicity, warc
 from trafficlens.session import scratch_path, written
 
 
@@ -47,10 +47,16 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find(docs, pii.train(docs))
+
+
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_pii": op10_pii,
 }
