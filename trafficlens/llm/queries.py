@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import ngram_join, packing, pii, quality_classifier, quality_rules, toxicity, warc
+from trafficlens.llm import line_dedup, ngram_join, packing, pii, quality_classifier, quality_rules, toxicity, warc
 from trafficlens.session import scratch_path, written
 
 
@@ -17,6 +17,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "text", "exact_lines", "near_lines")
+
+
 def vocabulary() -> tuple[str, str]:
     """The tiktoken and the tokenizers file of the byte-level vocabulary of 50,257 ids."""
     import public_tokenizers
@@ -57,6 +61,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op5_packing": op5_packing,
