@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import line_dedup, ngram_join, packing, pii, quality_classifier, quality_rules, toxicity, warc
+from trafficlens.llm import fingerprints, line_dedup, neighbours, ngram_join, packing, pii, quality_classifier, quality_rules, toxicity, warc
 from trafficlens.session import scratch_path, written
 
 
@@ -39,6 +39,23 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.withColumn("sketch", fingerprints.sketch(fingerprints.anchors(F.col("text"))))
+    rows = neighbours.with_next(rows, "doc_id", F.xxhash64("text"), ["text", "sketch"])
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
+    rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch",
+                       fingerprints.sketch(fingerprints.anchors(F.col("edited"))).alias("edited_sketch"))
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), *vocabulary())
 
@@ -64,6 +81,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
+    "op4_fingerprints": op4_fingerprints,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_ngram_join": op7_ngram_join,
