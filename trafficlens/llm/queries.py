@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import fingerprints, line_dedup, neighbours, ngram_join, packing, pii, quality_classifier, quality_rules, toxicity, warc
+from trafficlens.llm import fingerprints, line_dedup, mixing, neighbours, ngram_join, packing, pii, quality_classifier, quality_rules, toxicity, warc
 from trafficlens.session import scratch_path, written
 
 
@@ -68,6 +68,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_ngram_join": op7_ngram_join,
+    "op8_mixing": op8_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_pii": op10_pii,
 }
