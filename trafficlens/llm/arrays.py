@@ -7,10 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 # About so many bytes of text are turned into arrays at a time; a longer text is one slice.
 SLICE_BYTES = 1 << 20
 
+# Limits of a batch of rows between Spark and Python. Whole texts may be long, and the usual 10,000
+# of them would take gigabytes.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -88,6 +93,14 @@ class Texts:
         return np.searchsorted(self.ends, positions, "right") - 1
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches within the limits; no result depends on them."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def texts_of(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
     """Slices of a string column; a null counts as an empty text."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.arrays import mix, texts_of
+from trafficlens.llm.arrays import mix, small_batches, texts_of
 
 SEQUENCE = 1024
 END_OF_TEXT = 0  # id put after each document
@@ -187,6 +187,7 @@ def pack(docs: DataFrame, ranks_path: str, json_path: str, id_col: str = "doc_id
         encoder = _encoder(ranks_path, json_path)
         yield from fill(batches, encoder.ids, TaskContext.get().partitionId() << 40, size)
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     key = F.arrow_udf(curve_keys, "bigint")

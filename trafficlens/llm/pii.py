@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trafficlens.llm.arrays import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 
 # The patterns of the base kinds. Those that begin with a digit are tried only at the
@@ -358,6 +360,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
                     [pa.array([codes[:per_doc].astype(np.int8).tobytes()], pa.binary()),
                      pa.array([tags[:per_doc].astype(np.int8).tobytes()], pa.binary())], names=["codes", "tags"])
 
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
     hashed = texts.withColumn("h", F.xxhash64("text"))
     chosen = hashed.select("h").distinct().orderBy("h").limit(sample_docs)
@@ -379,6 +382,7 @@ def find(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", text_co
     ``kind:start:end`` by kind, then start. A null or empty text has none. Repeated rows each get a
     row, a null id stays null, an empty table gives no rows, other columns are not read.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

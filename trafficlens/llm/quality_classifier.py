@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.arrays import Texts, texts_of, window_hashes
+from trafficlens.llm.arrays import Texts, small_batches, texts_of, window_hashes
 from trafficlens.llm.labelled import held_out, labelled_sample
 from trafficlens.llm.quality_rules import later_repeats
 
@@ -129,6 +129,7 @@ def fit(counts: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Space:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 3, remainder: int = 1,
           id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Space:
     """Fit on at most 2 * ``per_class`` labelled documents; their term weights reach the driver as half floats."""
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, per_class, modulus, remainder, id_col, text_col)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulu
 
 def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, score) of all documents; the space, of bounded size, is broadcast."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(space)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +165,21 @@ def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
+def accept(docs: DataFrame, space: Space, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores at least so much."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(space)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in texts_of(batch.column(at)):
+                scores = np.concatenate([shared.value.score(term_counts(part)) for part in halves(texts)])
+                yield batch.slice(texts.first, len(texts)).filter(pa.array(scores >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def halves(texts: Texts) -> Iterator[Texts]:
     """Parts of at most BLOCK texts, so that the dense rows of short texts stay few."""
     for at in range(0, len(texts), BLOCK):

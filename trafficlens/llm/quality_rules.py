@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.arrays import Texts, mix, texts_of, window_hashes
+from trafficlens.llm.arrays import Texts, mix, small_batches, texts_of, window_hashes
 
 # Published limits for the share of characters in repeated n-grams, by n, and in repeated lines.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -130,6 +130,7 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A null or empty text has no words and fails. Repeated rows each get their own row, a null id
     stays null, an empty table gives none; other columns are not read, whatever their names.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = ", ".join(
         [f"id {kind}", *(f"{k} bigint" for k in COUNTS)]

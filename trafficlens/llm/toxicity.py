@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.arrays import LETTERS, SMALL, Texts, mix, texts_of
+from trafficlens.llm.arrays import LETTERS, SMALL, Texts, mix, small_batches, texts_of
 from trafficlens.llm.labelled import held_out, labelled_sample
 from trafficlens.session import written
 
@@ -135,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus:
     Tasks count in how many texts of each class a feature occurs; those that tell the classes apart
     best, and those of the group names, are chosen, and only these of each text reach the driver.
     """
+    small_batches(docs.sparkSession)
     sample = written(labelled_sample(docs, labels, label_col, per_class, modulus, remainder, id_col, text_col), "toxicity-sample")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, score) of all documents; the model, of bounded size, is broadcast."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trafficlens.llm.arrays import small_batches
 from trafficlens.session import written
 
 # Fixed values of the formats.
@@ -97,6 +98,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
                 [pa.array([path]), pa.array([size], pa.int64()), pa.array([records], pa.int64())],
                 names=["path", "bytes", "records"])
 
+    small_batches(pages.sparkSession)
     return pages.select("id", "url", "payload", "payload_digest", "refers_to").mapInArrow(write, WRITTEN)
 
 
@@ -192,7 +194,8 @@ def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload:
         "path", "bytes",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint"))).alias("start"),
     ).where("bytes > 0")
-    return splits.repartition("path", "start").mapInArrow(read, RECORDS)
+    # A number of its own for the tasks: a split is a few bytes here, but many in the archive.
+    return splits.repartition(max(1, splits.count())).mapInArrow(read, RECORDS)
 
 
 def find_archives(spark: SparkSession, folder: str) -> DataFrame:
