@@ -5,6 +5,7 @@ from __future__ import annotations
 
 LISTED = "(VALUES ('en','click'), ('de','error'), ('en','click')) AS l(project, title)"
 TRAFFIC = "project, title, requests, bytes, year, month, day, hour"
+# The step sizes of the grid search, with their place for ties.
 STEP_SIZES = (
     "(VALUES (0,500.0),(1,300.0),(2,100.0),(3,50.0),(4,30.0),(5,10.0),(6,5.0),(7,3.0),(8,1.0),"
     "(9,0.5),(10,0.3),(11,0.1),(12,0.05),(13,0.03),(14,0.01),(15,0.005),(16,0.003),(17,0.001)) "
@@ -83,7 +84,7 @@ def scored(how: str = "", last_of_day: bool = False, last_only: bool = False) ->
     if last_of_day:
         pick = "QUALIFY row_number() OVER (PARTITION BY project, title, CAST(window_mid AS DATE) ORDER BY k DESC) = 1"
     if last_only:
-        pick = "WHERE k = (SELECT max(k) FROM models)"
+        pick = "WHERE k = (SELECT max(k) FROM win)"
     return f"""
 chosen AS (SELECT * FROM models {pick}),
 scored AS (
@@ -264,8 +265,8 @@ SERIES_OUT = ("year, month, day, hour, round(model, 6) AS model, round(original,
 
 LISTING = """
 listing AS (
-  SELECT date_trunc('hour', ts) AS ts, user_id % 12 AS version FROM events WHERE event_type = 'purchase'),
-served AS (SELECT ts, min(version) AS version FROM listing WHERE version BETWEEN 0 AND 9 GROUP BY ts)"""
+  SELECT event_type AS title, date_trunc('hour', ts) AS ts, user_id % 12 AS version FROM events),
+served AS (SELECT title, ts, min(version) AS version FROM listing WHERE version BETWEEN 0 AND 9 GROUP BY ALL)"""
 
 
 def kernel() -> str:
@@ -285,16 +286,30 @@ FROM w GROUP BY project, title, k, a HAVING sum(weight) > 0"""
 
 ORACLES: dict[str, str] = {
     "dump_lines": f"WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic",
+    "dump_files": f"WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic",
+    "dump_folder_versions": f"WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic",
+    "dump_hour_globs": f"""WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic
+        WHERE hour_no < (SELECT min(hour_no) FROM traffic) + 48""",
+    "dump_single_file": f"""WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic
+        WHERE hour_no = (SELECT min(hour_no) FROM traffic)""",
+    "table_daily_anomalies": anomaly_query("all", f"SELECT {ANOMALIES_OUT} FROM anomalies"),
+    "table_regression_daily": regression(REGRESSION_DAYS),
+    "rolled_out_of_order": window_query("all", rule="loop"),
+    "ma_daily_anomalies_short_steps": f"""WITH {traffic('langs')}, {models(size=6, step=6)},
+        {scored(last_of_day=True)}, {ANOMALIES} SELECT {ANOMALIES_OUT} FROM anomalies""",
+    "ma_daily_anomalies_tiny_windows": f"""WITH {traffic('langs')}, {models(size=12, step=6)},
+        {scored(last_of_day=True)}, {ANOMALIES.replace('> 3', '> 1')} SELECT {ANOMALIES_OUT} FROM anomalies""",
     "traffic_text_roundtrip": f"WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic",
     "anomalies_text_roundtrip": anomaly_query("langs", f"SELECT {ANOMALIES_OUT} FROM anomalies"),
     "hour_versions": f"""WITH {LISTING}
-        SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
+        SELECT title, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
                CAST(day(ts) AS INTEGER) AS day, CAST(hour(ts) AS INTEGER) AS hour, version FROM served""",
     "hour_coverage_gaps": f"""WITH {traffic('all')}, {LISTING},
         calendar AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM traffic)
-        SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS missing_hours,
+        SELECT title, strftime(ts, '%Y-%m-%d') AS date, count(*) AS missing_hours,
                strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_missing
-        FROM calendar WHERE ts NOT IN (SELECT ts FROM served) GROUP BY 1""",
+        FROM (SELECT DISTINCT title FROM listing), calendar
+        WHERE (title, ts) NOT IN (SELECT (title, ts) FROM served) GROUP BY 1, 2""",
     "project_filter": f"WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic WHERE project IN ('en','de')",
     "page_filter": f"WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic WHERE project = 'en' AND title = 'click'",
     "whitelist_semi": f"""WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic t
@@ -421,3 +436,8 @@ ORACLES: dict[str, str] = {
         SELECT year, month, day, hour, series, round(value, 6) AS value FROM series
         UNPIVOT (value FOR series IN (model, original, residual, threshold, upper))"""),
 }
+
+# The jobs and files give what the operators give.
+ORACLES["whitelist_file"] = ORACLES["filter_job"] = ORACLES["whitelist_semi"]
+ORACLES["stats_job"] = ORACLES["page_stats"]
+ORACLES["skipped_pages_ols"] = ORACLES["skipped_pages"]

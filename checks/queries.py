@@ -9,13 +9,16 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens import configure
 from trafficlens.functions.hours import calendar_fields, hour_number
 from trafficlens.operators import anomalies, filters, regression, scoring, series, stats, windows
-from trafficlens.plans.incremental import new_window_models, roll_forward
+from trafficlens.plans import jobs
+from trafficlens.plans.incremental import hours_in, new_window_models, roll_forward, roll_hours
 from trafficlens.schema import PAGE, TRAFFIC_FIELDS
 from trafficlens.session import scratch_path
 from trafficlens.sinks import write_text, write_traffic_table
@@ -24,8 +27,13 @@ from trafficlens.sources import (
     events_as_traffic,
     first_version,
     parse_dump_lines,
+    paths_for_hours,
     read_anomalies,
+    read_dump_file,
+    read_dumps,
+    read_folder,
     read_traffic,
+    read_whitelist,
 )
 
 # One page is listed twice.
@@ -110,30 +118,125 @@ def anomalies_text_roundtrip(spark, sf):
 
 
 def listing(spark, sf):
-    """Purchase events as file versions of their hour."""
-    found = events(spark, sf).where("event_type = 'purchase'")
+    """Every event as a file version of its hour, in a listing of its own type."""
     ts = F.col("ts")
-    return found.select(
+    return events(spark, sf).select(
+        F.col("event_type").alias("title"),
         hour_number(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts)).alias("hour_no"),
         (F.col("user_id") % 12).alias("version"),
     )
 
 
 def hour_versions(spark, sf):
-    found = first_version(listing(spark, sf))
-    return found.select(*calendar_fields("hour_no"), F.col("version").cast("bigint").alias("version"))
+    found = first_version(listing(spark, sf), ("title",))
+    return found.select("title", *calendar_fields("hour_no"), F.col("version").cast("bigint").alias("version"))
 
 
 def hour_coverage_gaps(spark, sf):
     span = stats.time_bounds(traffic_all(spark, sf))
-    expected = span.select(F.explode(F.sequence("first_hour", "last_hour")).alias("hour_no"))
-    gaps = coverage_gaps(expected, listing(spark, sf))
+    hours = span.select(F.explode(F.sequence("first_hour", "last_hour")).alias("hour_no"))
+    listed = listing(spark, sf)
+    expected = listed.select("title").distinct().join(hours, F.lit(True))
+    gaps = coverage_gaps(expected, listed, ("title",))
     return gaps.select(
-        F.date_format("date", "yyyy-MM-dd").alias("date"), "missing_hours",
+        "title", F.date_format("date", "yyyy-MM-dd").alias("date"), "missing_hours",
         F.date_format("first_missing", "yyyy-MM-dd HH:mm:ss").alias("first_missing"),
     )
 
 
+def dump_folder(spark, sf) -> str:
+    """A folder of gz dump files, one per hour, written from the events; once per session and input.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in DUMPS:
+        folder = scratch_path(spark, "dumps")
+        name = F.format_string("pagecounts-%04d%02d%02d-%02d0000.gz", "year", "month", "day", "hour")
+        lines = traffic_langs(spark, sf).select(
+            name.alias("name"), F.concat_ws(" ", "project", "title", F.col("requests").cast("string"), F.col("bytes").cast("string")).alias("line"))
+
+        def write(table: pa.Table) -> pa.Table:
+            system, base = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+            system.create_dir(base, recursive=True)
+            text = "".join(f"{x}\n" for x in table.column("line").to_pylist())
+            with system.open_output_stream(f"{base}/{table.column('name')[0]}", compression="gzip") as out:
+                out.write(text.encode())
+            return pa.table({"rows": pa.array([table.num_rows])})
+
+        lines.groupBy("name").applyInArrow(write, "rows bigint").agg(F.sum("rows")).collect()
+        DUMPS[key] = folder
+    return DUMPS[key]
+
+
+DUMPS: dict = {}
+
+
+def dump_files(spark, sf):
+    """Gz dumps of a folder, read back."""
+    return read_dumps(spark, dump_folder(spark, sf)).select(*TRAFFIC_FIELDS)
+
+
+def dump_hour_globs(spark, sf):
+    """The dumps of the first 48 hours, by one glob an hour."""
+    first, _ = bounds(traffic_all(spark, sf))
+    return read_dumps(spark, paths_for_hours(dump_folder(spark, sf), first, 48)).select(*TRAFFIC_FIELDS)
+
+
+def dump_single_file(spark, sf):
+    """The dump of the first hour, with its nested time."""
+    first, _ = bounds(traffic_all(spark, sf))
+    rows = read_dump_file(spark, f"{dump_folder(spark, sf)}/pagecounts-{first:%Y%m%d-%H}0000.gz")
+    return rows.select("project", "title", "requests", "bytes", "time.*")
+
+
+def dump_folder_versions(spark, sf):
+    """The folder's hours, each from its lowest version."""
+    return read_folder(spark, dump_folder(spark, sf)).select(*TRAFFIC_FIELDS)
+
+
+def whitelist_file(spark, sf):
+    path = scratch_path(spark, "whitelist")
+    write_text(whitelist(spark), path)
+    return filters.on_whitelist(traffic_langs(spark, sf), read_whitelist(spark, path)).select(*TRAFFIC_FIELDS)
+
+
+def filter_job(spark, sf):
+    """Dumps and a whitelist file through the job, its text read back."""
+    path = scratch_path(spark, "filter-job")
+    write_text(whitelist(spark), f"{path}/whitelist")
+    jobs.filter_job(spark, dump_folder(spark, sf), path, f"{path}/whitelist")
+    return read_traffic(spark, f"{path}/filtered").select(*TRAFFIC_FIELDS)
+
+
+def stats_job(spark, sf):
+    path = scratch_path(spark, "stats-job")
+    jobs.stats_job(spark, dump_folder(spark, sf), path)
+    parts = F.split("value", " ")
+    kinds = ("string", "string", "double", "double", "bigint", "bigint")
+    names = ("project", "title", "avg_requests", "avg_bytes", "max_requests", "max_bytes")
+    rows = spark.read.text(f"{path}/stats")
+    return rounded(rows.select(*[parts[i].cast(k).alias(n) for i, (n, k) in enumerate(zip(names, kinds))]))
+
+
+def stored_traffic(spark, sf) -> str:
+    path = scratch_path(spark, "traffic-table")
+    write_traffic_table(traffic_all(spark, sf), path)
+    return path
+
+
+def table_daily_anomalies(spark, sf):
+    """The moving-average job on the table that ingest writes."""
+    path = scratch_path(spark, "moving-average-job")
+    jobs.moving_average_job(spark, stored_traffic(spark, sf), path, table=True)
+    return rounded(read_anomalies(spark, f"{path}/daily_anomalies"))
+
+
+def table_regression_daily(spark, sf):
+    """The regression job on the table that ingest writes."""
+    path = scratch_path(spark, "regression-job")
+    jobs.regression_job(spark, stored_traffic(spark, sf), "all", path, source={"table": True})
+    return rounded(read_anomalies(spark, f"{path}/anomalies"))
+
+
 # ---- filters and summaries ------------------------------------------------------------------
 
 def project_filter(spark, sf):
@@ -247,6 +350,23 @@ def rolled_window_models(spark, sf):
     return _models(spark.read.parquet(models).drop("window_mid_date"))
 
 
+def rolled_out_of_order(spark, sf):
+    """The table of models after four rounds that bring days in no order of time."""
+    traffic = traffic_all(spark, sf)
+    first, _ = bounds(traffic)
+    table, models = scratch_path(spark, "unordered-traffic"), scratch_path(spark, "unordered-models")
+    before = None
+    for number in (2, 0, 3, 1):
+        batch = traffic.where(F.pmod(F.dayofyear("ts") * 7, F.lit(4)) == number)
+        write_traffic_table(batch, f"{table}/batch={number}")
+        hours = hours_in(batch)
+        newest = max(hours[-1:] + ([] if before is None else [before]), default=None)
+        if hours:
+            roll_hours(spark, table, models, first, hours, before, newest)
+        before = newest
+    return _models(spark.read.parquet(models).drop("window_mid_date"))
+
+
 def kernel_weighted_mean(spark, sf):
     return _models(windows.kernel_means(traffic_langs(spark, sf)))
 
@@ -276,7 +396,7 @@ def scored_rows_left(spark, sf):
 
 def scored_rows_last_window(spark, sf):
     traffic = traffic_all(spark, sf)
-    scored = scoring.score(scoring.attach_last_window(traffic, windows.window_models(traffic)))
+    scored = scoring.score(scoring.attach_last_window(traffic))
     return rounded(scored.select(*SCORED, "has_model"))
 
 
@@ -303,6 +423,16 @@ def ma_daily_anomalies(spark, sf):
     return rounded(anomalies.moving_average_anomalies(traffic_all(spark, sf)))
 
 
+def ma_daily_anomalies_short_steps(spark, sf):
+    """Windows of 6 hours every 6: the last window of a day that has a model counts."""
+    return rounded(anomalies.moving_average_anomalies(traffic_langs(spark, sf), 6, 6))
+
+
+def ma_daily_anomalies_tiny_windows(spark, sf):
+    """Windows of 12 hours every 6, more than one deviation off."""
+    return rounded(anomalies.moving_average_anomalies(traffic_langs(spark, sf), 12, 6, deviations=1.0))
+
+
 def ma_daily_anomalies_hours(spark, sf):
     """The same through scored hours."""
     return rounded(anomalies.daily_from_scores(_scored(traffic_all(spark, sf))))
@@ -361,6 +491,10 @@ def skipped_pages(spark, sf):
     return regression.skipped_pages(_sums(spark, sf), min_rows=480)
 
 
+def skipped_pages_ols(spark, sf):
+    return regression.skipped_pages(_sums(spark, sf), min_rows=480, solver="ols")
+
+
 WEIGHTS = [*PAGE, *regression.WEIGHTS]
 
 
@@ -389,11 +523,11 @@ def residual_threshold(spark, sf):
 
 
 def residual_quantile(spark, sf):
-    return rounded(regression.residual_quantile(_residuals(spark, sf), exact=True))
+    return rounded(regression.residual_quantile(_residuals(spark, sf)))
 
 
 def residual_quantile_approx(spark, sf):
-    return rounded(regression.residual_quantile(_residuals(spark, sf)))
+    return rounded(regression.residual_quantile(_residuals(spark, sf), exact=False))
 
 
 def regression_daily_anomalies(spark, sf):
@@ -425,7 +559,10 @@ def regression_series_long(spark, sf):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        dump_lines, traffic_text_roundtrip, anomalies_text_roundtrip, hour_versions,
+        dump_lines, dump_files, dump_hour_globs, dump_single_file, dump_folder_versions, whitelist_file,
+        filter_job, stats_job, table_daily_anomalies, table_regression_daily, rolled_out_of_order,
+        ma_daily_anomalies_short_steps, ma_daily_anomalies_tiny_windows, skipped_pages_ols,
+        traffic_text_roundtrip, anomalies_text_roundtrip, hour_versions,
         hour_coverage_gaps, project_filter, page_filter, whitelist_semi, whitelist_titles,
         whitelist_join, day_sums,
         page_stats, time_bounds, edge_records, running_totals, distinct_titles, window_models,

@@ -169,7 +169,7 @@ def test_log_target(make_traffic, series):
 def test_quantile(traffic):
     found = regression.page_regression(traffic).cache()
     exact = {r.title: r.quantile for r in regression.residual_quantile(found, exact=True).collect()}
-    close = {r.title: r.quantile for r in regression.residual_quantile(found).collect()}
+    close = {r.title: r.quantile for r in regression.residual_quantile(found, exact=False).collect()}
     for title, value in exact.items():
         off = sorted(r.abs_diff for r in found.where(F.col("title") == title).collect())
         at = 0.999 * (len(off) - 1)

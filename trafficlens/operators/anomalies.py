@@ -10,6 +10,8 @@ from trafficlens.schema import ANOMALIES_FIELDS, PAGE
 
 PER_DAY = [*PAGE, "year", "month", "day"]
 DATE = ["year", "month", "day"]
+TASK_CUT = 1000  # the engine's limit for cutting ranks before a shuffle
+DAY_PARTS = 256
 
 
 def moving_average_anomalies(
@@ -74,11 +76,18 @@ def daily_from_residuals(residuals: DataFrame) -> DataFrame:
 def top_per_day(anomalies: DataFrame, k: int = 5, distinct_pages: bool = False) -> DataFrame:
     """The k largest of each day; optionally each page once, at its best day.
 
-    Spark cuts each task's rows to k per day before the shuffle. Ties go by project, then title.
+    Ties go by project, then title. Up to 1,000, Spark itself cuts each task's rows to k per day
+    before the shuffle; beyond that each of many parts of a day is cut to k first, so that no task
+    sorts a whole day.
     """
     order = [F.desc("relative_to_quantile"), F.asc("project"), F.asc("title")]
+    rows = anomalies
+    if k > TASK_CUT:
+        part = F.pmod(F.xxhash64(*PAGE), F.lit(DAY_PARTS))
+        in_part = F.row_number().over(Window.partitionBy(*DATE, part).orderBy(*order))
+        rows = rows.withColumn("rank", in_part).where(F.col("rank") <= k)
     rank = F.row_number().over(Window.partitionBy(*DATE).orderBy(*order))
-    top = anomalies.withColumn("rank", rank).where(F.col("rank") <= k)
+    top = rows.withColumn("rank", rank).where(F.col("rank") <= k)
     if distinct_pages:
         best = Window.partitionBy(*PAGE).orderBy(F.desc("relative_to_quantile"), *DATE)
         top = top.withColumn("best", F.row_number().over(best)).where(F.col("best") == 1)

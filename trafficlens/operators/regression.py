@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from trafficlens.functions.hours import calendar_fields
 from trafficlens.schema import PAGE, hourly, with_hour_number
 
+# The lags in hours, and the step sizes tried by the grid search, in order.
 LAGS = (1, 2, 3, 24, 48)
-# The step sizes tried by the grid search, in order.
 STEP_SIZES = (
     500.0, 300.0, 100.0, 50.0, 30.0, 10.0, 5.0, 3.0, 1.0,
     0.5, 0.3, 0.1, 0.05, 0.03, 0.01, 0.005, 0.003, 0.001,
 )
+# Fixed value.
 ITERATIONS = 20
 LAG_NAMES = tuple(f"lag{k}" for k in LAGS)
 # Five lags and the constant.
@@ -37,6 +38,8 @@ def lagged(hours: DataFrame, log_target: bool = False) -> DataFrame:
     meet several rows. Lags look back in hours, not rows, so gaps stay gaps. Columns hour_id
     (hours since the page's first), y and ``pivot``, the page's first value, which later sums are
     taken relative to.
+    With ``log_target`` y is the logarithm; hours with 0 requests have none and count as absent, so
+    the hours that would look back on them are incomplete, too.
     """
     rows = with_hour_number(hours)
     if log_target:
@@ -138,10 +141,15 @@ def enough(sums: DataFrame, min_rows: int = 7) -> DataFrame:
     return sums.where((F.col("n") >= min_rows) & (F.col("sigma") > 0))
 
 
-def skipped_pages(sums: DataFrame, min_rows: int = 7) -> DataFrame:
-    """Pages without a model, and why."""
+def skipped_pages(sums: DataFrame, min_rows: int = 7, solver: str = "gd") -> DataFrame:
+    """Pages without a model, and why: constant, too few hours, or, for "ols", collinear features."""
     reason = F.when(F.col("sigma") == 0, "constant").when(F.col("n") < min_rows, "too few hours")
-    return sums.select(*PAGE, "hours", "n", reason.alias("reason")).where("reason is not null")
+    rows = sums
+    if solver == "ols":
+        rows, solved = _eliminated(sums)
+        fits = (F.col("sigma") > 0) & (F.col("n") >= min_rows)
+        reason = reason.when(fits & ~solved, "collinear")
+    return rows.select(*PAGE, "hours", "n", reason.alias("reason")).where("reason is not null")
 
 
 def fit(
@@ -212,8 +220,9 @@ def _descend(size: str, extra_intercept: bool) -> str:
     return f"aggregate(sequence(1, {ITERATIONS}), struct({start}), (w, k) -> struct({step}))"
 
 
-def _solve(sums: DataFrame) -> DataFrame:
-    """Least squares by eliminating the 6x6 normal equations, held as one array of rows of 7."""
+def _eliminated(sums: DataFrame) -> tuple[DataFrame, Column]:
+    """The 6x6 normal equations of least squares reduced, as the array ``m`` of rows of 7, and
+    whether a page has a solution."""
     cells = []
     for i in range(6):
         cells += [f"a{min(i, j)}{max(i, j)}" for j in range(6)] + [f"b{i}"]
@@ -225,7 +234,12 @@ def _solve(sums: DataFrame) -> DataFrame:
         f"ELSE v - m[int(c div 7) * 7 + p] * m[p * 7 + c % 7] / ({pivot}) END"
     )
     solve = f"aggregate(sequence(0, 5), array({', '.join(cells)}), (m, p) -> transform(m, (v, c) -> {cell}))"
-    solved = sums.selectExpr("*", f"{solve} AS m").where("m[6] IS NOT NULL")
+    return sums.selectExpr("*", f"{solve} AS m"), F.coalesce(F.expr("m[6] IS NOT NULL"), F.lit(False))
+
+
+def _solve(sums: DataFrame) -> DataFrame:
+    rows, has_solution = _eliminated(sums)
+    solved = rows.where(has_solution)
     named = [f"m[{i * 7 + 6}] AS {name}" for i, name in enumerate(WEIGHTS)]
     return solved.selectExpr(
         *PAGE, "hours", "n", "mean", "sigma", "double(NULL) AS step_size", *named
@@ -272,7 +286,8 @@ def page_regression(
     )
 
 
-def residual_quantile(found: DataFrame, q: float = 0.999, exact: bool = False) -> DataFrame:
-    """Quantile of the distance per page, as another threshold; approximate by default."""
+def residual_quantile(found: DataFrame, q: float = 0.999, exact: bool = True) -> DataFrame:
+    """Quantile of the distance per page, as another threshold: interpolated and exact, or one of the
+    distances, approximate on pages with more than some 10,000 hours."""
     value = F.percentile("abs_diff", F.lit(q)) if exact else F.percentile_approx("abs_diff", q, 10000)
     return found.groupBy(*PAGE).agg(F.count("*").alias("n"), value.alias("quantile"))

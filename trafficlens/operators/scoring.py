@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions.numeric import times_deviation
+from trafficlens.operators.windows import last_window_models
 from trafficlens.schema import PAGE, with_timestamp
 
 MODEL_VALUES = ("avg_requests", "avg_bytes", "var_requests", "var_bytes")
@@ -15,13 +16,14 @@ PER_DAY = [*PAGE, "year", "month", "day"]
 
 def attach(
     traffic: DataFrame, models: DataFrame, how: str = "inner", all_windows: bool = False,
-    step: int = 24,
+    step: int | None = None,
 ) -> DataFrame:
     """Join each row to the model whose middle lies on its day.
 
     how  "inner": rows of days without a model drop out; "left": they stay, has_model false.
     With steps below 24 hours a day has several windows; the last one counts, unless
-    ``all_windows`` asks for a row per window.
+    ``all_windows`` asks for a row per window. Where the caller names a ``step`` of 24 or more, the
+    search for the last one is left out.
     """
     mid = F.col("window_mid")
     dated = models.select(
@@ -29,20 +31,20 @@ def attach(
         F.year(mid).alias("year"), F.month(mid).alias("month"), F.dayofmonth(mid).alias("day"),
         "k", *MODEL_VALUES,
     )
-    if step < 24 and not all_windows:
+    if (step is None or step < 24) and not all_windows:
         newest = F.max_by(F.struct("k", *MODEL_VALUES), "k").alias("newest")
         dated = dated.groupBy(*PER_DAY).agg(newest).select(*PER_DAY, "newest.*")
     joined = with_timestamp(traffic).join(dated, PER_DAY, how)
     return joined.withColumn("has_model", F.col("k").isNotNull())
 
 
-def attach_last_window(traffic: DataFrame, models: DataFrame) -> DataFrame:
+def attach_last_window(traffic: DataFrame, **window_options) -> DataFrame:
     """Left attach in which only the very last window keeps its model.
 
-    What remains when every round of a loop rebuilds all rows and forgets the round before.
+    What remains when every round of a loop rebuilds all rows and forgets the round before. The last
+    window is the last of the calendar, whether a page has a model in it or not.
     """
-    newest = models.where(F.col("k") == models.agg(F.max("k")).scalar())
-    return attach(traffic, newest, how="left")
+    return attach(traffic, last_window_models(traffic, **window_options), how="left")
 
 
 def score(attached: DataFrame) -> DataFrame:

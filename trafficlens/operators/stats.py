@@ -60,31 +60,30 @@ def edge_records(traffic: DataFrame) -> DataFrame:
 def running_totals(log: DataFrame) -> DataFrame:
     """Running file count, bytes, seconds and mean speed (MB/s) over a fetch log.
 
-    ``log`` has one row per hour file: hour_no, bytes, seconds. Days are summed first, so the
-    unpartitioned window sees one row per calendar day and the hours run within their day.
+    ``log`` has one row per hour file: hour_no, bytes, seconds. Hours run within their day; then a
+    window over one row per calendar day, which holds that day's few hours, adds the days before.
     """
-    days = log.withColumn("day_no", day_number("hour_no"))
-    per_day = days.groupBy("day_no").agg(
-        F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sum("seconds").alias("seconds")
-    )
-    before = Window.orderBy("day_no").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_day.select(
-        "day_no",
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before")
-          for c in ("files", "bytes", "seconds")],
-    )
     within = Window.partitionBy("day_no").orderBy("hour_no").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    running = days.select(
+    names = ("files", "bytes", "seconds")
+    hours = log.withColumn("day_no", day_number("hour_no")).where("day_no is not null")
+    running = hours.select(
         "day_no",
         "hour_no",
         F.count("*").over(within).alias("files"),
         F.sum("bytes").over(within).alias("bytes"),
         F.sum("seconds").over(within).alias("seconds"),
-    ).join(offsets, "day_no")
-    total = {c: F.col(c) + F.col(f"{c}_before") for c in ("files", "bytes", "seconds")}
-    return running.select(
+    )
+    # A day's hours lie together after the window above, and are summed there, without a shuffle.
+    rows = F.array_sort(F.collect_list(F.struct("hour_no", *names)))
+    days = running.groupBy("day_no").agg(rows.alias("rows"))
+    last = F.element_at("rows", -1)
+    before = Window.orderBy("day_no").rowsBetween(Window.unboundedPreceding, -1)
+    offset = [F.coalesce(F.sum(last[c]).over(before), F.lit(0)).alias(f"{c}_before") for c in names]
+    flat = days.select("rows", *offset).select(*[f"{c}_before" for c in names], F.inline("rows"))
+    total = {c: F.col(c) + F.col(f"{c}_before") for c in names}
+    return flat.select(
         "hour_no",
         date_of("hour_no").alias("date"),
         total["files"].alias("files"),

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.functions.hours import date_of, day_number, hour_number_from, timestamp_of
@@ -27,7 +27,6 @@ from trafficlens.schema import PAGE, with_hour_number
 
 WEEK = 7 * 24
 DAY = 24
-PAGE_SALTS = 16
 MODEL_COLUMNS = (
     "project", "title", "k", "window_start", "window_mid", "window_end", "n",
     "avg_requests", "avg_bytes", "var_requests", "var_bytes",
@@ -45,6 +44,8 @@ def anchored(
     """Add hour_no, origin (hour number of window 0's start) and windows (how many there are).
 
     anchor   "global": first hour of the input; "page": first hour of each page; or a datetime.
+             Then the rows are sums of the page's hours: n, requests, bytes, requests_sq, bytes_sq,
+             and high and low, the extremes of requests.
     last     last hour to consider, where known; otherwise found in the input.
     With both given as datetimes nothing has to be read in advance.
     window_count  "days": last hour div 24 - size div 24 + 1; "loop": windows whose end lies
@@ -52,14 +53,12 @@ def anchored(
     """
     rows = with_hour_number(traffic)
     if anchor == "page":
-        bounds = rows.groupBy(*PAGE).agg(
-            F.min("hour_no").alias("origin"), F.max("hour_no").alias("last_hour")
-        )
-        # Spread each page over a few keys, so that a hot page's rows do not meet in one task.
-        salts = F.sequence(F.lit(0), F.lit(PAGE_SALTS - 1)).cast("array<bigint>")
-        bounds = bounds.withColumn("salt", F.explode(salts))
-        salted = rows.withColumn("salt", F.pmod("hour_no", F.lit(PAGE_SALTS)))
-        rows = salted.join(bounds, [*PAGE, "salt"]).drop("salt")
+        # Hours of a page collapse first; then its first and last hour come from a window in the
+        # partitioning that the slices need, over one row per hour of the calendar at most.
+        extremes = [F.max("requests").alias("high"), F.min("requests").alias("low")]
+        rows = rows.groupBy(*PAGE, "hour_no").agg(*_model_sums(rows), *extremes).repartition(*PAGE)
+        page = Window.partitionBy(*PAGE)
+        rows = rows.select("*", F.min("hour_no").over(page).alias("origin"), F.max("hour_no").over(page).alias("last_hour"))
     elif anchor == "global" or last is None:
         # One row found first, then a constant of the plan.
         bounds = time_bounds(rows).select(F.struct("first_hour", "last_hour")).scalar()
@@ -136,7 +135,7 @@ def window_models(
     they are: two rows of one hour count as two.
     """
     rows = anchored(traffic, anchor, last, size, step, window_count)
-    parts = slices(rows, size, step, _model_sums())
+    parts = slices(rows, size, step, _model_sums(rows))
     spread = parts.select(
         *PAGE, "origin", F.explode(covering(size, step)).alias("k"),
         "n", "requests", "bytes", "requests_sq", "bytes_sq",
@@ -147,6 +146,23 @@ def window_models(
     return _finish(grouped, size, step, drop_zero_variance)
 
 
+def last_window_models(
+    traffic: DataFrame,
+    size: int = WEEK,
+    step: int = DAY,
+    anchor="global",
+    last: dt.datetime | None = None,
+    window_count: str = "days",
+    drop_zero_variance: bool = True,
+) -> DataFrame:
+    """The models of the very last window alone, from its own hours; a page without one has none."""
+    rows = anchored(traffic, anchor, last, size, step, window_count)
+    k = F.col("windows") - 1
+    since = F.col("hour_no") - F.col("origin") - k * step
+    grouped = rows.where((k >= 0) & since.between(0, size)).groupBy(*PAGE, "origin", k.alias("k")).agg(*_model_sums(rows))
+    return _finish(grouped, size, step, drop_zero_variance)
+
+
 def window_models_builtin(
     traffic: DataFrame,
     first: dt.datetime,
@@ -167,7 +183,7 @@ def window_models_builtin(
     grouped = (
         rows.withColumn("hour_ts", ts)
         .groupBy(*PAGE, "origin", "windows", frame.alias("frame"))
-        .agg(*_model_sums())
+        .agg(*_model_sums(rows))
     )
     start = F.timestamp_diff("HOUR", timestamp_of("origin"), F.col("frame.start"))
     numbered = grouped.withColumn("k", (start / step).cast("bigint")).where(
@@ -176,7 +192,13 @@ def window_models_builtin(
     return _finish(numbered, size, step, drop_zero_variance)
 
 
-def _model_sums() -> list[Column]:
+SUMS = ("n", "requests", "bytes", "requests_sq", "bytes_sq")
+
+
+def _model_sums(rows: DataFrame) -> list[Column]:
+    """Sums of traffic rows, or of rows that hold such sums of an hour already."""
+    if "requests_sq" in rows.columns:
+        return [F.sum(c).alias(c) for c in SUMS]
     return [
         F.count("*").alias("n"),
         F.sum("requests").alias("requests"),
@@ -206,15 +228,13 @@ def _finish(grouped: DataFrame, size: int, step: int, drop_zero_variance: bool)
     return models
 
 
-def own_window(day, size: int, step: int) -> Column:
-    """Number of the last window whose middle lies on ``day`` (a day number), NULL if none.
-
-    Uses the columns origin and windows of :func:`anchored`.
-    """
+def own_windows(day, size: int, step: int) -> tuple[Column, Column]:
+    """Numbers of the first and last window whose middle lies on ``day`` (a day number); there is
+    none if the first is larger. Uses the columns origin and windows of :func:`anchored`."""
     first_mid = F.col("origin") + size // 2
-    until = (day.cast("bigint") + 1) * 24 - 1 - first_mid
-    k = F.least(((until - F.pmod(until, F.lit(step))) / step).cast("bigint"), F.col("windows") - 1)
-    return F.when((k >= 0) & (day_number(first_mid + k * step) == day), k)
+    begin = day.cast("bigint") * 24 - first_mid
+    down = lambda hours: ((hours - F.pmod(hours, F.lit(step))) / step).cast("bigint")
+    return F.greatest(down(begin + step - 1), F.lit(0).cast("bigint")), F.least(down(begin + 23), F.col("windows") - 1)
 
 
 def daily_scores(
@@ -225,34 +245,33 @@ def daily_scores(
     last: dt.datetime | None = None,
     window_count: str = "days",
 ) -> DataFrame:
-    """Per page and day, the day's extremes against the model of the window centred on it.
+    """Per page and day, the day's extremes against the last window centred on it that has a model.
 
     Columns visit_max, z_max (largest distance from the mean in deviations) and ratio_max
     (largest count over mean). The largest |mean - x| of a day belongs to its largest or smallest
     x, so day extremes suffice: hours are shuffled once as slice sums and extremes, and each
-    slice part goes to the windows that cover it and, with its extremes, to its own day's window.
-    Equals scoring every hour and taking daily maxima.
+    slice part goes to the windows that cover it and, with its extremes, to the windows centred on
+    its day. Equals scoring every hour and taking daily maxima.
     """
     rows = anchored(traffic, anchor, last, size, step, window_count)
-    extremes = [F.max("requests").alias("high"), F.min("requests").alias("low")]
-    day = day_number("hour_no").alias("day_no")
-    parts = slices(
-        rows.withColumn("day_no", day), size, step, [*_model_sums(), *extremes], keys=["day_no"]
-    )
-    low, high, own = F.col("first_k"), F.col("last_k"), F.col("own_k")
+    most, least = ("high", "low") if "high" in rows.columns else ("requests", "requests")
+    extremes = [F.max(most).alias("high"), F.min(least).alias("low")]
+    rows = rows.withColumn("day_no", day_number("hour_no"))
+    parts = slices(rows, size, step, [*_model_sums(rows), *extremes], keys=["day_no"])
+    low, high = F.col("first_k"), F.col("last_k")
+    own_low, own_high = F.col("own_first"), F.col("own_last")
+    own_first, own_last = own_windows(F.col("day_no"), size, step)
     parts = parts.select(
-        "*",
-        first_window(size, step).alias("first_k"),
-        last_window().alias("last_k"),
-        own_window(F.col("day_no"), size, step).alias("own_k"),
+        "*", first_window(size, step).alias("first_k"), last_window().alias("last_k"),
+        own_first.alias("own_first"), own_last.alias("own_last"),
     )
-    covered = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-    # A day's own window nearly always covers it; short windows may leave some of its slices out.
-    targets = F.when(own.isNull() | own.between(low, high), covered).otherwise(
-        F.concat(covered, F.array(own))
+    numbers = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    # A day's own windows nearly always cover it; short windows may leave some of its slices out.
+    targets = F.concat(
+        numbers(low, high), F.filter(numbers(own_low, own_high), lambda k: ~k.between(low, high))
     )
     spread = parts.withColumn("k", F.explode(targets))
-    counts, is_own = F.col("k").between(low, high), F.col("k") == own
+    counts, is_own = F.col("k").between(low, high), F.col("k").between(own_low, own_high)
     sums = [
         F.sum(F.when(counts, F.col(c))).alias(c)
         for c in ("n", "requests", "bytes", "requests_sq", "bytes_sq")
@@ -270,9 +289,12 @@ def daily_scores(
         for c in ("requests", "bytes")
     ]
     models = grouped.where((n > 1) & F.col("day_no").isNotNull()).select(
-        *PAGE, "day_no", "high", "low", mean.alias("mean"), *variances
+        *PAGE, "day_no", "k", "high", "low", mean.alias("mean"), *variances
     )
     models = models.where((F.col("var_requests") != 0) & (F.col("var_bytes") != 0))
+    if step < 24:
+        newest = F.max_by(F.struct("high", "low", "mean", "var_requests"), "k").alias("m")
+        models = models.groupBy(*PAGE, "day_no").agg(newest).select(*PAGE, "day_no", "m.*")
     furthest = F.greatest(
         F.abs(F.col("mean") - F.col("high")), F.abs(F.col("mean") - F.col("low"))
     )
@@ -303,11 +325,12 @@ def kernel_means(
     reach = 2 * half  # hours beyond weigh 0 when size is odd
     rows = anchored(traffic, anchor, last, size, step, window_count)
     o, x = wide(F.col("offset")), wide(F.col("requests"))
+    one = F.col("n") if "requests_sq" in rows.columns else F.lit(1).cast("bigint")
     names = ("n", "n1", "n2", "x", "x1", "x2")
     sums = [
-        F.count("*").cast("decimal(20,0)").alias("n"),
-        F.sum(o).alias("n1"),
-        F.sum(o * o).alias("n2"),
+        F.sum(one).cast("decimal(20,0)").alias("n"),
+        F.sum(o * one).alias("n1"),
+        F.sum((o * o).cast("decimal(12,0)") * one).alias("n2"),
         F.sum(x).alias("x"),
         F.sum(o * x).alias("x1"),
         F.sum((o * o).cast("decimal(12,0)") * x).alias("x2"),

@@ -1,9 +1,14 @@
-"""Window models kept up to date: only windows that became complete are computed."""
+"""Window models kept up to date, in whatever order hours arrive.
+
+A window is published once an hour after its end has been seen. From then on every new hour inside
+it has it computed again and replaced, so late hours end up in the models as if they had come in time.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +16,8 @@ from trafficlens.functions.hours import EPOCH, hour_number_from
 from trafficlens.operators.filters import since
 from trafficlens.operators.stats import time_bounds
 from trafficlens.operators.windows import DAY, WEEK, window_models
-from trafficlens.sinks import write_window_models
+from trafficlens.schema import with_hour_number
+from trafficlens.sinks import replace_window_models
 from trafficlens.sources import read_traffic_table
 
 
@@ -19,6 +25,13 @@ def window_begin(anchor: dt.datetime, k: int, step: int = DAY) -> dt.datetime:
     return anchor + dt.timedelta(hours=k * step)
 
 
+def windows_complete(anchor: dt.datetime, newest: int | None, size: int, step: int) -> int:
+    """How many windows end before the newest hour number."""
+    if newest is None:
+        return 0
+    return max(0, -((hour_number_from(anchor) + size - newest) // step))
+
+
 def new_window_models(
     traffic: DataFrame, anchor: dt.datetime, last: dt.datetime, from_window: int,
     size: int = WEEK, step: int = DAY, window_count: str = "loop", drop_zero_variance: bool = True,
@@ -38,30 +51,68 @@ def roll_forward(
     spark: SparkSession, traffic_path: str, models_path: str, anchor: dt.datetime,
     size: int = WEEK, step: int = DAY, done: int | None = None,
 ) -> int:
-    """Append the models of newly complete windows to ``models_path``; returns how many windows.
+    """Add the models of newly complete windows to ``models_path``; returns how many windows.
 
-    ``done`` is the number of windows already there; if not given it is read from the models.
-    Two one-row reads find where to start; the traffic read is pruned to the dates needed.
+    For hours that come in order. ``done`` is the number of windows already there; if not given it
+    is read from the models. The traffic read is pruned to the dates needed.
     """
     if done is None:
         done = _windows_done(spark, models_path)
     begin = window_begin(anchor, done, step)
     traffic = read_traffic_table(spark, traffic_path, start=begin.date())
     newest = time_bounds(traffic).first()["last_hour"]
-    if newest is None:
-        return 0
-    complete = -((hour_number_from(anchor) + size - newest) // step)
+    complete = windows_complete(anchor, newest, size, step)
     if complete <= done:
         return 0
-    last = EPOCH + dt.timedelta(hours=newest)
-    models = new_window_models(traffic, anchor, last, done, size, step)
-    write_window_models(models, models_path, mode="append")
+    _replace(spark, traffic_path, models_path, anchor, range(done, complete), newest, size, step)
     return complete - done
 
 
+def roll_hours(
+    spark: SparkSession, traffic_path: str, models_path: str, anchor: dt.datetime,
+    hours: list[int], newest_before: int | None, newest: int, size: int = WEEK, step: int = DAY,
+) -> int:
+    """Bring the models up to date after the hour numbers ``hours`` joined the table, in any order.
+
+    Windows that cover one of them, and those that ``newest`` completes compared to
+    ``newest_before``, are computed from all their hours in the table. Doing it again changes
+    nothing. Lists are bounded by the calendar. Returns how many windows were computed.
+    """
+    first = hour_number_from(anchor)
+    complete = windows_complete(anchor, newest, size, step)
+    wanted = set(range(windows_complete(anchor, newest_before, size, step), complete))
+    for hour in hours:
+        at = hour - first
+        wanted.update(range(max(0, -((size - at) // step)), min(at // step, complete - 1) + 1))
+    if wanted:
+        _replace(spark, traffic_path, models_path, anchor, wanted, newest, size, step)
+    return len(wanted)
+
+
+def _replace(spark, traffic_path, models_path, anchor, wanted, newest, size, step) -> None:
+    """Compute the wanted windows and all others centred on their dates, and replace those dates."""
+    mid = lambda k: (window_begin(anchor, k, step) + dt.timedelta(hours=size // 2)).date()
+    dates = {mid(k) for k in wanted}
+    around = -(-DAY // step) + 1
+    complete = windows_complete(anchor, newest, size, step)
+    ks = {j for k in wanted for j in range(max(0, k - around), min(complete, k + around + 1)) if mid(j) in dates}
+    days = {(window_begin(anchor, k, step) + dt.timedelta(hours=h)).date() for k in ks for h in {*range(0, size, DAY), size}}
+    traffic = read_traffic_table(spark, traffic_path, dates=sorted(days))
+    models = window_models(traffic, size, step, anchor, EPOCH + dt.timedelta(hours=newest), "loop")
+    replace_window_models(models.where(F.col("k").isin(sorted(ks))), models_path)
+
+
+def hours_in(traffic: DataFrame) -> list[int]:
+    """The hour numbers of a batch, in order; bounded by the calendar."""
+    return sorted(r.hour_no for r in with_hour_number(traffic).select("hour_no").distinct().collect())
+
+
 def _windows_done(spark: SparkSession, models_path: str) -> int:
-    path = spark._jvm.org.apache.hadoop.fs.Path(models_path)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    try:
+        newest = spark.read.parquet(models_path).agg(F.max("k")).first()[0]
+    except AnalysisException as error:
+        # Nothing has been written yet.
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return 0
-    newest = spark.read.parquet(models_path).agg(F.max("k")).first()[0]
     return 0 if newest is None else newest + 1

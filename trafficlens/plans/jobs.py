@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,19 +15,31 @@ from trafficlens.operators.anomalies import (
     top_per_day,
 )
 from trafficlens.operators.filters import in_projects, on_whitelist, require_page
-from trafficlens.operators.regression import page_regression
+from trafficlens.operators.regression import lagged, page_regression, page_sums, skipped_pages
 from trafficlens.operators.scoring import (
     attach,
     attach_last_window,
     score,
     with_severity,
 )
-from trafficlens.operators.series import moving_average_series, regression_series
+from trafficlens.operators.series import moving_average_series, regression_series, traffic_series
 from trafficlens.operators.stats import day_sums, page_stats
 from trafficlens.operators.windows import DAY, WEEK, window_models
-from trafficlens.schema import TRAFFIC_FIELDS
+from trafficlens.schema import TRAFFIC_FIELDS, hourly
 from trafficlens.sinks import write_by, write_text, write_traffic_table, write_window_models
-from trafficlens.sources import read_anomalies, read_dumps, read_traffic, read_whitelist
+from trafficlens.sources import (
+    coverage_gaps,
+    expected_hours,
+    list_dumps,
+    read_anomalies,
+    read_dumps,
+    read_folder,
+    read_traffic,
+    read_traffic_table,
+    read_whitelist,
+    table_bounds,
+)
+from trafficlens.streaming.rolling import roll_dumps
 
 SCORED_FIELDS = (
     "project", "title", "requests", "bytes", "avg_requests", "avg_bytes", "var_requests",
@@ -34,105 +48,172 @@ SCORED_FIELDS = (
 )
 
 
+def load_traffic(
+    spark: SparkSession, path: str, table: bool = False, sep: str = " ", mode: str = "fail",
+    start: dt.date | None = None, end: dt.date | None = None,
+) -> DataFrame:
+    """Traffic from prepared text, or from a table that ``ingest`` wrote, of which dates outside
+    [start, end] are not read."""
+    if table:
+        return read_traffic_table(spark, path, start, end)
+    rows = read_traffic(spark, path, sep, mode)
+    date = F.make_date("year", "month", "day")
+    if start is not None:
+        rows = rows.where(date >= F.lit(start))
+    return rows if end is None else rows.where(date <= F.lit(end))
+
+
+def _window_bounds(spark, path: str, anchor, source: dict) -> dict:
+    """Anchor and last hour for window operators. A table tells them by its dates and two of its
+    days, so that the rows are read once; text is left to the operator."""
+    if anchor is not None:
+        return {"anchor": anchor}
+    if not source.get("table"):
+        return {}
+    found = table_bounds(spark, path, source.get("start"), source.get("end"))
+    return {} if found is None else {"anchor": found[0], "last": found[1]}
+
+
+def _raw(spark: SparkSession, dumps: str, table: bool, mode: str) -> DataFrame:
+    return read_traffic_table(spark, dumps) if table else read_dumps(spark, dumps, mode)
+
+
 def filter_job(
     spark: SparkSession, dumps: str, output: str, whitelist: str, titles_only: bool = False,
-    dedupe: bool = True,
+    dedupe: bool = True, table: bool = False, mode: str = "fail",
 ) -> None:
-    """Raw dumps to prepared text traffic of the whitelisted pages."""
+    """Raw dumps (or the table) to prepared text traffic of the whitelisted pages."""
     listed = read_whitelist(spark, whitelist, titles_only=titles_only)
-    rows = on_whitelist(read_dumps(spark, dumps), listed, dedupe)
+    rows = on_whitelist(_raw(spark, dumps, table, mode), listed, dedupe)
     write_text(rows.select(*TRAFFIC_FIELDS), f"{output}/filtered")
 
 
-def ingest_job(spark: SparkSession, dumps: str, output: str) -> None:
-    """Raw dumps to a date-partitioned table, so later jobs read columns and dates they need."""
-    write_traffic_table(read_dumps(spark, dumps), output)
+def ingest_job(spark: SparkSession, dumps: str, output: str, mode: str = "fail", folder: bool = False) -> None:
+    """Raw dumps to a date-partitioned table, so later jobs read columns and dates they need.
+
+    With ``folder`` every hour comes from its lowest version alone.
+    """
+    read = read_folder if folder else read_dumps
+    write_traffic_table(read(spark, dumps, mode), output)
 
 
-def stats_job(spark: SparkSession, dumps: str, output: str, projects=("en", "de")) -> None:
-    """Raw dumps to day sums and page statistics; the second reads what the first wrote."""
+def stats_job(
+    spark: SparkSession, dumps: str, output: str, projects=("en", "de"), table: bool = False, mode: str = "fail",
+) -> None:
+    """Raw dumps (or the table) to day sums and page statistics; the second reads what the first wrote."""
     sums_path = f"{output}/day_sums"
-    sums = day_sums(in_projects(read_dumps(spark, dumps), projects))
+    sums = day_sums(in_projects(_raw(spark, dumps, table, mode), projects))
     sums.write.mode("overwrite").parquet(sums_path)
     write_text(page_stats(spark.read.parquet(sums_path)), f"{output}/stats")
 
 
+def coverage_job(spark: SparkSession, folder: str, output: str, start: dt.date, end: dt.date) -> None:
+    """The hours from start up to, not including, end that no file of a folder serves, by day."""
+    midnight = lambda d: dt.datetime(d.year, d.month, d.day)
+    expected = expected_hours(spark, midnight(start), midnight(end))
+    write_text(coverage_gaps(expected, list_dumps(spark, folder)).orderBy("date"), f"{output}/missing", sep="\t")
+
+
+def roll_job(
+    spark: SparkSession, folder: str, output: str, anchor: dt.datetime, size: int = WEEK, step: int = DAY,
+    mode: str = "fail",
+) -> None:
+    """Take in the dump files of a folder that are new since the last run, and bring models up to date."""
+    query = roll_dumps(spark, folder, f"{output}/traffic", f"{output}/models", f"{output}/checkpoint", anchor, size, step, mode=mode)
+    query.awaitTermination()
+
+
 def moving_average_job(
     spark: SparkSession, traffic: str, output: str, size: int = WEEK, step: int = DAY,
-    as_written: bool = False,
+    as_written: bool = False, anchor: dt.datetime | None = None, window_count: str = "days", **source,
 ) -> None:
     """Prepared traffic to per-day anomalies of every page."""
-    rows = read_traffic(spark, traffic)
+    rows = load_traffic(spark, traffic, **source)
+    options = dict(size=size, step=step, window_count=window_count, **_window_bounds(spark, traffic, anchor, source))
     if as_written:
-        scored = score(attach(rows, window_models(rows, size, step), step=step))
+        scored = score(attach(rows, window_models(rows, **options), step=step))
         days = daily_from_scores(scored, as_written=True)
     else:
-        days = moving_average_anomalies(rows, size, step)
-    write_text(days, f"{output}/allAnomalies")
+        days = moving_average_anomalies(rows, **options)
+    write_text(days, f"{output}/daily_anomalies")
 
 
 def severity_job(
     spark: SparkSession, traffic: str, output: str, size: int = WEEK, step: int = DAY,
-    last_window_only: bool = False,
+    last_window_only: bool = False, anchor: dt.datetime | None = None, window_count: str = "days", **source,
 ) -> None:
     """Prepared traffic to every scored hour, one folder per severity; unmodelled hours stay."""
-    rows = read_traffic(spark, traffic)
-    models = window_models(rows, size, step)
-    attached = attach_last_window(rows, models) if last_window_only else attach(
-        rows, models, how="left", step=step
-    )
+    rows = load_traffic(spark, traffic, **source)
+    options = dict(size=size, step=step, window_count=window_count, **_window_bounds(spark, traffic, anchor, source))
+    if last_window_only:
+        attached = attach_last_window(rows, **options)
+    else:
+        attached = attach(rows, window_models(rows, **options), how="left", step=step)
     scored = with_severity(score(attached))
-    write_by(scored.select(*SCORED_FIELDS, "has_model", "severity"), f"{output}/allAnomalies", "severity")
+    write_by(scored.select(*SCORED_FIELDS, "has_model", "severity"), f"{output}/scored_hours", "severity")
 
 
 def page_windows_job(
     spark: SparkSession, traffic: str, output: str, project: str, title: str,
-    size: int = WEEK, step: int = DAY,
+    size: int = WEEK, step: int = DAY, **source,
 ) -> None:
     """One page's window models and its scored hours; models of constant windows are kept."""
-    rows = require_page(read_traffic(spark, traffic), project, title)
+    rows = require_page(load_traffic(spark, traffic, **source), project, title)
     models = window_models(rows, size, step, window_count="loop", drop_zero_variance=False)
-    models_path = f"{output}/averages_variances"
+    models_path = f"{output}/window_models"
     write_window_models(models, models_path)
     stored = spark.read.parquet(models_path).drop("window_mid_date")
-    scored = score(attach(rows, stored, all_windows=True, step=step))
+    scored = score(attach(rows, stored, all_windows=True))
     fields = [c for c in SCORED_FIELDS if not c.startswith(("avg_", "var_"))]
-    write_text(scored.select(*fields), f"{output}/anomalies_normalIterate")
+    write_text(scored.select(*fields), f"{output}/page_hours")
 
 
-def regression_job(spark: SparkSession, traffic: str, project: str, output: str, **fit_options) -> None:
-    """Prepared traffic to per-day regression anomalies of every page of a project."""
-    rows = in_projects(read_traffic(spark, traffic), (project,))
-    write_text(daily_from_residuals(page_regression(rows, **fit_options)), f"{output}/anomalies")
+def regression_job(
+    spark: SparkSession, traffic: str, project: str, output: str, min_rows: int = 7, log_target: bool = False,
+    source: dict | None = None, **fit_options,
+) -> None:
+    """Prepared traffic to per-day regression anomalies of every page of a project, and the pages
+    that got no model, with the reason."""
+    rows = in_projects(load_traffic(spark, traffic, **(source or {})), (project,))
+    found = page_regression(rows, min_rows, log_target=log_target, **fit_options)
+    write_text(daily_from_residuals(found), f"{output}/anomalies")
+    sums = page_sums(lagged(hourly(rows), log_target))
+    skipped = skipped_pages(sums, min_rows, fit_options.get("solver", "gd"))
+    write_text(skipped, f"{output}/skipped", sep="\t")
 
 
-def anomalies_per_day_report(spark: SparkSession, anomalies: str, k: int = 5) -> DataFrame:
-    """Largest anomalies of each day, each page once."""
-    return top_per_day(read_anomalies(spark, anomalies), k, distinct_pages=True)
+def anomalies_per_day_job(spark: SparkSession, anomalies: str, output: str, k: int = 5) -> None:
+    """Largest anomalies of each day, each page once, all of them, ranked within the day."""
+    found = top_per_day(read_anomalies(spark, anomalies), k, distinct_pages=True)
+    write_text(found.orderBy("year", "month", "day", "rank"), f"{output}/per_day")
 
 
-def top_anomalies_report(spark: SparkSession, anomalies: str, k: int | None = None) -> DataFrame:
-    """Largest anomalies over all days."""
-    return top_k(read_anomalies(spark, anomalies), k)
+def top_anomalies_job(spark: SparkSession, anomalies: str, output: str, k: int | None = None) -> None:
+    """Largest anomalies over all days, in order; without ``k`` every one."""
+    write_text(top_k(read_anomalies(spark, anomalies), k), f"{output}/top")
 
 
 def page_series_job(
     spark: SparkSession, traffic: str, output: str, project: str, title: str,
-    model: str | None = None, size: int = WEEK, step: int = DAY, sep: str = " ",
+    model: str | None = None, size: int = WEEK, step: int = DAY, **source,
 ) -> None:
-    """One page as chart series under "moving_average" or "regression", or its rows without a model.
+    """One page as chart series under "moving_average", "regression" or "traffic", or its rows
+    without a model. Written with the separator it was read by.
 
     Rows without a model never overwrite an earlier extract.
     """
-    rows = read_traffic(spark, traffic, sep)
+    rows = load_traffic(spark, traffic, **source)
+    sep = source.get("sep", " ")
     if model is None:
         page = require_page(rows, project, title)
-        write_text(page.select(*TRAFFIC_FIELDS), f"{output}/plot", mode="errorifexists")
+        write_text(page.select(*TRAFFIC_FIELDS), f"{output}/plot", sep, mode="errorifexists")
         return
     if model == "moving_average":
         series = moving_average_series(rows, project, title, size, step)
     elif model == "regression":
         series = regression_series(rows, project, title)
+    elif model == "traffic":
+        series = traffic_series(rows, project, title)
     else:
         raise ValueError(f"unknown model {model!r}")
-    write_text(series, f"{output}/{model}_series")
+    write_text(series, f"{output}/{model}_series", sep)

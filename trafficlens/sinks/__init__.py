@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions.hours import date_of
 from trafficlens.schema import PAGE, TRAFFIC_FIELDS, with_hour_number
 
 
+NULL_FIELD = "\\N"
+
+
 def write_text(df: DataFrame, path: str, sep: str = " ", mode: str = "overwrite") -> None:
-    """All columns in order, joined by ``sep``; NULL becomes an empty field."""
-    fields = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in df.columns]
-    df.select(F.concat_ws(sep, *fields).alias("value")).write.mode(mode).text(path)
+    """All columns in order, joined by ``sep``; NULL becomes the field \\N.
+
+    A field that contains the separator or a line break would shift the columns of its line for
+    every reader, so it stops the job.
+    """
+    def field(name: str) -> Column:
+        text = F.col(name).cast("string")
+        broken = text.contains(sep) | text.contains("\n")
+        message = F.concat(F.lit(f"{name} contains the separator: "), text)
+        return F.coalesce(F.when(broken, F.raise_error(message).cast("string")).otherwise(text), F.lit(NULL_FIELD))
+
+    df.select(F.concat_ws(sep, *[field(name) for name in df.columns]).alias("value")).write.mode(mode).text(path)
 
 
 def write_traffic_table(
@@ -43,6 +55,13 @@ def _spread(df: DataFrame, date: str, parts: int) -> DataFrame:
     return df.withColumn("part", part).hint("rebalance", date, "part").drop("part")
 
 
+def replace_window_models(models: DataFrame, path: str, files_per_date: int = 2) -> None:
+    """Write models over those of the same dates of the window's middle; other dates stay."""
+    dated = models.withColumn("window_mid_date", F.col("window_mid").cast("date"))
+    writer = _spread(dated, "window_mid_date", files_per_date).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("window_mid_date").parquet(path)
+
+
 def write_by(df: DataFrame, path: str, column: str, mode: str = "overwrite") -> None:
     """One folder per value of ``column``, such as the severity or the project."""
     df.write.mode(mode).partitionBy(column).parquet(path)

@@ -1,10 +1,11 @@
-from trafficlens.sources.hours import coverage_gaps, expected_hours, first_version, paths_for_hours
-from trafficlens.sources.tables import events_as_traffic, read_traffic_table
+from trafficlens.sources.hours import coverage_gaps, expected_hours, first_version, list_dumps, paths_for_hours
+from trafficlens.sources.tables import events_as_traffic, read_traffic_table, table_bounds
 from trafficlens.sources.text import (
     parse_dump_lines,
     read_anomalies,
     read_dump_file,
     read_dumps,
+    read_folder,
     read_traffic,
     read_whitelist,
 )
@@ -14,12 +15,15 @@ __all__ = [
     "events_as_traffic",
     "expected_hours",
     "first_version",
+    "list_dumps",
     "parse_dump_lines",
     "paths_for_hours",
     "read_anomalies",
     "read_dump_file",
     "read_dumps",
+    "read_folder",
     "read_traffic",
     "read_traffic_table",
     "read_whitelist",
+    "table_bounds",
 ]

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.functions.hours import day_number, hour_number_from, timestamp_of
+from trafficlens.functions.hours import day_number, hour_number, hour_number_from, timestamp_of
 
 
 def paths_for_hours(folder: str, start: dt.datetime, hours: int) -> list[str]:
@@ -23,20 +23,37 @@ def expected_hours(spark: SparkSession, start: dt.datetime, end: dt.datetime) ->
     )
 
 
-def first_version(listing: DataFrame) -> DataFrame:
+def list_dumps(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows (hour_no, version, path) of the dump files in a folder, from their names alone.
+
+    The version is the digits after the hour, as a number. Files of other names are passed over.
+    """
+    files = spark.read.format("binaryFile").load(folder).select("path")
+    digits = F.regexp_extract("path", r"pagecounts-(\d{8})-(\d{2,})[^/]*$", 1)
+    rest = F.regexp_extract("path", r"pagecounts-(\d{8})-(\d{2,})[^/]*$", 2)
+    part = lambda column, start, length: F.substring(column, start, length).try_cast("int")
+    named = files.where(digits != "").select(
+        hour_number(part(digits, 1, 4), part(digits, 5, 2), part(digits, 7, 2), part(rest, 1, 2)).alias("hour_no"),
+        F.coalesce(F.substring(rest, 3, 18).try_cast("bigint"), F.lit(0)).alias("version"), "path")
+    return named.where("hour_no is not null")
+
+
+def first_version(listing: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The file each hour is served by: its lowest version between 0 and 9.
 
-    ``listing`` has hour_no and version (the digits after the hour in the file name).
+    ``listing`` has hour_no and version (the digits after the hour in the file name), further
+    ``keys`` if several listings are in it, and a path where there is one.
     """
     known = listing.where(F.col("version").between(0, 9))
-    return known.groupBy("hour_no").agg(F.min("version").alias("version"))
+    path = [F.min_by("path", F.struct("version", "path")).alias("path")] if "path" in listing.columns else []
+    return known.groupBy(*keys, "hour_no").agg(F.min("version").alias("version"), *path)
 
 
-def coverage_gaps(expected: DataFrame, listing: DataFrame) -> DataFrame:
-    """Expected hours that no listed file serves, by day, with the missing count."""
-    missing = expected.join(first_version(listing), "hour_no", "left_anti")
+def coverage_gaps(expected: DataFrame, listing: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Expected hours that no listed file serves, by day (and ``keys``), with the missing count."""
+    missing = expected.join(first_version(listing, keys), [*keys, "hour_no"], "left_anti")
     day = F.date_from_unix_date(day_number("hour_no")).alias("date")
-    return missing.groupBy(day).agg(
+    return missing.groupBy(*keys, day).agg(
         F.count("*").alias("missing_hours"),
         timestamp_of(F.min("hour_no")).alias("first_missing"),
     )

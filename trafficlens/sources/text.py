@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.schema import ANOMALIES_DDL, TRAFFIC_FIELDS, with_timestamp
+from trafficlens.sinks import NULL_FIELD
+from trafficlens.sources.hours import first_version, list_dumps
 
 DUMP_FIELDS = ("project", "title", "requests", "bytes")
 NUMBER_TYPES = {
@@ -35,6 +37,17 @@ def read_dumps(spark: SparkSession, paths, mode: str = "fail") -> DataFrame:
     return parse_dump_lines(lines, mode=mode)
 
 
+def read_folder(spark: SparkSession, folder: str, mode: str = "fail") -> DataFrame:
+    """All hours of a folder, each from the file of its lowest version, so that none counts twice.
+
+    The list of files is bounded by the hours of the calendar.
+    """
+    chosen = first_version(list_dumps(spark, folder)).select("path").collect()
+    if not chosen:
+        raise ValueError(f"no dump files in {folder}")
+    return read_dumps(spark, sorted(r.path for r in chosen), mode)
+
+
 def read_dump_file(spark: SparkSession, path: str) -> DataFrame:
     """One dump file, its hour taken from the path, as a nested ``time``; short lines fail."""
     lines = spark.read.text(path).select("value", F.lit(path).alias("file_name"))
@@ -108,7 +121,12 @@ def _typed(rows: DataFrame, fields, mode: str) -> DataFrame:
         if mode == "fail":
             message = F.concat(F.lit(f"not a number in {name}: "), F.col(name))
             value = F.coalesce(value, F.raise_error(message).cast(NUMBER_TYPES[name]))
-        return value
-
-    typed = rows.select(*[number(n).alias(n) if n in numbers else F.col(n) for n in fields])
-    return typed.dropna(subset=numbers) if mode == "drop" else typed
+        # The writers' token for NULL is no bad number.
+        return F.when(F.col(name) != NULL_FIELD, value)
+
+    if mode == "drop":
+        good = [F.col(n).try_cast(NUMBER_TYPES[n]).isNotNull() | (F.col(n) == NULL_FIELD) for n in numbers]
+        for test in good:
+            rows = rows.where(test)
+    texts = lambda n: F.when(F.col(n) != NULL_FIELD, F.col(n))
+    return rows.select(*[(number(n) if n in numbers else texts(n)).alias(n) for n in fields])

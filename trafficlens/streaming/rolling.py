@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from trafficlens.operators.stats import time_bounds
 from trafficlens.operators.windows import DAY, WEEK
-from trafficlens.plans.incremental import roll_forward
+from trafficlens.plans.incremental import hours_in, roll_hours
 from trafficlens.sinks import write_traffic_table
-from trafficlens.sources import parse_dump_lines
+from trafficlens.sources import parse_dump_lines, read_traffic_table
 
 
 def roll_dumps(
@@ -22,8 +23,9 @@ def roll_dumps(
     """Start reading the dump files that are there and not yet read; ends when all are in.
 
     Each round writes its own folder of the traffic table, so a round repeated after a failure
-    replaces its rows instead of doubling them. Then the windows it completed are modelled from
-    the last ``size`` hours only. Files must arrive in order of time, as dumps do.
+    replaces its rows instead of doubling them. Then the windows that its hours complete or lie in
+    are modelled and replaced. Files may arrive in any order and late: a window is published when an
+    hour after its end is there, and again when hours of it come later.
     """
     lines = (
         spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_batch)
@@ -33,8 +35,18 @@ def roll_dumps(
     traffic = parse_dump_lines(lines, mode=mode)
 
     def round_(batch: DataFrame, number: int) -> None:
-        write_traffic_table(batch, f"{traffic_path}/batch={number}")
-        roll_forward(batch.sparkSession, traffic_path, models_path, anchor, size, step)
+        own = f"{traffic_path}/batch={number}"
+        write_traffic_table(batch, own)
+        session = batch.sparkSession
+        if batch.isEmpty():
+            return
+        hours = hours_in(read_traffic_table(session, own))
+        others = session.read.parquet(traffic_path).where(F.col("batch") != number)
+        # Of the other rounds the newest date first, which needs no data, then its newest hour.
+        day = others.agg(F.max("date")).first()[0]
+        before = None if day is None else time_bounds(others.where(F.col("date") == day)).first()["last_hour"]
+        newest = max([hours[-1], *([] if before is None else [before])])
+        roll_hours(session, traffic_path, models_path, anchor, hours, before, newest, size, step)
 
     return (
         traffic.writeStream.foreachBatch(round_)
