@@ -18,10 +18,12 @@ def traffic(kind: str) -> str:
     project = {
         "all": "'all'",
         "langs": "CASE user_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'fr' END",
+        "users": "'users'",
     }[kind]
+    title = "CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE 'u' || user_id END" if kind == "users" else "event_type"
     return f"""
 traffic AS (
-  SELECT {project} AS project, event_type AS title, date_trunc('hour', ts) AS ts,
+  SELECT {project} AS project, {title} AS title, date_trunc('hour', ts) AS ts,
          count(*) AS requests, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS bytes,
          CAST(year(date_trunc('hour', ts)) AS INTEGER) AS year,
          CAST(month(date_trunc('hour', ts)) AS INTEGER) AS month,
@@ -347,6 +349,8 @@ ORACLES: dict[str, str] = {
     "distinct_titles": f"WITH {traffic('langs')} SELECT DISTINCT title FROM traffic WHERE project = 'en'",
     "window_models": window_query("all", rule="loop", nonzero=False),
     "window_models_nonzero": window_query("langs"),
+    "users_window_models": window_query("users"),
+    "users_daily_anomalies": anomaly_query("users", f"SELECT {ANOMALIES_OUT} FROM anomalies"),
     "window_models_ragged": window_query("langs", size=50, step=7),
     "window_models_sparse": window_query("langs", size=12, step=31),
     "window_models_by_page": window_query("langs", by_page=True),
@@ -441,3 +445,4 @@ ORACLES: dict[str, str] = {
 ORACLES["whitelist_file"] = ORACLES["filter_job"] = ORACLES["whitelist_semi"]
 ORACLES["stats_job"] = ORACLES["page_stats"]
 ORACLES["skipped_pages_ols"] = ORACLES["skipped_pages"]
+ORACLES["users_severity_counts"] = ORACLES["severity_counts"].replace(traffic("langs"), traffic("users"))

@@ -59,6 +59,12 @@ def traffic_langs(spark: SparkSession, sf: str) -> DataFrame:
     return events_as_traffic(events(spark, sf), language, F.col("event_type"))
 
 
+def traffic_users(spark: SparkSession, sf: str) -> DataFrame:
+    """A page per user, but for a third of the users, who share one hot page."""
+    title = F.when(F.col("user_id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("user_id")))
+    return events_as_traffic(events(spark, sf), F.lit("users"), title)
+
+
 def bounds(traffic: DataFrame):
     """First and last hour as datetimes: one row read from the hour columns."""
     row = stats.time_bounds(traffic).select(
@@ -306,6 +312,18 @@ def window_models_nonzero(spark, sf):
     return _models(windows.window_models(traffic_langs(spark, sf)))
 
 
+def users_window_models(spark, sf):
+    return _models(windows.window_models(traffic_users(spark, sf)))
+
+
+def users_daily_anomalies(spark, sf):
+    return rounded(anomalies.moving_average_anomalies(traffic_users(spark, sf)))
+
+
+def users_severity_counts(spark, sf):
+    return scoring.severity_counts(_scored(traffic_users(spark, sf)))
+
+
 def window_models_ragged(spark, sf):
     """Steps that do not divide the size: 50 hours every 7."""
     return _models(windows.window_models(traffic_langs(spark, sf), size=50, step=7))
@@ -561,7 +579,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         dump_lines, dump_files, dump_hour_globs, dump_single_file, dump_folder_versions, whitelist_file,
         filter_job, stats_job, table_daily_anomalies, table_regression_daily, rolled_out_of_order,
-        ma_daily_anomalies_short_steps, ma_daily_anomalies_tiny_windows, skipped_pages_ols,
+        ma_daily_anomalies_short_steps, ma_daily_anomalies_tiny_windows, skipped_pages_ols, users_window_models, users_daily_anomalies, users_severity_counts,
         traffic_text_roundtrip, anomalies_text_roundtrip, hour_versions,
         hour_coverage_gaps, project_filter, page_filter, whitelist_semi, whitelist_titles,
         whitelist_join, day_sums,
