@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
+from trafficlens.session import importable
+
 # About so many bytes of text are turned into arrays at a time; a longer text is one slice.
 SLICE_BYTES = 1 << 20
 
@@ -94,7 +96,9 @@ class Texts:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep the session's Arrow batches within the limits; no result depends on them."""
+    """Keep the session's Arrow batches within the limits; no result depends on them. Workers are
+    told where this package is."""
+    importable(spark)
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
