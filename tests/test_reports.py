@@ -126,3 +126,14 @@ def test_kernel(spark):
 
 def test_titles(sample):
     assert {r.title for r in anomalies.distinct_titles(sample).collect()} == {"Dense", "Gaps", "Short"}
+
+
+def test_running_totals_compute_the_log_once(spark, tmp_path):
+    log = spark.range(200).select(F.col("id").alias("hour_no"), (F.col("id") * 3).alias("bytes"), F.lit(0.5).alias("seconds"))
+    log.write.parquet(str(tmp_path / "log"))
+    found = stats.running_totals(spark.read.parquet(str(tmp_path / "log")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+    rows = found.orderBy("hour_no").collect()
+    assert [r.files for r in rows] == list(range(1, 201))
+    assert [r.total_bytes for r in rows] == [sum(3 * i for i in range(n + 1)) for n in range(200)]
