@@ -6,9 +6,14 @@ same place is taken out (a replaced word), or is the other line with one word ta
 word). So each line emits hashed keys of its variants, equal keys meet, and the earliest line of a
 key stands for it. The distance is then verified on the words themselves.
 
-A line of n words has n variants, so only lines that can have a partner emit them: with one edit,
-either the first or the last q words of two lines are equal, q being at most half their words.
-Everything is DataFrame operations.
+A line of n words has n variants, so only lines that can have a partner emit them. First by two keys
+a line: with one edit, either the first or the last q words of two lines are equal, q being at most
+half their words. Of the lines left, by eight: of four quarters of a line one edit leaves three,
+two counted from the front and two from the back. Neither step loses a pair. Lines that share three
+quarters emit the variants of the words outside them, a quarter or so of the line.
+
+Tables that grow with the corpus are joined by sorting, never broadcast. Everything is DataFrame
+operations.
 """
 
 from __future__ import annotations
@@ -66,16 +71,50 @@ def _end_keys(words: Column) -> Column:
     return F.concat(own, F.when((n > NEAR_WORDS) & (less != q), F.array(*keys(less))).otherwise(none))
 
 
-def _variants(hashed: Column) -> Column:
-    """Structs (key, kind) of a line given by its words' hashes: a word taken out at a place (0), the
-    whole line (1), a word taken out (2)."""
+def _slice(words: Column, begin, end) -> Column:
+    return F.slice(words, F.lit(begin) + 1 if isinstance(begin, int) else begin + 1, F.greatest(end - begin, F.lit(0)))
+
+
+def _quarter_keys(hashed: Column) -> Column:
+    """Structs (key, k, more): hashes of three of the four quarters of a line, as it stands (more 0)
+    and as a line with one word more (1). ``k`` tells which quarter is left out.
+
+    Of lines of equal length with one word replaced, three quarters are equal. A line with one more
+    word, put into the first quarter, has the shorter line's second quarter one place later, and put
+    into the last quarter has the third one place earlier.
+    """
+    n = F.size(hashed)
+
+    def keys(m, more):
+        a = F.floor(m / 4).cast("int")
+        part = lambda at: F.slice(hashed, at + 1, a)
+        front, second, third, back = part(F.lit(0)), part(a), part(n - 2 * a), part(n - a)
+        made = ((part(a + more), third, back), (front, third, back), (front, second, back), (front, second, part(n - 2 * a - more)))
+        return [F.struct(F.xxhash64(F.lit(k), m, *parts).alias("key"), F.lit(k).alias("k"), F.lit(more).alias("more")) for k, parts in enumerate(made)]
+
+    none = F.array().cast("array<struct<key:bigint,k:int,more:int>>")
+    return F.concat(F.array(*keys(n, 0)), F.when(n > NEAR_WORDS, F.array(*keys(n - 1, 1))).otherwise(none))
+
+
+def _left_out(hashed: Column, k: Column, more: Column) -> Column:
+    """The words outside the three quarters of a key: where the edit must be."""
     n = F.size(hashed)
-    without = lambda i: F.concat(F.slice(hashed, F.lit(1), i), F.slice(hashed, i + 2, n - i - 1))
-    made = lambda key, kind: F.struct(key.alias("key"), F.lit(kind).alias("kind"))
-    places = F.sequence(F.lit(0), n - 1)
-    replaced = F.transform(places, lambda i: made(F.xxhash64(F.lit(0), i, without(i)), 0))
-    shorter = F.transform(places, lambda i: made(F.xxhash64(F.lit(1), without(i)), 2))
-    return F.concat(replaced, F.array(made(F.xxhash64(F.lit(1), hashed), 1)), F.array_distinct(shorter))
+    a = F.floor((n - more) / 4).cast("int")
+    return (F.when(k == 0, F.concat(_slice(hashed, 0, a + more), _slice(hashed, 2 * a + more, n - 2 * a)))
+            .when(k == 1, _slice(hashed, a, n - 2 * a))
+            .when(k == 2, _slice(hashed, 2 * a, n - a))
+            .otherwise(F.concat(_slice(hashed, 2 * a, n - 2 * a - more), _slice(hashed, n - a - more, n))))
+
+
+def _variants(key: Column, rest: Column, more: Column) -> Column:
+    """Structs (variant, kind) of a line under a key, from the words left out of it: one taken out at
+    a place (kind 0), all of them (1); and for a line taken as longer by a word, one taken out (2)."""
+    without = lambda i: F.concat(F.slice(rest, F.lit(1), i), F.slice(rest, i + 2, F.size(rest) - i - 1))
+    made = lambda variant, kind: F.struct(variant.alias("variant"), F.lit(kind).alias("kind"))
+    places = F.when(F.size(rest) > 0, F.sequence(F.lit(0), F.size(rest) - 1)).otherwise(F.array().cast("array<int>"))
+    as_it_is = F.concat(
+        F.transform(places, lambda i: made(F.xxhash64(F.lit(0), key, i, without(i)), 0)), F.array(made(F.xxhash64(F.lit(1), key, rest), 1)))
+    return F.when(more == 0, as_it_is).otherwise(F.transform(places, lambda i: made(F.xxhash64(F.lit(1), key, without(i)), 2)))
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -91,24 +130,32 @@ def _near(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataF
     """Rows (doc, pos) of lines, at their first place, with an earlier line one word edit away."""
     ends = keys.where(~F.col("again") & (F.size("ends") > 0)).select("doc", "pos", "h", F.explode("ends").alias("end"))
     met = written(ends.groupBy("end").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("end"), "line-ends")
-    chosen = ends.join(met, "end").groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("at")).select("h", "at.doc", "at.pos")
+    chosen = ends.join(met.hint("merge"), "end").groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("at")).select("h", "at.doc", "at.pos")
     per_doc = chosen.groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("places"))
     texts = docs.select(F.col(id_col).alias("doc"), F.split(F.col(text_col).cast("string"), "\n", -1).alias("lines"))
     place = lambda p: F.struct(p.alias("pos"), _words(F.get(F.col("lines"), p)).alias("words"))
-    fetched = texts.join(per_doc, "doc").select("doc", F.inline(F.transform("places", place)))
+    fetched = texts.join(per_doc.hint("merge"), "doc").select("doc", F.inline(F.transform("places", place)))
     lines = written(fetched.where(F.size("words") >= NEAR_WORDS).dropDuplicates(["doc", "pos"])
                     .withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))), "line-words")
 
-    made = lines.select("doc", "pos", F.inline(_variants(F.col("hashes"))))
+    quarters = written(lines.select("doc", "pos", F.inline(_quarter_keys(F.col("hashes")))), "line-quarters")
+    # Two lines differ in their document or in their place in it.
+    met = written(quarters.groupBy("key").agg(
+        F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+        .where("low < high or first < last").select("key"), "line-meetings")
+    left = quarters.join(met.hint("merge"), "key").join(lines.select("doc", "pos", "hashes").hint("merge"), ["doc", "pos"])
+    rests = written(left.select("doc", "pos", "key", "more", _left_out(F.col("hashes"), F.col("k"), F.col("more")).alias("rest")), "line-rests")
+
+    made = rests.select("doc", "pos", F.inline(_variants(F.col("key"), F.col("rest"), F.col("more"))))
     at = F.struct("doc", "pos")
     leaders = written(
-        made.groupBy("key").agg(*(F.min(F.when(F.col("kind") == k, at)).alias(f"first_{k}") for k in (0, 1, 2)), F.count("*").alias("n"))
+        made.groupBy("variant").agg(*(F.min(F.when(F.col("kind") == k, at)).alias(f"first_{k}") for k in (0, 1, 2)), F.count("*").alias("n"))
         .where("n > 1").drop("n"), "line-leaders")
-    # What stands first under a key: lines with the same place taken out; for a whole line those
+    # What stands first under a variant: lines with the same place taken out; for a whole line those
     # longer by a word, and the other way round.
     leader = F.when(F.col("kind") == 0, F.col("first_0")).when(F.col("kind") == 1, F.col("first_2")).otherwise(F.col("first_1"))
     pairs = written(
-        made.join(leaders, "key").select("doc", "pos", leader.alias("to")).where(F.col("to") < at)
+        made.join(leaders.hint("merge"), "variant").select("doc", "pos", leader.alias("to")).where(F.col("to") < at)
         .select("doc", "pos", F.col("to.doc").alias("to_doc"), F.col("to.pos").alias("to_pos")).distinct(), "line-pairs")
     theirs = lines.select(F.col("doc").alias("to_doc"), F.col("pos").alias("to_pos"), F.col("words").alias("to_words"))
     checked = pairs.join(lines.drop("hashes"), ["doc", "pos"]).join(theirs, ["to_doc", "to_pos"])
@@ -121,7 +168,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Repeats add up before the shuffle, however often a line occurs; the join that follows has plain
     # tables on both sides, so that adaptive execution can split a hot line.
     groups = written(keys.groupBy("h", "g").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-groups")
-    exact = keys.select("doc", "pos", "h", "g", "again").join(groups, ["h", "g"]).where(F.col("again") | (F.col("first") < F.col("doc")))
+    exact = keys.select("doc", "pos", "h", "g", "again").join(groups.hint("merge"), ["h", "g"]).where(F.col("again") | (F.col("first") < F.col("doc")))
     near = _near(docs, keys, id_col, text_col)
     both = exact.select("doc", "pos", F.lit(False).alias("near")).union(near.select("doc", "pos", F.lit(True).alias("near")))
     places = lambda near: F.array_sort(F.collect_set(F.when(F.col("near") == near, F.col("pos"))))
@@ -145,7 +192,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     gone = written(repeated_lines(docs, id_col, text_col), "lines-gone").select(
         F.col("doc").alias("_doc"), F.col("exact").alias("_exact"), F.col("near").alias("_near"))
-    joined = docs.join(gone, docs[id_col] == F.col("_doc"), "left")
+    joined = docs.join(gone.hint("merge"), docs[id_col] == F.col("_doc"), "left")
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)
     # The places as text, to look each one up at one go.
     drop = F.concat(F.col("_exact"), F.col("_near"))
