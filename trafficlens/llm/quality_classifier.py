@@ -74,6 +74,12 @@ def term_counts(texts: Texts) -> np.ndarray:
     return np.log1p(counts)
 
 
+def unit(rows: np.ndarray) -> np.ndarray:
+    """The rows at length 1, in place; zero rows stay."""
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    return rows
+
+
 @dataclass
 class Space:
     """What scoring needs: term weights, latent axes, labelled unit vectors and their labels."""
@@ -85,10 +91,7 @@ class Space:
     prior: float
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        rows = counts * self.weights
-        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-        latent = rows @ self.axes
-        return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        return unit(unit(counts * self.weights) @ self.axes)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         """Similarity-weighted share of label 1 among the nearest labelled vectors."""
@@ -114,16 +117,13 @@ def fit(counts: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Space:
     weights = (np.log((1 + len(labels)) / (1 + (counts > 0).sum(0))) + 0.1).astype(np.float32)
     # The shares are few columns against thousands of words.
     weights[-SHARES:] = 2.0
-    rows = counts * weights
-    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    rows = unit(counts * weights)
     rank = min(rank, *rows.shape)
     basis = rows.T @ np.random.default_rng(0).standard_normal((len(rows), rank + 10)).astype(np.float32)
     for _ in range(4):
         basis = np.linalg.qr(rows.T @ (rows @ np.linalg.qr(basis)[0]))[0]
     axes = (basis @ np.linalg.svd(rows @ basis, full_matrices=False)[2].T)[:, :rank].astype(np.float32)
-    space = Space(weights, axes, np.zeros((0, rank), np.float32), labels.astype(np.float32), float(labels.mean()))
-    space.vectors = space.project(counts)
-    return space
+    return Space(weights, axes, unit(rows @ axes), labels.astype(np.float32), float(labels.mean()))
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 3, remainder: int = 1,
@@ -144,9 +144,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulu
     got = sample.select("id", "label", "text").mapInArrow(terms, "id string, label int, terms binary").toArrow()
     # The order of tasks must not show in the result.
     got = got.sort_by([("id", "ascending"), ("label", "ascending"), ("terms", "ascending")])
-    rows = [np.frombuffer(x, np.float16) for x in got.column("terms").to_pylist()]
-    counts = np.stack(rows).astype(np.float32) if rows else np.zeros((0, TERMS), np.float32)
-    return fit(counts, np.array(got.column("label").to_pylist(), np.float64))
+    counts = np.zeros((got.num_rows, TERMS), np.float32)
+    for k, row in enumerate(got.column("terms")):
+        counts[k] = np.frombuffer(row.as_buffer(), np.float16)
+    known = np.array(got.column("label").to_pylist(), np.float64)
+    del got
+    return fit(counts, known)
 
 
 def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
