@@ -1,8 +1,6 @@
 import datetime as dt
-import math
 
 import pytest
-from pyspark.sql import functions as F
 
 import brute
 from conftest import START, row
