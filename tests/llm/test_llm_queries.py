@@ -4,7 +4,7 @@ import hashlib
 import os
 
 import pytest
-from llm_cases import edge_rows, edges
+from llm_cases import edge_rows
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not here")
