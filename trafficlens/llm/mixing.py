@@ -152,5 +152,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = copies.groupBy(F.col(id_col).alias("_id"), F.col(source_col).alias("_s")).agg((F.max("pass_no") + 1).alias("_copies"))
     counted = written(counted, "mix-copies")
     same = docs[id_col].eqNullSafe(F.col("_id")) & docs[source_col].cast("string").eqNullSafe(F.col("_s"))
-    rows = docs.join(counted, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    # The copies grow with the documents: joined by sorting, never broadcast.
+    rows = docs.join(counted.hint("merge"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return rows.select(*(docs[c] for c in docs.columns))
