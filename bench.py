@@ -33,9 +33,10 @@ HEADLINE = (
     "kernel_weighted_mean", "scored_rows", "severity_counts", "ma_daily_anomalies", "top5_per_day",
     "newsletter_distinct_pages", "lag_features", "regression_weights", "regression_weights_ols",
     "grid_search_best_step", "regression_residuals", "regression_daily_anomalies",
-    "incremental_equals_full", "running_totals", "users_window_models", "users_daily_anomalies",
-    "users_severity_counts",
+    "incremental_equals_full", "running_totals",
 )
+# Timed as well, but not part of the total, which stays comparable between rounds.
+MANY_PAGES = ("users_window_models", "users_daily_anomalies", "users_severity_counts")
 
 
 def generated(spark: SparkSession, pages: int, hours: int = 720) -> DataFrame:
@@ -92,14 +93,15 @@ def main() -> None:
         return time.perf_counter() - start
 
     seconds = {}
-    for name in HEADLINE:
+    for name in (*HEADLINE, *MANY_PAGES):
         run(name)
         seconds[name] = round(min(run(name) for _ in range(3)), 3)
     found = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "headline queries, total of best times",
-        "value": round(sum(seconds.values()), 3),
+        "value": round(sum(seconds[name] for name in HEADLINE), 3),
         "unit": "sec",
+        "many_pages": round(sum(seconds[name] for name in MANY_PAGES), 3),
         "queries": seconds,
         "sf": float(found.group(1)) if found else sf_dir,
     }))
