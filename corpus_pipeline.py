@@ -26,7 +26,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     A document that had no word before stays. ``n_chars`` follows the text.
     """
-    found = line_dedup.dedup_lines(docs)
+    found = line_dedup.dedup_lines(docs, near_words=line_dedup.SHORT_WORDS)
     touched = F.size("exact_lines") + F.size("near_lines") > 0
     kept = found.where(~touched | F.col("text").rlike(r"\S"))
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)

@@ -97,3 +97,43 @@ def test_one_line_in_a_third_of_all_rows(spark):
     found = {r.doc_id: r for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
     assert found[0].text == "the same old line as ever"
     assert all(found[i].text == (prose(i, 12) if i % 3 else "") for i in range(1, 300))
+
+
+def test_short_lines_and_characters_against_every_pair(spark):
+    """One word edit in lines of few words; one character edit at any length, words joined or split."""
+    rng = random.Random(8)
+    lines = ["Anat with by of nteres atre are.", "Anat with by of lyhaes atre are.", "brown fox", "brownfox", "7 8 9", "7 8 8",
+             f"{prose(70, 30)} brown fox {prose(71, 20)}", f"{prose(70, 30)} brownfox {prose(71, 20)}", f"{prose(70, 30)} brown-fox {prose(71, 20)}"]
+    for i in range(40):
+        own = prose(200 + i, 1 + i % 9)
+        for turn in range(6):
+            line = list(own)
+            for _ in range(rng.choice([1, 1, 2])):
+                at = rng.randrange(len(line))
+                line[at : at + rng.randrange(2)] = rng.choice(["", "x", " ", "é"])
+            lines.append("".join(line))
+        lines.append(own)
+        parts = own.split()
+        parts[rng.randrange(len(parts))] = "changed"
+        lines.append(" ".join(parts))
+    rows = [(i, line) for i, line in enumerate(lines)]
+    expected, seen = set(), []
+    for i, line in rows:
+        own = words(line)
+        if len(own) < 2:
+            continue
+        for other in seen:
+            theirs = words(other)
+            if other == line:
+                break
+            if min(len(own), len(theirs)) >= line_dedup.SHORT_WORDS and distance(own, theirs) <= 1:
+                expected.add(i)
+            if min(len(line), len(other)) >= line_dedup.NEAR_CHARS and abs(len(line) - len(other)) <= 1 and distance(line, other) <= 1:
+                expected.add(i)
+        if line in seen:
+            expected.discard(i)
+        seen.append(line)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = line_dedup.dedup_lines(frame, near_words=line_dedup.SHORT_WORDS).collect()
+    assert {r.doc_id for r in found if r.near_lines} == expected
+    assert {1, 7} <= expected and 5 not in expected and len(expected) > 100

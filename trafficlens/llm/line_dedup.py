@@ -1,10 +1,13 @@
-"""Removal of lines that repeat, exactly or but for one word, an earlier line of the corpus.
+"""Removal of lines that repeat, exactly or but for one word or one character, an earlier line of the
+corpus.
 
-The order of lines is (doc_id, line number). Near repeats come from a deletion neighbourhood over
-words: every line of a pair within one word edit either leaves the same words when the word at the
+The order of lines is (doc_id, line number). Near repeats come from a deletion neighbourhood, once
+over words and once over characters, which also meets lines whose words are joined or split and lines
+of few words. Over words: every line of a pair within one word edit either leaves the same words when the word at the
 same place is taken out (a replaced word), or is the other line with one word taken out (an added
 word). So each line emits hashed keys of its variants, equal keys meet, and the earliest line of a
-key stands for it. The distance is then verified on the words themselves.
+key stands for it. The distance is then verified on the words themselves. Over
+characters all is the same, with a character in place of a word.
 
 A line of n words has n variants, so only lines that can have a partner emit them. First by two keys
 a line: with one edit, either the first or the last q words of two lines are equal, q being at most
@@ -18,19 +21,37 @@ operations.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.session import written
 
 MIN_WORDS = 2  # shorter lines are never removed
-NEAR_WORDS = 8  # shorter lines are compared exactly only
+NEAR_WORDS = 8  # of shorter lines, words are compared exactly only
+SHORT_WORDS = 4  # the same where near copies of short lines count, too: one word is a quarter at most
+NEAR_CHARS = 8  # of shorter lines, characters are compared exactly only: one is an eighth at most
 
 
 def _words(line: Column) -> Column:
     return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+@dataclass(frozen=True)
+class Units:
+    """What edits are counted in: the parts of a line, as an array or a string."""
+
+    name: str
+    least: int  # units of a line that can have near copies
+    of: Callable[[Column], Column]
+    size: Callable[[Column], Column]
+    cut: Callable[[Column, Column, Column], Column]  # from a place, counted from 1, so many units
+    hashed: Callable[[Column], Column]  # what keys are made from
+    near: Callable[[Column, Column], Column]
+
+
 def _key(*columns: Column) -> list[Column]:
     """128 bits of hash, as two numbers."""
     return [F.xxhash64(*columns), F.xxhash64(F.lit(7), *columns)]
@@ -41,41 +62,43 @@ def _half(n: Column) -> Column:
     return F.pow(F.lit(2), F.floor(F.log2(n / 2))).cast("int")
 
 
-def _line_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc, pos, h, g, again, ends): hash of the line, whether the document has it earlier, and
-    the hashes of its ends under which lines that may be near it meet."""
+def _line_keys(docs: DataFrame, id_col: str, text_col: str, kinds: tuple[Units, ...]) -> DataFrame:
+    """Rows (doc, pos, h, g, again, and ends by kind of units): hash of the line, whether the document
+    has it earlier, and the hashes of its ends under which lines that may be near it meet."""
+    names = [u.name for u in kinds]
+
     def read(line, pos):
         h, g = _key(line)
-        return F.struct(h.alias("h"), g.alias("g"), pos.alias("pos"), _words(line).alias("words"))
+        return F.struct(h.alias("h"), g.alias("g"), pos.alias("pos"), _words(line).alias("words"), line.alias("chars"))
 
     def keyed(x):
-        return F.struct(x["h"].alias("h"), x["g"].alias("g"), x["pos"].alias("pos"), _end_keys(x["words"]).alias("ends"))
+        return F.struct(x["h"].alias("h"), x["g"].alias("g"), x["pos"].alias("pos"), *(_end_keys(x[u.name], u).alias(u.name) for u in kinds))
 
     # One step inside the other, so that a line is cut into words once.
     lines = F.transform(F.split(F.col(text_col).cast("string"), "\n", -1), read)
     kept = F.array_sort(F.transform(F.filter(lines, lambda x: F.size(x["words"]) >= MIN_WORDS), keyed))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), kept.alias("all"))
     marked = F.transform("all", lambda x, i: F.struct(
-        x["h"].alias("h"), x["g"].alias("g"), x["pos"].alias("pos"), x["ends"].alias("ends"),
+        x["h"].alias("h"), x["g"].alias("g"), x["pos"].alias("pos"), *(x[n].alias(n) for n in names),
         F.when(i > 0, (F.col("all")[i - 1]["h"] == x["h"]) & (F.col("all")[i - 1]["g"] == x["g"])).otherwise(False).alias("again")))
     return rows.select("doc", F.inline(marked))
 
 
-def _end_keys(words: Column) -> Column:
-    """Hashes of the first and of the last q words, for the q of the line and of one a word shorter."""
-    n = F.size(words)
-    keys = lambda q: [F.xxhash64(F.lit(1), q, F.slice(words, F.lit(1), q)), F.xxhash64(F.lit(2), q, F.slice(words, n - q + 1, q))]
+def _end_keys(line: Column, units: Units) -> Column:
+    """Hashes of the first and of the last q units, for the q of the line and of one a unit shorter."""
+    n = units.size(line)
+    keys = lambda q: [F.xxhash64(F.lit(1), q, units.cut(line, F.lit(1), q)), F.xxhash64(F.lit(2), q, units.cut(line, n - q + 1, q))]
     q, less = _half(n), _half(n - 1)
     none = F.array().cast("array<bigint>")
-    own = F.when(n >= NEAR_WORDS, F.array(*keys(q))).otherwise(none)
-    return F.concat(own, F.when((n > NEAR_WORDS) & (less != q), F.array(*keys(less))).otherwise(none))
+    own = F.when(n >= units.least, F.array(*keys(q))).otherwise(none)
+    return F.concat(own, F.when((n > units.least) & (less != q), F.array(*keys(less))).otherwise(none))
 
 
-def _slice(words: Column, begin, end) -> Column:
-    return F.slice(words, F.lit(begin) + 1 if isinstance(begin, int) else begin + 1, F.greatest(end - begin, F.lit(0)))
+def _slice(line: Column, begin, end, units: Units) -> Column:
+    return units.cut(line, F.lit(begin) + 1 if isinstance(begin, int) else begin + 1, F.greatest(end - begin, F.lit(0)))
 
 
-def _quarter_keys(hashed: Column) -> Column:
+def _quarter_keys(hashed: Column, units: Units) -> Column:
     """Structs (key, k, more): hashes of three of the four quarters of a line, as it stands (more 0)
     and as a line with one word more (1). ``k`` tells which quarter is left out.
 
@@ -83,35 +106,37 @@ def _quarter_keys(hashed: Column) -> Column:
     word, put into the first quarter, has the shorter line's second quarter one place later, and put
     into the last quarter has the third one place earlier.
     """
-    n = F.size(hashed)
+    n = units.size(hashed)
 
     def keys(m, more):
         a = F.floor(m / 4).cast("int")
-        part = lambda at: F.slice(hashed, at + 1, a)
+        part = lambda at: units.cut(hashed, at + 1, a)
         front, second, third, back = part(F.lit(0)), part(a), part(n - 2 * a), part(n - a)
         made = ((part(a + more), third, back), (front, third, back), (front, second, back), (front, second, part(n - 2 * a - more)))
         return [F.struct(F.xxhash64(F.lit(k), m, *parts).alias("key"), F.lit(k).alias("k"), F.lit(more).alias("more")) for k, parts in enumerate(made)]
 
     none = F.array().cast("array<struct<key:bigint,k:int,more:int>>")
-    return F.concat(F.array(*keys(n, 0)), F.when(n > NEAR_WORDS, F.array(*keys(n - 1, 1))).otherwise(none))
+    return F.concat(F.array(*keys(n, 0)), F.when(n > units.least, F.array(*keys(n - 1, 1))).otherwise(none))
 
 
-def _left_out(hashed: Column, k: Column, more: Column) -> Column:
-    """The words outside the three quarters of a key: where the edit must be."""
-    n = F.size(hashed)
+def _left_out(hashed: Column, k: Column, more: Column, units: Units) -> Column:
+    """The units outside the three quarters of a key: where the edit must be."""
+    n = units.size(hashed)
     a = F.floor((n - more) / 4).cast("int")
-    return (F.when(k == 0, F.concat(_slice(hashed, 0, a + more), _slice(hashed, 2 * a + more, n - 2 * a)))
-            .when(k == 1, _slice(hashed, a, n - 2 * a))
-            .when(k == 2, _slice(hashed, 2 * a, n - a))
-            .otherwise(F.concat(_slice(hashed, 2 * a, n - 2 * a - more), _slice(hashed, n - a - more, n))))
+    part = lambda begin, end: _slice(hashed, begin, end, units)
+    return (F.when(k == 0, F.concat(part(0, a + more), part(2 * a + more, n - 2 * a)))
+            .when(k == 1, part(a, n - 2 * a))
+            .when(k == 2, part(2 * a, n - a))
+            .otherwise(F.concat(part(2 * a, n - 2 * a - more), part(n - a - more, n))))
 
 
-def _variants(key: Column, rest: Column, more: Column) -> Column:
-    """Structs (variant, kind) of a line under a key, from the words left out of it: one taken out at
+def _variants(key: Column, rest: Column, more: Column, units: Units) -> Column:
+    """Structs (variant, kind) of a line under a key, from the units left out of it: one taken out at
     a place (kind 0), all of them (1); and for a line taken as longer by a word, one taken out (2)."""
-    without = lambda i: F.concat(F.slice(rest, F.lit(1), i), F.slice(rest, i + 2, F.size(rest) - i - 1))
+    n = units.size(rest)
+    without = lambda i: F.concat(units.cut(rest, F.lit(1), i), units.cut(rest, i + 2, n - i - 1))
     made = lambda variant, kind: F.struct(variant.alias("variant"), F.lit(kind).alias("kind"))
-    places = F.when(F.size(rest) > 0, F.sequence(F.lit(0), F.size(rest) - 1)).otherwise(F.array().cast("array<int>"))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     as_it_is = F.concat(
         F.transform(places, lambda i: made(F.xxhash64(F.lit(0), key, i, without(i)), 0)), F.array(made(F.xxhash64(F.lit(1), key, rest), 1)))
     return F.when(more == 0, as_it_is).otherwise(F.transform(places, lambda i: made(F.xxhash64(F.lit(1), key, without(i)), 2)))
@@ -126,27 +151,35 @@ def within_one(a: Column, b: Column) -> Column:
     return (longer - shorter <= 1) & (front(a, b) + front(F.reverse(a), F.reverse(b)) >= longer - 1)
 
 
-def _near(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc, pos) of lines, at their first place, with an earlier line one word edit away."""
-    ends = keys.where(~F.col("again") & (F.size("ends") > 0)).select("doc", "pos", "h", F.explode("ends").alias("end"))
+def words(least: int) -> Units:
+    return Units("words", least, _words, F.size, F.slice, lambda x: F.transform(x, lambda w: F.xxhash64(w)), within_one)
+
+
+def characters(least: int) -> Units:
+    return Units("chars", least, lambda line: line, F.char_length, F.substring, lambda x: x, lambda a, b: F.levenshtein(a, b, 1) >= 0)
+
+
+def _near(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, units: Units) -> DataFrame:
+    """Rows (doc, pos) of lines, at their first place, with an earlier line one edit away."""
+    ends = keys.where(~F.col("again") & (F.size(units.name) > 0)).select("doc", "pos", "h", F.explode(units.name).alias("end"))
     met = written(ends.groupBy("end").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("end"), "line-ends")
     chosen = ends.join(met.hint("merge"), "end").groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("at")).select("h", "at.doc", "at.pos")
     per_doc = chosen.groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("places"))
     texts = docs.select(F.col(id_col).alias("doc"), F.split(F.col(text_col).cast("string"), "\n", -1).alias("lines"))
-    place = lambda p: F.struct(p.alias("pos"), _words(F.get(F.col("lines"), p)).alias("words"))
+    place = lambda p: F.struct(p.alias("pos"), units.of(F.get(F.col("lines"), p)).alias("units"))
     fetched = texts.join(per_doc.hint("merge"), "doc").select("doc", F.inline(F.transform("places", place)))
-    lines = written(fetched.where(F.size("words") >= NEAR_WORDS).dropDuplicates(["doc", "pos"])
-                    .withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))), "line-words")
+    lines = written(fetched.where(units.size(F.col("units")) >= units.least).dropDuplicates(["doc", "pos"]), "line-units")
+    hashes = units.hashed(F.col("units"))
 
-    quarters = written(lines.select("doc", "pos", F.inline(_quarter_keys(F.col("hashes")))), "line-quarters")
+    quarters = written(lines.select("doc", "pos", hashes.alias("hashes")).select("doc", "pos", F.inline(_quarter_keys(F.col("hashes"), units))), "line-quarters")
     # Two lines differ in their document or in their place in it.
     met = written(quarters.groupBy("key").agg(
         F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("pos").alias("first"), F.max("pos").alias("last"))
         .where("low < high or first < last").select("key"), "line-meetings")
-    left = quarters.join(met.hint("merge"), "key").join(lines.select("doc", "pos", "hashes").hint("merge"), ["doc", "pos"])
-    rests = written(left.select("doc", "pos", "key", "more", _left_out(F.col("hashes"), F.col("k"), F.col("more")).alias("rest")), "line-rests")
+    left = quarters.join(met.hint("merge"), "key").join(lines.select("doc", "pos", hashes.alias("hashes")).hint("merge"), ["doc", "pos"])
+    rests = written(left.select("doc", "pos", "key", "more", _left_out(F.col("hashes"), F.col("k"), F.col("more"), units).alias("rest")), "line-rests")
 
-    made = rests.select("doc", "pos", F.inline(_variants(F.col("key"), F.col("rest"), F.col("more"))))
+    made = rests.select("doc", "pos", F.inline(_variants(F.col("key"), F.col("rest"), F.col("more"), units)))
     at = F.struct("doc", "pos")
     leaders = written(
         made.groupBy("variant").agg(*(F.min(F.when(F.col("kind") == k, at)).alias(f"first_{k}") for k in (0, 1, 2)), F.count("*").alias("n"))
@@ -157,40 +190,44 @@ def _near(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataF
     pairs = written(
         made.join(leaders.hint("merge"), "variant").select("doc", "pos", leader.alias("to")).where(F.col("to") < at)
         .select("doc", "pos", F.col("to.doc").alias("to_doc"), F.col("to.pos").alias("to_pos")).distinct(), "line-pairs")
-    theirs = lines.select(F.col("doc").alias("to_doc"), F.col("pos").alias("to_pos"), F.col("words").alias("to_words"))
-    checked = pairs.join(lines.drop("hashes"), ["doc", "pos"]).join(theirs, ["to_doc", "to_pos"])
-    return checked.where(within_one(F.col("words"), F.col("to_words"))).select("doc", "pos").distinct()
+    theirs = lines.select(F.col("doc").alias("to_doc"), F.col("pos").alias("to_pos"), F.col("units").alias("to_units"))
+    checked = pairs.join(lines, ["doc", "pos"]).join(theirs, ["to_doc", "to_pos"])
+    return checked.where(units.near(F.col("units"), F.col("to_units"))).select("doc", "pos").distinct()
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   near_words: int = NEAR_WORDS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """Rows (doc, exact, near) for documents with lines to remove: their numbers, from 0, in order."""
-    keys = written(_line_keys(docs, id_col, text_col), "line-keys")
+    kinds = (words(near_words), characters(near_chars))
+    keys = written(_line_keys(docs, id_col, text_col, kinds), "line-keys")
     # Repeats add up before the shuffle, however often a line occurs; the join that follows has plain
     # tables on both sides, so that adaptive execution can split a hot line.
     groups = written(keys.groupBy("h", "g").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-groups")
     exact = keys.select("doc", "pos", "h", "g", "again").join(groups.hint("merge"), ["h", "g"]).where(F.col("again") | (F.col("first") < F.col("doc")))
-    near = _near(docs, keys, id_col, text_col)
+    near = _near(docs, keys, id_col, text_col, kinds[0]).union(_near(docs, keys, id_col, text_col, kinds[1]))
     both = exact.select("doc", "pos", F.lit(False).alias("near")).union(near.select("doc", "pos", F.lit(True).alias("near")))
     places = lambda near: F.array_sort(F.collect_set(F.when(F.col("near") == near, F.col("pos"))))
     per_doc = both.groupBy("doc").agg(places(False).alias("exact"), places(True).alias("near"))
     return per_doc.select("doc", "exact", F.array_except("near", "exact").alias("near"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                near_words: int = NEAR_WORDS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """All columns of ``docs`` with the text's repeated lines taken out, and ``exact_lines`` and
     ``near_lines``, the numbers of the removed ones.
 
-    A line goes if an earlier line is equal, or at most one word edit away (a word replaced, added or
-    left out); whether the earlier one itself stays does not matter. Lines are split at \\n and
-    compared as they are, words are runs between white space. Lines with fewer than 2 words always
-    stay, and those with fewer than 8 go only if equal. All other lines stay, in order.
+    A line goes if an earlier line is equal; or at most one word edit away (a word replaced, added or
+    left out), both having ``near_words`` words (4 at least); or one character edit away, both having
+    ``near_chars`` characters (4 at least). Whether the earlier one itself stays does not matter. Lines
+    are split at \\n and compared as they are, words are runs between white space. Lines with fewer
+    than 2 words always stay. All other lines stay, in order.
 
     A null text stays null and has no lines; a null id is passed through. Rows that share an id count
     as one document: equal lines of theirs do not remove each other, and both rows lose the same
     lines. A text all of whose lines go becomes empty. An empty table gives no rows. Columns of
     ``docs`` that have the names of the two added ones are replaced.
     """
-    gone = written(repeated_lines(docs, id_col, text_col), "lines-gone").select(
+    gone = written(repeated_lines(docs, id_col, text_col, near_words, near_chars), "lines-gone").select(
         F.col("doc").alias("_doc"), F.col("exact").alias("_exact"), F.col("near").alias("_near"))
     joined = docs.join(gone.hint("merge"), docs[id_col] == F.col("_doc"), "left")
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)

@@ -18,7 +18,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "text", "exact_lines", "near_lines")
+    return line_dedup.dedup_lines(documents(spark, sf_dir), near_words=line_dedup.SHORT_WORDS).select("doc_id", "text", "exact_lines", "near_lines")
 
 
 def vocabulary() -> tuple[str, str]:
