@@ -120,7 +120,7 @@ def test_short_lines_and_characters_against_every_pair(spark):
     expected, seen = set(), []
     for i, line in rows:
         own = words(line)
-        if len(own) < 2:
+        if len(own) < line_dedup.MIN_WORDS:
             continue
         for other in seen:
             theirs = words(other)
@@ -137,3 +137,11 @@ def test_short_lines_and_characters_against_every_pair(spark):
     found = line_dedup.dedup_lines(frame, near_words=line_dedup.SHORT_WORDS).collect()
     assert {r.doc_id for r in found if r.near_lines} == expected
     assert {1, 7} <= expected and 5 not in expected and len(expected) > 100
+
+
+def test_lines_of_one_word_go_if_they_repeat(spark):
+    chinese = "这是一个没有空格的句子" * 6
+    texts = [f"Les.\n{chinese}\n\n \t", f"Les.\n{chinese}\n\n \t", "Les.\nhttp://x/1", f"{chinese[:30]}新{chinese[30:]}\n ", "Les"]
+    found = {r.doc_id: r for r in line_dedup.dedup_lines(docs_of(spark, texts), near_words=line_dedup.SHORT_WORDS).collect()}
+    assert [found[i].text for i in range(5)] == [texts[0], "\n \t", "http://x/1", " ", "Les"]
+    assert (list(found[1].exact_lines), list(found[3].near_lines)) == ([0, 1], [0])

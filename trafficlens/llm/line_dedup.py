@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.session import written
 
-MIN_WORDS = 2  # shorter lines are never removed
+MIN_WORDS = 1  # lines of white space are never removed
 NEAR_WORDS = 8  # of shorter lines, words are compared exactly only
 SHORT_WORDS = 4  # the same where near copies of short lines count, too: one word is a quarter at most
 NEAR_CHARS = 8  # of shorter lines, characters are compared exactly only: one is an eighth at most
@@ -219,8 +219,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line goes if an earlier line is equal; or at most one word edit away (a word replaced, added or
     left out), both having ``near_words`` words (4 at least); or one character edit away, both having
     ``near_chars`` characters (4 at least). Whether the earlier one itself stays does not matter. Lines
-    are split at \\n and compared as they are, words are runs between white space. Lines with fewer
-    than 2 words always stay. All other lines stay, in order.
+    are split at \\n and compared as they are, words are runs between white space. Lines without
+    a word, empty ones among them, always stay. All other lines stay, in order.
 
     A null text stays null and has no lines; a null id is passed through. Rows that share an id count
     as one document: equal lines of theirs do not remove each other, and both rows lose the same
