@@ -286,6 +286,31 @@ def test_fingerprints_edge_cases(spark):
     assert fingerprints.fingerprints(nothing(spark)).count() == 0
 
 
+def test_character_anchors_in_text_without_spaces_and_short_text(spark):
+    chinese = "".join(chr(0x4E00 + random.Random(i).randrange(5000)) for i in range(71))
+    rows = [(1, chinese, "新" + chinese, "其他"), (2, "one two three four", "one two three fo", ""), (3, None, "", "x"), (4, "abc", "abc", "abd")]
+    frame = spark.createDataFrame(rows, "id int, a string, b string, c string")
+    got = {r.id: r for r in fingerprints.compared(frame, ["id"], "a", "b", "c").collect()}
+    assert got[1].near_edited > 0.9 and got[1].near_next == 0
+    assert got[2].near_edited > 0
+    assert [(got[i].near_edited, got[i].near_next) for i in (3, 4)] == [(1, 0), (1, 0)]
+    for text in (chinese, "", "a" * 50, prose(1, 300)):
+        at, hashes = fingerprints.char_anchors(text)
+        by_place = [fingerprints.char_anchors(text[p : p + fingerprints.CHARS_K]) for p in at]
+        assert all(len(h) == 1 and h[0] == x for (_, h), x in zip(by_place, hashes))
+
+
+def test_all_anchors_of_long_texts_are_compared(spark):
+    passage = prose(900, 60)
+    one, two = (f"{prose(s, 2500)} {passage} {prose(s + 1, 2500)}" for s in (901, 903))
+    got = fingerprints.compared(spark.createDataFrame([(one, one[:-1], two)], "a string, b string, c string"), [], "a", "b", "c").first()
+    sets = [set(fingerprints.char_anchors(t)[1].tolist()) for t in (one, one[:-1], two)]
+    exact = [len(sets[0] & s) / len(sets[0] | s) for s in sets[1:]]
+    assert [got.near_edited, got.near_next] == exact
+    assert exact[0] > 0.99 and 0 < exact[1] < 0.1
+    assert len(got.fingerprint) == 16 * fingerprints.SKETCH
+
+
 @pytest.mark.parametrize("ids", [range(50), [10**18, -5, 3, 7, 8, 2**62, -(2**63) + 1], [1], [*range(0, 4000, 7), *range(10**9, 10**9 + 300)]])
 def test_next_row(spark, ids, monkeypatch):
     monkeypatch.setattr(neighbours, "ROWS", 1)

@@ -41,19 +41,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = docs.withColumn("sketch", fingerprints.sketch(fingerprints.anchors(F.col("text"))))
-    rows = neighbours.with_next(rows, "doc_id", F.xxhash64("text"), ["text", "sketch"])
+    rows = neighbours.with_next(docs, "doc_id", F.xxhash64("text"), ["text"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch",
-                       fingerprints.sketch(fingerprints.anchors(F.col("edited"))).alias("edited_sketch"))
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
-        fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        fingerprints.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        fingerprints.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+    rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"), "next_text")
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
+    return fingerprints.compared(rows, ["doc_id", "n_chars", "edited_sha256"], "text", "edited", "next_text")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
