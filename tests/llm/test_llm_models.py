@@ -199,6 +199,18 @@ def test_tagger_finds_other_spellings_and_keeps_base(spark):
     assert pii.find(nothing(spark), pii.train(nothing(spark))).count() == 0
 
 
+def test_tagger_learns_from_rare_spans(spark, monkeypatch):
+    """One text in 1,000 holds a span, in the middle of a long text; the others hold other numbers."""
+    texts = [f"{prose(i, 12)} {i} or {i * 7}" for i in range(4000)]
+    for i in range(0, 4000, 1000):
+        texts[i] = f"{'in 1999 or 42 then ' * 300} +1 (345) 555-{1000 + i} {'in 2001 or 17 then ' * 300}"
+    seen = {}
+    monkeypatch.setattr(pii, "fit", lambda codes, tags: seen.update(codes=codes, tags=tags))
+    pii.train(docs_of(spark, texts))
+    held = (seen["tags"] > 0).any(1)
+    assert held.sum() >= 8 and 0 < (~held).sum() <= pii.TRAIN_WINDOWS // 3
+
+
 def test_windows_are_put_together():
     """A span longer than a window's middle, and one at each end of the text, come out whole."""
     text = "a@b.cd " + "x " * 40 + "l" * 150 + "@mail.example " + "y " * 40 + "q@r.st"

@@ -10,6 +10,7 @@ definition, so windows without either hold nothing and are not decoded.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.llm.arrays import small_batches
+from trafficlens.session import written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -304,10 +306,24 @@ def training_windows(texts: list[str], seed: int = 0) -> tuple[np.ndarray, np.nd
     if not all_codes:
         return np.zeros((0, WINDOW), np.int64), np.zeros((0, WINDOW), np.int64)
     codes, tags = np.concatenate(all_codes), np.concatenate(all_tags)
-    order = np.random.default_rng(seed).permutation(len(codes))[:TRAIN_WINDOWS]
+    order = balanced(tags, TRAIN_WINDOWS, seed)
     return codes[order], tags[order]
 
 
+def balanced(tags: np.ndarray, most: int, seed: int = 0) -> np.ndarray:
+    """Numbers of at most ``most`` windows: up to two thirds hold spans, of each kind as many as of the
+    others as far as there are, and up to a third hold none."""
+    order = np.random.default_rng(seed).permutation(len(tags))
+    kind = (tags[order].max(1, initial=0) - 1) // 2
+    rank = np.zeros(len(order), np.int64)
+    for k in range(len(KINDS)):
+        rank[kind == k] = np.arange((kind == k).sum())
+    held = np.flatnonzero(kind >= 0)
+    none = np.flatnonzero(kind < 0)[: most // 3]
+    held = held[np.argsort(rank[held], kind="stable")][: most - most // 3]
+    return order[np.sort(np.concatenate((held, none)))]
+
+
 def plausible(kind: int, text: str) -> bool:
     """What a span of the tagger must look like to be one of its kind."""
     count = len(digits_of(text))
@@ -345,33 +361,53 @@ def added_spans(text: str, number: np.ndarray, tags: np.ndarray, base: list[Span
 
 
 def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Tagger | None:
-    """Learn from the windows of at most ``sample_docs`` texts with a digit or @, chosen by hash.
+    """Learn from the windows of at most ``sample_docs`` texts with a digit or @.
 
-    Tasks cut the windows and send only these, at most 32 of each
-    text. None without any such text.
+    Tasks find the base spans of all texts. Of those that hold a kind an equal share is chosen for
+    each kind by hash, however rare it is, and as many that hold none. Tasks cut the windows and send
+    only these, at most 32 of each text. None without any such text.
     """
     per_doc = 32
+    share = max(1, sample_docs // (1 + len(KINDS)))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The smallest hashes of each kind in a task, -1 being the kind of texts without a span."""
+        found = {k: set() for k in range(-1, len(KINDS))}
+        for batch in batches:
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k in {s[0] for s in base_spans(text)} or {-1}:
+                    found[k].add(h)
+            found = {k: set(heapq.nsmallest(share, v)) for k, v in found.items()}
+        rows = [(k, h) for k, v in found.items() for h in v]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())], names=["kind", "h"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 codes, tags = training_windows([text])
+                order = balanced(tags, per_doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([codes[:per_doc].astype(np.int8).tobytes()], pa.binary()),
-                     pa.array([tags[:per_doc].astype(np.int8).tobytes()], pa.binary())], names=["codes", "tags"])
+                    [pa.array([codes[order].astype(np.int8).tobytes()], pa.binary()),
+                     pa.array([tags[order].astype(np.int8).tobytes()], pa.binary())], names=["codes", "tags"])
 
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    hashed = texts.withColumn("h", F.xxhash64("text"))
-    chosen = hashed.select("h").distinct().orderBy("h").limit(sample_docs)
-    picked = hashed.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).select("text")
+    hashed = texts.select(F.xxhash64("text").alias("h"), "text")
+    # A few thousand numbers a task.
+    smallest = written(hashed.mapInArrow(least, "kind int, h bigint"), "pii-sample")
+    chosen = None
+    for k in range(-1, len(KINDS)):
+        of_kind = smallest.where(F.col("kind") == k).select("h").distinct().orderBy("h").limit(share)
+        chosen = of_kind if chosen is None else chosen.union(of_kind)
+    picked = hashed.join(F.broadcast(chosen.distinct()), "h").dropDuplicates(["h"]).select("text")
     got = picked.mapInArrow(cut, "codes binary, tags binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["codes"], r["tags"]))
     read = lambda k: np.concatenate([np.frombuffer(r[k], np.int8) for r in got] or [np.zeros(0, np.int8)]).astype(np.int64).reshape(-1, WINDOW)
     codes, tags = read("codes"), read("tags")
     if not len(codes):
         return None
-    order = np.random.default_rng(0).permutation(len(codes))[:TRAIN_WINDOWS]
+    order = balanced(tags, TRAIN_WINDOWS)
     return fit(codes[order], tags[order])
 
 
