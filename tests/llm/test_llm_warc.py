@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 
@@ -62,3 +63,30 @@ def test_repeated_rows_null_ids_and_nothing(spark):
     got = sorted((r.id is None, r.id or 0, r.record_type, r.refers_to or 0) for r in warc.read_warc(archived(spark, frame)).collect())
     assert got == [(False, 1, "response", 0)] * 2 + [(False, 2, "revisit", 1)] + [(True, 0, "response", 0)] * 2
     assert warc.read_warc(archived(spark, frame.limit(0))).count() == 0
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    body = b"<p>hello</p>"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+
+    def member(kind, n, block, *more):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID:<urn:uuid:{n}>", f"content-length: {len(block)}", *more]
+        return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    message = "Content-Type: application/http; msgtype=response"
+    members = [
+        member("warcinfo", 0, b"software: x\r\n\r\nmore", "Content-Type: application/warc-fields"),
+        member("request", 1, b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+        member("response", 2, http + body, message, f"WARC-Payload-Digest: {sha1}", "WARC-Target-URI: http://x/"),
+        member("metadata", 3, b"a: b"),
+        member("revisit", 4, http, message, f"WARC-Payload-Digest: {sha1}", "WARC-Refers-To: <urn:uuid:2>"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members))
+    got = sorted(warc.read_warc(warc.find_archives(spark, str(tmp_path)), split_bytes=100).collect(), key=lambda r: r.record_id)
+    assert [r.record_type for r in got] == ["warcinfo", "request", "response", "metadata", "revisit"]
+    assert [r.payload for r in got] == [b"software: x\r\n\r\nmore", b"", body, b"a: b", None]
+    assert all(r.id is None and r.refers_to is None and r.record_id == f"<urn:uuid:{i}>" for i, r in enumerate(got))
+    assert (got[2].url, got[4].payload_digest, got[4].refers_to_id) == ("http://x/", sha1, "<urn:uuid:2>")
+    with pytest.raises(ValueError, match="does not match"):
+        warc.parse_record(gzip.decompress(member("response", 5, http + b"other", message, f"WARC-Payload-Digest: {sha1}")))

@@ -10,6 +10,7 @@ Archives are opened through ``pyarrow.fs``, by URI; the folder must be one that
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -36,7 +37,7 @@ CHUNK = 1 << 18
 WRITTEN = "path string, bytes bigint, records bigint"
 RECORDS = (
     "id bigint, url string, record_type string, payload binary, payload_bytes bigint, "
-    "payload_digest string, refers_to bigint"
+    "payload_digest string, refers_to bigint, record_id string, refers_to_id string"
 )
 
 
@@ -102,24 +103,51 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     return pages.select("id", "url", "payload", "payload_digest", "refers_to").mapInArrow(write, WRITTEN)
 
 
+def _page(value: str | None) -> int | None:
+    """The page of a record id that ``record_bytes`` wrote; null for ids of other writers."""
+    found = re.fullmatch(r"<urn:page:(-?[0-9]+)>", value or "")
+    return int(found[1]) if found else None
+
+
+def _matches(data: bytes, declared: str) -> bool:
+    """Whether data has a digest "algorithm:value", in hex or base32; true for unknown algorithms."""
+    name, _, value = declared.partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    if name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return True
+    own = hashlib.new(name, data)
+    return value.lower() == own.hexdigest() or value.upper().rstrip("=") == base64.b32encode(own.digest()).decode().rstrip("=")
+
+
 def parse_record(raw: bytes) -> tuple:
-    """The columns of RECORDS from an inflated member."""
+    """The columns of RECORDS from an inflated member, of any record type.
+
+    The payload is the body of an HTTP message, else the whole block. Digests are checked where a
+    record has them, that of the payload not if it is truncated or in a transfer encoding.
+    """
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    page = lambda v: int(v[len("<urn:page:"):-1]) if v and v != "<urn:page:>" else None
-    declared = fields["WARC-Payload-Digest"].partition(":")[2]
-    kind = fields["WARC-Type"]
-    if kind == "response":
-        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
-        if digest != declared:
-            raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
-    else:
+    unfolded = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace"))
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in unfolded.split("\r\n")[1:])}
+    block = rest[: int(fields["content-length"])]
+    kind, key = fields["warc-type"].lower(), fields.get("warc-record-id")
+    message = fields.get("content-type", "").lower().replace(" ", "").startswith("application/http")
+    http, _, payload = block.partition(b"\r\n\r\n") if message else (b"", b"", block)
+    declared = fields.get("warc-payload-digest")
+    whole = "warc-truncated" not in fields
+    if whole and "warc-block-digest" in fields and not _matches(block, fields["warc-block-digest"]):
+        raise ValueError(f"block of {key} does not match its digest")
+    if kind == "revisit":
         payload = None
-        size, digest = int(re.search(rb"Content-Length: (\d+)", http)[1]), declared
-    return (page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), kind, payload, size, digest,
-            page(fields.get("WARC-Refers-To")))
+        found = re.search(rb"(?im)^Content-Length:\s*(\d+)", http)
+        size = int(found[1]) if found else None
+        digest = declared.removeprefix("sha256:") if declared else None
+    else:
+        coded = re.search(rb"(?im)^Transfer-Encoding:", http)
+        if declared and whole and not coded and not _matches(payload, declared):
+            raise ValueError(f"payload of {key} does not match its digest")
+        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+    refers = fields.get("warc-refers-to")
+    return _page(key), fields.get("warc-target-uri"), kind, payload, size, digest, _page(refers), key, refers
 
 
 def _is_member(file, at: int) -> bool:
@@ -163,11 +191,13 @@ def records_in_range(file, start: int, stop: int, size: int) -> Iterator[bytes]:
 def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
     """The records of archives given as rows (path, bytes): columns of RECORDS.
 
-    Each row is one record; ``payload`` is null for revisits, and always with ``with_payload=False``.
+    Each row is one record of any type. ``id`` and ``refers_to`` are pages and null for ids of other
+    writers, ``record_id`` and ``refers_to_id`` the ids as they stand; ``payload_digest`` is a SHA-256 in
+    hex, or for revisits what they declare. ``payload`` is null for revisits, and always with ``with_payload=False``.
     """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORDS.split(", ")]
-        types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
+        types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
 
         def packed(rows):
             columns = list(zip(*rows))
