@@ -294,17 +294,13 @@ def test_character_anchors_in_text_without_spaces_and_short_text(spark):
     assert got[1].near_edited > 0.9 and got[1].near_next == 0
     assert got[2].near_edited > 0
     assert [(got[i].near_edited, got[i].near_next) for i in (3, 4)] == [(1, 0), (1, 0)]
-    for text in (chinese, "", "a" * 50, prose(1, 300)):
-        at, hashes = fingerprints.char_anchors(text)
-        by_place = [fingerprints.char_anchors(text[p : p + fingerprints.CHARS_K]) for p in at]
-        assert all(len(h) == 1 and h[0] == x for (_, h), x in zip(by_place, hashes))
 
 
 def test_all_anchors_of_long_texts_are_compared(spark):
     passage = prose(900, 60)
     one, two = (f"{prose(s, 2500)} {passage} {prose(s + 1, 2500)}" for s in (901, 903))
     got = fingerprints.compared(spark.createDataFrame([(one, one[:-1], two)], "a string, b string, c string"), [], "a", "b", "c").first()
-    sets = [set(fingerprints.char_anchors(t)[1].tolist()) for t in (one, one[:-1], two)]
+    sets = [set(r.h) for r in docs_of(spark, [one, one[:-1], two]).select("doc_id", fingerprints.char_hashes(F.col("text")).alias("h")).orderBy("doc_id").collect()]
     exact = [len(sets[0] & s) / len(sets[0] | s) for s in sets[1:]]
     assert [got.near_edited, got.near_next] == exact
     assert exact[0] > 0.99 and 0 < exact[1] < 0.1

@@ -6,22 +6,17 @@ at its end. Whether it does depends on the k-mer alone, so that two texts choose
 wherever they share k tokens. The smallest anchor hashes make the fingerprint. This is built-in
 functions over arrays.
 
-``compared`` does the same over characters, in numpy, and compares texts by all their anchors. A
+``compared`` does the same over characters and compares texts by all their anchors. A
 character put in or taken out changes only the k-mers that hold it, also in text without spaces.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.arrays import small_batches
-
 K = 5
 S = 2
 SKETCH = 64  # anchors of a fingerprint
@@ -36,7 +31,7 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"\S{1,8}"), F.lit(0))
 
 
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
+def anchors(text: Column, k: int = K, s: int = S, cut: Callable[[Column], Column] = tokens) -> Column:
     """Array of (at, hash): the closed syncmers of a text, by the place of their first token.
 
     A text in which none is chosen, as one with fewer than k tokens, gets one anchor at 0 made from
@@ -57,7 +52,7 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
         whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.lit(k), hashed).alias("hash")))
         return let(let(mers, lambda m: chosen(hashed, m)), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
 
-    return let(F.transform(tokens(text), lambda t: F.xxhash64(t)), from_hashes)
+    return let(F.transform(cut(text), lambda t: F.xxhash64(t)), from_hashes)
 
 
 def sketch(found: Column, most: int = SKETCH) -> Column:
@@ -91,61 +86,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.withColumn("fingerprint", as_text(F.col("sketch")))
 
 
-# ---- over characters, in numpy
+# ---- over characters
 
 CHARS_K = 12
 CHARS_S = 9
-COMPARED = "fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
-def char_anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the closed syncmers over the characters of a text (k = 12, s = 9), white
-    space among them. A text in which none is chosen gets one anchor at 0 made from all of it."""
-    one = _mixed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    joined = lambda a, b, at: a[: max(len(b) - at, 0)] * np.uint64(0xD1342543DE82EF95) + _mixed(b[at:])
-    two = joined(one, one, 1)
-    four = joined(two, two, 2)
-    eight = joined(four, four, 4)
-    mers = _mixed(joined(eight, one, 8))
-    inner = CHARS_K - CHARS_S + 1
-    n = max(len(one) - CHARS_K + 1, 0)
-    part = [mers[j : j + n] for j in range(inner)]
-    at = np.flatnonzero(np.minimum(part[0], part[-1]) <= np.minimum.reduce(part[1:-1]))
-    if not len(at):
-        whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        return np.zeros(1, np.int64), np.frombuffer(whole, "<u8")
-    return at, _mixed(joined(eight, four, 8)[at])
+def characters(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit("(?s)."), F.lit(0))
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sets without repeats, at least one of them not empty; exact."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def char_hashes(text: Column) -> Column:
+    """The distinct hashes of all anchors over the characters of a text, in order."""
+    return F.array_sort(F.array_distinct(F.transform(anchors(text, CHARS_K, CHARS_S, characters), lambda a: a["hash"])))
 
 
 def compared(rows: DataFrame, keep: list[str], text: str, edited: str, after: str) -> DataFrame:
     """The columns ``keep``, the fingerprints of ``text`` and ``edited``, and the Jaccard similarity of
     the character anchors of ``text`` with those of ``edited`` and of ``after``. All anchors count;
     only the fingerprint is a sketch. A null counts as an empty text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shown = lambda hashes: "".join(f"{h:016x}" for h in hashes[:SKETCH].tolist())
-        for batch in batches:
-            out = []
-            for at in range(batch.num_rows):
-                own, other, following = (np.unique(char_anchors(batch.column(k)[at].as_py() or "")[1]) for k in (-3, -2, -1))
-                out.append((shown(own), shown(other), jaccard(own, other), jaccard(own, following)))
-            made = list(zip(*out)) or [()] * 4
-            types = [pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], *(pa.array(c, t) for c, t in zip(made, types))], names=[*keep, *(c.split()[0] for c in COMPARED.split(", "))])
-
-    small_batches(rows.sparkSession)
-    ordered = rows.select(*keep, F.col(text).alias("_text"), F.col(edited).alias("_edited"), F.col(after).alias("_after"))
-    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    return ordered.mapInArrow(run, ", ".join([*kinds, COMPARED]))
+    made = rows.select(*keep, *(char_hashes(F.col(c)).alias(n) for c, n in ((text, "_own"), (edited, "_edited"), (after, "_after"))))
+    shown = lambda c: as_text(F.slice(F.col(c), 1, SKETCH))
+    alike = lambda c: let(F.size(F.array_intersect("_own", c)), lambda n: n / (F.size("_own") + F.size(c) - n)).cast("double")
+    return made.select(*keep, shown("_own").alias("fingerprint"), shown("_edited").alias("edited_fingerprint"),
+                       alike("_edited").alias("near_edited"), alike("_after").alias("near_next"))
