@@ -19,15 +19,16 @@ def entry():
 
 def test_all_are_registered(entry):
     names = entry.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 14))
     assert "pipeline" in names and entry.oracle_sql().keys() <= names.keys()
 
 
-def test_warc_equals_sql(spark, entry):
+@pytest.mark.parametrize("name", ["op2_warc", "op12_vector_codes", "op13_collocations"])
+def test_equals_sql(spark, entry, name):
     from checks.compare import database, rows_of
 
-    df = entry.queries()["op2_warc"](spark, SF)
-    result = database(SF).execute(entry.oracle_sql()["op2_warc"])
+    df = entry.queries()[name](spark, SF)
+    result = database(SF).execute(entry.oracle_sql()[name])
     names = [d[0] for d in result.description]
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(names, result.fetchall())
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import fingerprints, line_dedup, mixing, neighbours, ngram_join, packing, pii, quality_classifier, quality_rules, toxicity, warc
+from trafficlens.llm import (
+    collocations, fingerprints, line_dedup, mixing, neighbours, ngram_join, packing, pii, quality_classifier, quality_rules, simhash, toxicity,
+    vector_codes, warc,
+)
 from trafficlens.session import scratch_path, written
 
 
@@ -75,6 +78,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(docs))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
@@ -86,4 +101,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_pii": op10_pii,
+    "op11_simhash": op11_simhash,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_collocations": op13_collocations,
 }
