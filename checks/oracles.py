@@ -117,6 +117,8 @@ def anomaly_query(kind: str, tail: str) -> str:
     return f"WITH {traffic(kind)}, {models()}, {scored()}, {ANOMALIES} {tail}"
 
 
+ROLLED = f"WITH {traffic('langs')}, {models(rule='loop')}, {scored()}, {ANOMALIES} SELECT {ANOMALIES_OUT} FROM anomalies"
+
 TOP5 = """SELECT *, CAST(row_number() OVER (PARTITION BY year, month, day
   ORDER BY relative_to_quantile DESC, project, title) AS INTEGER) AS rank
 FROM anomalies QUALIFY rank <= 5"""
@@ -290,8 +292,7 @@ ORACLES: dict[str, str] = {
     "dump_lines": f"WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic",
     "dump_files": f"WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic",
     "dump_folder_versions": f"WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic",
-    "dump_hour_globs": f"""WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic
-        WHERE hour_no < (SELECT min(hour_no) FROM traffic) + 48""",
+    "dump_hour_globs": f"WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic",
     "dump_single_file": f"""WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic
         WHERE hour_no = (SELECT min(hour_no) FROM traffic)""",
     "table_daily_anomalies": anomaly_query("all", f"SELECT {ANOMALIES_OUT} FROM anomalies"),
@@ -356,6 +357,9 @@ ORACLES: dict[str, str] = {
     "window_models_by_page": window_query("langs", by_page=True),
     "window_models_builtin": window_query("all"),
     "incremental_equals_full": window_query("all", rule="loop"),
+    "rolled_daily_anomalies": ROLLED,
+    "rolled_versions": f"WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic",
+    "rolled_versions_anomalies": ROLLED,
     "rolled_window_models": window_query("all", rule="loop"),
     "kernel_weighted_mean": kernel(),
     "scored_rows": f"WITH {traffic('all')}, {models()}, {scored()} SELECT {SCORED_OUT} FROM scored",

@@ -35,6 +35,7 @@ from trafficlens.sources import (
     read_traffic,
     read_whitelist,
 )
+from trafficlens.streaming.rolling import RollingPaths, roll_round, rolled_anomalies, rolled_traffic
 
 # One page is listed twice.
 LISTED = [("en", "click"), ("de", "error"), ("en", "click")]
@@ -182,9 +183,10 @@ def dump_files(spark, sf):
 
 
 def dump_hour_globs(spark, sf):
-    """The dumps of the first 48 hours, by one glob an hour."""
-    first, _ = bounds(traffic_all(spark, sf))
-    return read_dumps(spark, paths_for_hours(dump_folder(spark, sf), first, 48)).select(*TRAFFIC_FIELDS)
+    """The dumps of all hours from the first to the last, by one glob an hour."""
+    first, last = bounds(traffic_all(spark, sf))
+    hours = 1 + int((last - first).total_seconds()) // 3600
+    return read_dumps(spark, paths_for_hours(dump_folder(spark, sf), first, hours)).select(*TRAFFIC_FIELDS)
 
 
 def dump_single_file(spark, sf):
@@ -385,6 +387,50 @@ def rolled_out_of_order(spark, sf):
     return _models(spark.read.parquet(models).drop("window_mid_date"))
 
 
+def _rolled(spark, batches, anchor) -> RollingPaths:
+    """The tables of a rolling run whose rounds bring these rows."""
+    base = scratch_path(spark, "rolled")
+    paths = RollingPaths(f"{base}/traffic", f"{base}/models", f"{base}/checkpoint")
+    for number, batch in enumerate(batches):
+        roll_round(batch, number, paths, anchor)
+    return paths
+
+
+def rolled_daily_anomalies(spark, sf):
+    """Anomalies of a rolling run of four rounds that bring days in no order of time."""
+    traffic = traffic_langs(spark, sf).withColumn("version", F.lit(0).cast("bigint"))
+    first, _ = bounds(traffic)
+    part = F.pmod(F.dayofyear("ts") * 7, F.lit(4))
+    return rounded(rolled_anomalies(spark, _rolled(spark, [traffic.where(part == k) for k in (2, 0, 3, 1)], first)))
+
+
+def _versions(spark, sf) -> RollingPaths:
+    """A rolling run in which every hour has two files, in rounds of their own: of even hours that of
+    the higher version comes first, of odd ones that of the lower. Higher ones have other counts."""
+    traffic = traffic_langs(spark, sf)
+    first, _ = bounds(traffic)
+    even = F.col("hour_no") % 2 == 0
+    number = lambda a, b: F.when(even, a).otherwise(b).cast("bigint").alias("version")
+    right = lambda: traffic.select("*", number(0, 1))
+    wrong = lambda: traffic.withColumns({"requests": F.col("requests") * 3 + 5, "bytes": F.col("bytes") + 1}).select("*", number(7, 12))
+    half = F.pmod(F.dayofyear("ts"), F.lit(2))
+    batches = []
+    for k in (1, 0):
+        batches.append(wrong().where((half == k) & even).unionByName(right().where((half == k) & ~even)))
+        batches.append(right().where((half == k) & even).unionByName(wrong().where((half == k) & ~even)))
+    return _rolled(spark, batches, first)
+
+
+def rolled_versions(spark, sf):
+    """The rows that count after the rounds of :func:`_versions`."""
+    return rolled_traffic(spark, _versions(spark, sf)).select(*TRAFFIC_FIELDS)
+
+
+def rolled_versions_anomalies(spark, sf):
+    """The anomalies after the same rounds."""
+    return rounded(rolled_anomalies(spark, _versions(spark, sf)))
+
+
 def kernel_weighted_mean(spark, sf):
     return _models(windows.kernel_means(traffic_langs(spark, sf)))
 
@@ -586,6 +632,7 @@ QUERIES: dict[str, Query] = {
         page_stats, time_bounds, edge_records, running_totals, distinct_titles, window_models,
         window_models_nonzero, window_models_ragged, window_models_sparse, window_models_by_page,
         window_models_builtin, incremental_equals_full, rolled_window_models,
+        rolled_daily_anomalies, rolled_versions, rolled_versions_anomalies,
         kernel_weighted_mean, scored_rows,
         scored_rows_short_steps, scored_rows_left, scored_rows_last_window, severity_counts,
         severity_levels, anomalies_or_bytes, ma_daily_anomalies, ma_daily_anomalies_hours,

@@ -19,8 +19,12 @@ def moving_average_anomalies(
     window_count: str = "days", deviations: float = 3.0,
 ) -> DataFrame:
     """Days with an hour more than ``deviations`` off the centred window's mean."""
+    return anomalies_from_scores(daily_scores(traffic, size, step, anchor, last, window_count), deviations)
+
+
+def anomalies_from_scores(days: DataFrame, deviations: float = 3.0) -> DataFrame:
+    """Per-day anomalies from :func:`trafficlens.operators.windows.daily_scores`."""
     date = F.date_from_unix_date("day_no")
-    days = daily_scores(traffic, size, step, anchor, last, window_count)
     return days.where(F.col("z_max") > deviations).select(
         *PAGE,
         F.year(date).alias("year"), F.month(date).alias("month"), F.dayofmonth(date).alias("day"),

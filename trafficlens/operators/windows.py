@@ -135,7 +135,11 @@ def window_models(
     they are: two rows of one hour count as two.
     """
     rows = anchored(traffic, anchor, last, size, step, window_count)
-    parts = slices(rows, size, step, _model_sums(rows))
+    return models_of_slices(slices(rows, size, step, _model_sums(rows)), size, step, drop_zero_variance)
+
+
+def models_of_slices(parts: DataFrame, size: int, step: int, drop_zero_variance: bool = True) -> DataFrame:
+    """The models of windows from slice parts that lie together by page."""
     spread = parts.select(
         *PAGE, "origin", F.explode(covering(size, step)).alias("k"),
         "n", "requests", "bytes", "requests_sq", "bytes_sq",
@@ -254,10 +258,40 @@ def daily_scores(
     its day. Equals scoring every hour and taking daily maxima.
     """
     rows = anchored(traffic, anchor, last, size, step, window_count)
+    return scores_of_slices(_day_slices(rows, size, step), size, step)
+
+
+def _day_slices(rows: DataFrame, size: int, step: int) -> DataFrame:
+    """Slice parts cut at midnight, too, with the extremes of requests."""
     most, least = ("high", "low") if "high" in rows.columns else ("requests", "requests")
     extremes = [F.max(most).alias("high"), F.min(least).alias("low")]
     rows = rows.withColumn("day_no", day_number("hour_no"))
-    parts = slices(rows, size, step, [*_model_sums(rows), *extremes], keys=["day_no"])
+    return slices(rows, size, step, [*_model_sums(rows), *extremes], keys=["day_no"])
+
+
+SLICE_KEYS = (*PAGE, "slice", "head", "day_no")
+
+
+def slice_sums(traffic: DataFrame, anchor: dt.datetime, size: int = WEEK, step: int = DAY) -> DataFrame:
+    """Sums and extremes of traffic by page, slice part and day, to be kept and added up later.
+
+    Slices depend on the anchor, the step and size mod step alone. Sums of several batches of rows
+    add up by :func:`merged_slices`.
+    """
+    rows = anchored(traffic, anchor, anchor, size, step, "loop")
+    return _day_slices(rows, size, step).drop("origin", "windows")
+
+
+def merged_slices(sums: DataFrame, anchor: dt.datetime, windows: int) -> DataFrame:
+    """Slice parts of all pages from stored slice sums, for the first so many windows."""
+    # Pages come together first: both groupings then keep that partitioning.
+    parts = sums.repartition(*PAGE).groupBy(*SLICE_KEYS).agg(
+        *[F.sum(c).alias(c) for c in SUMS], F.max("high").alias("high"), F.min("low").alias("low"))
+    return parts.withColumns({"origin": F.lit(hour_number_from(anchor)).cast("bigint"), "windows": F.lit(windows).cast("bigint")})
+
+
+def scores_of_slices(parts: DataFrame, size: int, step: int) -> DataFrame:
+    """:func:`daily_scores` from slice parts of days that lie together by page."""
     low, high = F.col("first_k"), F.col("last_k")
     own_low, own_high = F.col("own_first"), F.col("own_last")
     own_first, own_last = own_windows(F.col("day_no"), size, step)

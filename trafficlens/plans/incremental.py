@@ -78,25 +78,42 @@ def roll_hours(
     ``newest_before``, are computed from all their hours in the table. Doing it again changes
     nothing. Lists are bounded by the calendar. Returns how many windows were computed.
     """
+    wanted = changed_windows(anchor, hours, newest_before, newest, size, step)
+    if wanted:
+        _replace(spark, traffic_path, models_path, anchor, wanted, newest, size, step)
+    return len(wanted)
+
+
+def changed_windows(
+    anchor: dt.datetime, hours: list[int], newest_before: int | None, newest: int, size: int = WEEK, step: int = DAY,
+) -> set[int]:
+    """Complete windows that cover one of the hours, and those that ``newest`` completes."""
     first = hour_number_from(anchor)
     complete = windows_complete(anchor, newest, size, step)
     wanted = set(range(windows_complete(anchor, newest_before, size, step), complete))
     for hour in hours:
         at = hour - first
         wanted.update(range(max(0, -((size - at) // step)), min(at // step, complete - 1) + 1))
-    if wanted:
-        _replace(spark, traffic_path, models_path, anchor, wanted, newest, size, step)
-    return len(wanted)
+    return wanted
+
+
+def middle(anchor: dt.datetime, k: int, size: int = WEEK, step: int = DAY) -> dt.date:
+    """The date that a window is centred on."""
+    return (window_begin(anchor, k, step) + dt.timedelta(hours=size // 2)).date()
+
+
+def days_of_windows(anchor: dt.datetime, windows: set[int], size: int = WEEK, step: int = DAY) -> set[dt.date]:
+    """The dates that windows reach into."""
+    return {(window_begin(anchor, k, step) + dt.timedelta(hours=h)).date() for k in windows for h in {*range(0, size, DAY), size}}
 
 
 def _replace(spark, traffic_path, models_path, anchor, wanted, newest, size, step) -> None:
     """Compute the wanted windows and all others centred on their dates, and replace those dates."""
-    mid = lambda k: (window_begin(anchor, k, step) + dt.timedelta(hours=size // 2)).date()
-    dates = {mid(k) for k in wanted}
+    dates = {middle(anchor, k, size, step) for k in wanted}
     around = -(-DAY // step) + 1
     complete = windows_complete(anchor, newest, size, step)
-    ks = {j for k in wanted for j in range(max(0, k - around), min(complete, k + around + 1)) if mid(j) in dates}
-    days = {(window_begin(anchor, k, step) + dt.timedelta(hours=h)).date() for k in ks for h in {*range(0, size, DAY), size}}
+    ks = {j for k in wanted for j in range(max(0, k - around), min(complete, k + around + 1)) if middle(anchor, j, size, step) in dates}
+    days = days_of_windows(anchor, ks, size, step)
     traffic = read_traffic_table(spark, traffic_path, dates=sorted(days))
     models = window_models(traffic, size, step, anchor, EPOCH + dt.timedelta(hours=newest), "loop")
     replace_window_models(models.where(F.col("k").isin(sorted(ks))), models_path)

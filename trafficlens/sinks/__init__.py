@@ -41,6 +41,19 @@ def write_traffic_table(
     rows.sortWithinPartitions("date", *PAGE, "hour").write.mode(mode).partitionBy("date").parquet(path)
 
 
+def write_slice_sums(sums: DataFrame, path: str, dates: list | None = None) -> None:
+    """Slice sums, one folder per date; with ``dates`` over those of these dates, which must all have
+    been there. A date that has no sums left gets an empty file in place of its rows."""
+    dated = sums.withColumn("date", F.date_from_unix_date("day_no"))
+    writer = _spread(dated, "date", 2).write.mode("overwrite")
+    if dates is None:
+        writer.partitionBy("date").parquet(path)
+        return
+    for date in dates:
+        own = dated.where(F.col("date") == F.lit(date)).drop("date")
+        own.write.mode("overwrite").parquet(f"{path}/date={date}")
+
+
 def write_window_models(
     models: DataFrame, path: str, mode: str = "overwrite", files_per_date: int = 2
 ) -> None:

@@ -1,4 +1,4 @@
-from trafficlens.sources.hours import coverage_gaps, expected_hours, first_version, list_dumps, paths_for_hours
+from trafficlens.sources.hours import coverage_gaps, expected_hours, first_version, list_dumps, other_files, paths_for_hours
 from trafficlens.sources.tables import events_as_traffic, read_traffic_table, table_bounds
 from trafficlens.sources.text import (
     parse_dump_lines,
@@ -16,6 +16,7 @@ __all__ = [
     "expected_hours",
     "first_version",
     "list_dumps",
+    "other_files",
     "parse_dump_lines",
     "paths_for_hours",
     "read_anomalies",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.schema import ANOMALIES_DDL, TRAFFIC_FIELDS, with_timestamp
 from trafficlens.sinks import NULL_FIELD
-from trafficlens.sources.hours import first_version, list_dumps
+from trafficlens.sources.hours import dump_version, first_version, list_dumps, other_files
 
 DUMP_FIELDS = ("project", "title", "requests", "bytes")
 NUMBER_TYPES = {
@@ -24,28 +24,42 @@ NUMBER_TYPES = {
 }
 
 
-def read_dumps(spark: SparkSession, paths, mode: str = "fail") -> DataFrame:
-    """Raw hourly dumps ``pagecounts-YYYYMMDD-HH*`` (gz or plain) as traffic rows.
+def read_dumps(spark: SparkSession, paths, mode: str = "fail", all_versions: bool = False) -> DataFrame:
+    """Raw hourly dumps ``pagecounts-YYYYMMDD-HH*`` (gz or plain) of a folder, paths or globs as traffic rows.
 
-    Lines with fewer than four fields are dropped in either mode. A gz file is one task: for
-    repeated use convert dumps once with :func:`trafficlens.sinks.write_traffic_table`.
-    A truncated archive stops the job unless ``spark.sql.files.ignoreCorruptFiles`` is set.
+    Of several files of one hour that of the lowest version is read, so that no hour counts twice;
+    with ``all_versions`` every file is. A file whose name tells no hour stops the job, or is left out
+    if ``mode`` is "drop". The list of files is bounded by the hours of the calendar. Lines with fewer
+    than four fields are dropped in either mode. A gz file is one task: for repeated use convert dumps
+    once with :func:`trafficlens.sinks.write_traffic_table`. A truncated archive stops the job unless
+    ``spark.sql.files.ignoreCorruptFiles`` is set.
     """
+    if not all_versions:
+        paths = served_files(spark, paths, mode)
     lines = spark.read.text(paths).select(
         "value", F.col("_metadata.file_name").alias("file_name")
     )
     return parse_dump_lines(lines, mode=mode)
 
 
+def served_files(spark: SparkSession, paths, mode: str = "fail") -> list[str]:
+    """The dump files among paths or globs that serve an hour: of each its lowest version."""
+    if mode == "fail":
+        others = [r.path for r in other_files(spark, paths).limit(5).collect()]
+        if others:
+            raise ValueError(f"the names of these files tell no hour: {', '.join(others)}")
+    chosen = first_version(list_dumps(spark, paths), most=None).select("path").collect()
+    if not chosen:
+        raise ValueError(f"no dump files in {paths}")
+    return sorted(r.path for r in chosen)
+
+
 def read_folder(spark: SparkSession, folder: str, mode: str = "fail") -> DataFrame:
-    """All hours of a folder, each from the file of its lowest version, so that none counts twice.
+    """All hours of a folder, each from the file of its lowest version, whatever that is.
 
-    The list of files is bounded by the hours of the calendar.
+    Files of other names, such as counts by project, are passed over.
     """
-    chosen = first_version(list_dumps(spark, folder)).select("path").collect()
-    if not chosen:
-        raise ValueError(f"no dump files in {folder}")
-    return read_dumps(spark, sorted(r.path for r in chosen), mode)
+    return read_dumps(spark, served_files(spark, folder, "drop"), mode, all_versions=True)
 
 
 def read_dump_file(spark: SparkSession, path: str) -> DataFrame:
@@ -56,8 +70,9 @@ def read_dump_file(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*DUMP_FIELDS, time)
 
 
-def parse_dump_lines(lines: DataFrame, mode: str = "fail", short_lines: str = "drop") -> DataFrame:
-    """Traffic rows from (value, file_name) lines; the hour is read off the file name."""
+def parse_dump_lines(lines: DataFrame, mode: str = "fail", short_lines: str = "drop", with_version: bool = False) -> DataFrame:
+    """Traffic rows from (value, file_name) lines; the hour is read off the file name, and with
+    ``with_version`` the version, too."""
     name = F.substring_index("file_name", "/", -1)
     rows = _split_lines(lines, " ", len(DUMP_FIELDS), short_lines, keep=[name.alias("name")])
     clock = [
@@ -67,8 +82,9 @@ def parse_dump_lines(lines: DataFrame, mode: str = "fail", short_lines: str = "d
             ("year", 12, 4), ("month", 16, 2), ("day", 18, 2), ("hour", 21, 2),
         )
     ]
-    named = rows.select(*_named(DUMP_FIELDS), *clock)
-    return with_timestamp(_typed(named, TRAFFIC_FIELDS, mode))
+    version = [dump_version(F.col("name")).alias("version")] if with_version else []
+    named = rows.select(*_named(DUMP_FIELDS), *clock, *version)
+    return with_timestamp(_typed(named, TRAFFIC_FIELDS, mode, keep=["version"] if with_version else []))
 
 
 def read_traffic(spark: SparkSession, paths, sep: str = " ", mode: str = "fail") -> DataFrame:
@@ -110,7 +126,7 @@ def _named(fields) -> list[Column]:
     return [F.col("parts")[i].alias(name) for i, name in enumerate(fields)]
 
 
-def _typed(rows: DataFrame, fields, mode: str) -> DataFrame:
+def _typed(rows: DataFrame, fields, mode: str, keep=()) -> DataFrame:
     """Cast the number fields; a text that is no number fails or drops its row."""
     if mode not in ("fail", "drop"):
         raise ValueError(f"mode must be 'fail' or 'drop', not {mode!r}")
@@ -129,4 +145,4 @@ def _typed(rows: DataFrame, fields, mode: str) -> DataFrame:
         for test in good:
             rows = rows.where(test)
     texts = lambda n: F.when(F.col(n) != NULL_FIELD, F.col(n))
-    return rows.select(*[(number(n) if n in numbers else texts(n)).alias(n) for n in fields])
+    return rows.select(*[(number(n) if n in numbers else texts(n)).alias(n) for n in fields], *keep)
