@@ -90,3 +90,40 @@ def test_archives_of_other_writers(spark, tmp_path):
     assert (got[2].url, got[4].payload_digest, got[4].refers_to_id) == ("http://x/", sha1, "<urn:uuid:2>")
     with pytest.raises(ValueError, match="does not match"):
         warc.parse_record(gzip.decompress(member("response", 5, http + b"other", message, f"WARC-Payload-Digest: {sha1}")))
+
+
+def plain_record(n, block, *more, kind="resource"):
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{n}>", f"Content-Length: {len(block)}", *more]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("chunk", [64, 1 << 16])
+def test_members_of_several_records(spark, tmp_path, monkeypatch, chunk):
+    """An archive gzipped as a whole, members of a few records, an empty block, line breaks in and between blocks."""
+    monkeypatch.setattr(warc, "CHUNK", chunk)
+    blocks = [b"", b"\r\n\r\n", b"WARC/1.0\r\n\r\n", b"x" * 200_000, b"tail\r\n", *(prose(k, 40).encode() for k in range(30))]
+    records = [plain_record(k, b) for k, b in enumerate(blocks)]
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(b"\r\n".join(records)))
+    (tmp_path / "some.warc.gz").write_bytes(b"".join(gzip.compress(b"".join(records[k : k + 3])) for k in range(0, len(records), 3)))
+    got = warc.read_warc(warc.find_archives(spark, str(tmp_path)), split_bytes=500).collect()
+    assert sorted((r.record_id, r.payload) for r in got) == sorted((f"<urn:uuid:{k}>", b) for k, b in enumerate(blocks) for _ in range(2))
+
+
+@pytest.mark.parametrize("data,message", [
+    (b"WARC/1.0\r\nWARC-Type: resource\r\n\r\nabc", "without Content-Length"),
+    (b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", "without WARC-Type"),
+    (plain_record(1, b"abc") + b"garbage\r\n\r\n", "no record begins with"),
+    (plain_record(1, b"abc")[:-6], "is cut off"),
+    (plain_record(1, b"abc") + b"WARC/1.0\r\nWARC-Ty", "is cut off"),
+])
+def test_bad_records_name_their_archive(spark, tmp_path, data, message):
+    (tmp_path / "bad.warc.gz").write_bytes(b"\0" * 7 + gzip.compress(data))
+    with pytest.raises(Exception, match=rf"bad.warc.gz.*byte 7.*{message}|bad.warc.gz.*{message}"):
+        warc.read_warc(warc.find_archives(spark, str(tmp_path))).collect()
+
+
+def test_no_folder_and_empty_archives(spark, tmp_path):
+    assert warc.find_archives(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "empty.warc.gz").write_bytes(b"")
+    frame = warc.find_archives(spark, str(tmp_path)).unionByName(spark.createDataFrame([(None, 5), ("x", None)], "path string, bytes bigint"))
+    assert warc.read_warc(frame).count() == 0

@@ -33,6 +33,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 MIN_REVISIT_BYTES = 100
 SPLIT_BYTES = 8 << 20
+TASK_BYTES = 256 << 20  # of archives that a task reads, about
 CHUNK = 1 << 18
 WRITTEN = "path string, bytes bigint, records bigint"
 RECORDS = (
@@ -77,7 +78,8 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
 
     Returns rows (path, bytes, records) of the archives; evaluating it writes them. A task that runs
     again writes a file under another name, and only the files it names count: give the rows, not
-    the folder, to the reader.
+    the folder, to the reader. Null ids and addresses are written as empty, a null payload as no bytes;
+    repeated rows give a record each; a task without rows writes no archive.
     """
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = file_system(folder)
@@ -120,15 +122,17 @@ def _matches(data: bytes, declared: str) -> bool:
 
 
 def parse_record(raw: bytes) -> tuple:
-    """The columns of RECORDS from an inflated member, of any record type.
+    """The columns of RECORDS from a record, of any type.
 
     The payload is the body of an HTTP message, else the whole block. Digests are checked where a
-    record has them, that of the payload not if it is truncated or in a transfer encoding.
+    record has them, that of the payload not if it is truncated or in a transfer encoding. A record
+    without a type raises ValueError.
     """
-    head, _, rest = raw.partition(b"\r\n\r\n")
+    head, _, block = raw.partition(b"\r\n\r\n")
     unfolded = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace"))
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in unfolded.split("\r\n")[1:])}
-    block = rest[: int(fields["content-length"])]
+    if "warc-type" not in fields:
+        raise ValueError("a record without WARC-Type")
     kind, key = fields["warc-type"].lower(), fields.get("warc-record-id")
     message = fields.get("content-type", "").lower().replace(" ", "").startswith("application/http")
     http, _, payload = block.partition(b"\r\n\r\n") if message else (b"", b"", block)
@@ -159,8 +163,25 @@ def _is_member(file, at: int) -> bool:
         return False
 
 
-def records_in_range(file, start: int, stop: int, size: int) -> Iterator[bytes]:
-    """The inflated members of an archive that start in [start, stop)."""
+def record_size(data: bytearray) -> int | None:
+    """Bytes of the record that data begins with, None as long as its header is not all there."""
+    end = data.find(b"\r\n\r\n")
+    if end < 0:
+        return None
+    if not data.startswith(b"WARC/"):
+        raise ValueError(f"no record begins with {bytes(data[:20])!r}")
+    length = re.search(rb"(?im)^content-length[ \t]*:[ \t]*(\d+)[ \t]*\r?$", data[:end])
+    if not length:
+        raise ValueError("a record without Content-Length")
+    return end + 4 + int(length[1])
+
+
+def records_in_range(file, start: int, stop: int, size: int) -> Iterator[tuple[int, bytes]]:
+    """The records of the gzip members that start in [start, stop), with the member's place.
+
+    A member may hold any number of records, as that of an archive gzipped as a whole does. It is
+    inflated piece by piece, so that memory is bounded by the largest record.
+    """
     at = start
     while at < stop:
         file.seek(at)
@@ -176,16 +197,31 @@ def records_in_range(file, start: int, stop: int, size: int) -> Iterator[bytes]:
         if not _is_member(file, at):
             at += 1
             continue
-        unpacker, parts = zlib.decompressobj(31), []
+        member, unpacker, data = at, zlib.decompressobj(31), bytearray()
         file.seek(at)
         while not unpacker.eof:
             chunk = file.read(CHUNK)
             if not chunk:
-                raise ValueError(f"a record at byte {at} is cut off")
-            parts.append(unpacker.decompress(chunk))
+                raise ValueError(f"a record at byte {member} is cut off")
             at += len(chunk)
+            while chunk:
+                data += unpacker.decompress(chunk, 4 * CHUNK)
+                chunk = unpacker.unconsumed_tail
+                done = 0
+                while True:
+                    # Records end with two line breaks, which are no part of them.
+                    while data[done : done + 2] == b"\r\n":
+                        done += 2
+                    rest = data[done:] if done else data
+                    length = record_size(rest) if rest else None
+                    if length is None or len(rest) < length:
+                        break
+                    yield member, bytes(rest[:length])
+                    done += length
+                del data[:done]
+        if data.strip(b"\r\n"):
+            raise ValueError(f"the last record of the member at byte {member} is cut off")
         at -= len(unpacker.unused_data)
-        yield b"".join(parts)
 
 
 def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
@@ -194,8 +230,19 @@ def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload:
     Each row is one record of any type. ``id`` and ``refers_to`` are pages and null for ids of other
     writers, ``record_id`` and ``refers_to_id`` the ids as they stand; ``payload_digest`` is a SHA-256 in
     hex, or for revisits what they declare. ``payload`` is null for revisits, and always with ``with_payload=False``.
+
+    A member may hold several records, each gives a row; records that occur twice give two. Bytes
+    between members are passed over; a record that is cut off, has no type or length, or does not match
+    its digest stops the job, and the error names the archive and the byte. An archive of 0 bytes, or
+    with a null path or size, has no records; no archives give no rows. Other columns are not read.
     """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def located(path, records):
+            try:
+                yield from records
+            except ValueError as error:
+                raise ValueError(f"{path}: {error}") from error
+
         names = [x.split()[0] for x in RECORDS.split(", ")]
         types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
 
@@ -208,8 +255,11 @@ def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload:
                 system, inner = file_system(path)
                 rows, held = [], 0
                 with system.open_input_file(inner) as file:
-                    for raw in records_in_range(file, start, min(size, start + split_bytes), size):
-                        row = parse_record(raw)
+                    for member, raw in located(path, records_in_range(file, start, min(size, start + split_bytes), size)):
+                        try:
+                            row = parse_record(raw)
+                        except ValueError as error:
+                            raise ValueError(f"{path}, member at byte {member}: {error}") from error
                         if not with_payload:
                             row = (*row[:3], None, *row[4:])
                         rows.append(row)
@@ -223,13 +273,16 @@ def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload:
     splits = archives.select(
         "path", "bytes",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint"))).alias("start"),
-    ).where("bytes > 0")
-    # A number of its own for the tasks: a split is a few bytes here, but many in the archive.
-    return splits.repartition(max(1, splits.count())).mapInArrow(read, RECORDS)
+    ).where("bytes > 0 and path is not null")
+    # A split is a few bytes here, but many in the archive: tasks are counted by those, some for each
+    # core at least.
+    found = splits.agg(F.count("*").alias("n"), F.sum(F.least(F.lit(split_bytes), F.col("bytes") - F.col("start"))).alias("bytes")).first()
+    tasks = max(-(-(found.bytes or 0) // TASK_BYTES), 2 * archives.sparkSession.sparkContext.defaultParallelism)
+    return splits.repartition(max(1, min(found.n, tasks))).mapInArrow(read, RECORDS)
 
 
 def find_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows (path, bytes) of the archives in a folder that somebody else wrote."""
+    """Rows (path, bytes) of the archives in a folder that somebody else wrote; none if there is no folder."""
     system, base = file_system(folder)
     found = system.get_file_info(fs.FileSelector(base, allow_not_found=True))
     rows = [(f"{folder.rstrip('/')}/{f.base_name}", f.size) for f in found if f.base_name.endswith(".warc.gz")]
