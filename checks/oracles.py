@@ -398,6 +398,19 @@ ORACLES: dict[str, str] = {
         SELECT {ANOMALIES_OUT} FROM top"""),
     "all_anomalies_ranked": anomaly_query("langs", f"""SELECT {ANOMALIES_OUT} FROM anomalies
         ORDER BY anomalies.relative_to_quantile DESC, project, title, year, month, day"""),
+    "all_anomalies_numbered": anomaly_query("langs", f""", numbered AS (SELECT *, row_number() OVER (
+        ORDER BY relative_to_quantile DESC, project, title, year, month, day) AS rank FROM anomalies)
+        SELECT {ANOMALIES_OUT}, rank FROM numbered"""),
+    "rolled_regression_weights": f"""WITH RECURSIVE {traffic('langs').replace('traffic AS', 'source AS', 1)},
+        {LAGGED.replace('lagged AS', 'every AS', 1).replace(' traffic', ' source')},
+        ranges AS (
+          SELECT nr, first + to_days(a) AS low, CASE WHEN b < 0 THEN last ELSE first + to_days(b) END AS high
+          FROM (VALUES ('0 ', 0, 14), ('1 ', 5, 20), ('2 ', 15, -1)) r(nr, a, b),
+               (SELECT min(CAST(ts AS DATE)) AS first, max(CAST(ts AS DATE)) AS last FROM source)),
+        traffic AS (SELECT nr || project AS project, title, requests FROM source JOIN ranges ON CAST(ts AS DATE) BETWEEN low AND high),
+        lagged AS (SELECT nr || project AS project, title, x0, x1, x2, x3, x4, x5 FROM every JOIN ranges ON CAST(ts AS DATE) BETWEEN low AND high),
+        {regression_sums()}, {descent()}
+        SELECT project, title, hours, n, {WEIGHTS_OUT} FROM weights JOIN stdsums USING (project, title)""",
     "lag_features": f"""WITH {traffic('all')}, {LAGGED}
         SELECT project, title, hour_id, year, month, day, hour, CAST(x0 AS DOUBLE) AS y,
                CAST(x1 AS DOUBLE) AS lag1, CAST(x2 AS DOUBLE) AS lag2, CAST(x3 AS DOUBLE) AS lag3,

@@ -18,7 +18,7 @@ from trafficlens import configure
 from trafficlens.functions.hours import calendar_fields, hour_number
 from trafficlens.operators import anomalies, filters, regression, scoring, series, stats, windows
 from trafficlens.plans import jobs
-from trafficlens.plans.incremental import hours_in, new_window_models, roll_forward, roll_hours
+from trafficlens.plans.incremental import hours_in, new_window_models, roll_forward, roll_hours, roll_regression
 from trafficlens.schema import PAGE, TRAFFIC_FIELDS
 from trafficlens.session import scratch_path
 from trafficlens.sinks import write_text, write_traffic_table
@@ -518,6 +518,10 @@ def top_k_anomalies(spark, sf):
     return rounded(anomalies.top_k(ma_anomalies(spark, sf), 10))
 
 
+def all_anomalies_numbered(spark, sf):
+    return rounded(anomalies.numbered(ma_anomalies(spark, sf)))
+
+
 def all_anomalies_ranked(spark, sf):
     return rounded(anomalies.top_k(ma_anomalies(spark, sf)))
 
@@ -566,6 +570,25 @@ def regression_weights(spark, sf):
     return rounded(regression.fit(regression.enough(_sums(spark, sf))).select(*WEIGHTS))
 
 
+def rolled_regression_weights(spark, sf):
+    """Weights of three ranges of days from daily sums that came in three rounds, in no order."""
+    traffic = traffic_langs(spark, sf)
+    first, last = bounds(traffic)
+    table, sums = scratch_path(spark, "regression-traffic"), scratch_path(spark, "regression-sums")
+    for number, k in enumerate((1, 2, 0)):
+        batch = traffic.where(F.pmod(F.dayofyear("ts") * 5, F.lit(3)) == k)
+        write_traffic_table(batch, f"{table}/batch={number}")
+        dates = [r.date for r in batch.select(F.col("ts").cast("date").alias("date")).distinct().collect()]
+        roll_regression(spark, table, sums, dates)
+    daily = spark.read.parquet(sums)
+    begin, end = ((d.date() - dt.date(1970, 1, 1)).days for d in (first, last))
+    found = []
+    for k, (low, high) in enumerate(((begin, begin + 14), (begin + 5, begin + 20), (begin + 15, end))):
+        weights = regression.fit(regression.enough(regression.range_sums(daily, low, high)))
+        found.append(weights.select(F.concat(F.lit(f"{k} "), F.col("project")).alias("project"), "title", "hours", "n", *regression.WEIGHTS))
+    return rounded(found[0].union(found[1]).union(found[2]))
+
+
 def regression_weights_ols(spark, sf):
     return rounded(regression.fit(regression.enough(_sums(spark, sf)), "ols").select(*WEIGHTS))
 
@@ -637,7 +660,7 @@ QUERIES: dict[str, Query] = {
         scored_rows_short_steps, scored_rows_left, scored_rows_last_window, severity_counts,
         severity_levels, anomalies_or_bytes, ma_daily_anomalies, ma_daily_anomalies_hours,
         ma_daily_anomalies_as_written, top5_per_day, newsletter_distinct_pages, top_k_anomalies,
-        all_anomalies_ranked, lag_features, page_moments, regression_sums, skipped_pages,
+        all_anomalies_ranked, all_anomalies_numbered, rolled_regression_weights, lag_features, page_moments, regression_sums, skipped_pages,
         regression_weights, regression_weights_ols, grid_search_best_step, regression_residuals,
         residual_threshold, residual_quantile, residual_quantile_approx,
         regression_daily_anomalies, regression_daily_anomalies_grid, traffic_series, ma_series,

@@ -10,7 +10,11 @@ import pytest
 from conftest import START, row
 from pyspark.sql import functions as F
 
-from trafficlens.operators import anomalies, windows
+from trafficlens.functions.hours import day_number
+from trafficlens.operators import anomalies, regression, windows
+from trafficlens.plans.incremental import roll_regression
+from trafficlens.schema import ANOMALIES_DDL, hourly
+from trafficlens.sinks import write_traffic_table
 from trafficlens.sources import other_files, read_dumps, read_folder
 from trafficlens.streaming import ledger, rolling
 
@@ -150,3 +154,43 @@ def test_rounds_without_rows(spark, sample, tmp_path):
     assert rows_of(rolling.rolled_traffic(spark, paths)) == rows_of(sample)
     expected = anomalies.moving_average_anomalies(sample, 48, anchor=START, window_count="loop")
     same_days(days_of(rolling.rolled_anomalies(spark, paths)), days_of(expected))
+
+
+@pytest.mark.parametrize("solver", ["gd", "ols"])
+def test_regression_of_a_moving_range(spark, sample, tmp_path, solver):
+    """Sums of days that came in no order, one of them twice; a page whose first days leave the range."""
+    table, sums = str(tmp_path / "traffic"), str(tmp_path / "sums")
+    part = F.pmod(F.dayofyear("ts") * 5, F.lit(3))
+    for number, k in enumerate((1, 2, 0, 0)):
+        batch = sample.where(part == k)
+        write_traffic_table(batch, f"{table}/batch={min(number, 2)}")
+        roll_regression(spark, table, sums, [r.d for r in batch.select(F.col("ts").cast("date").alias("d")).distinct().collect()])
+    daily = spark.read.parquet(sums)
+    first = (START.date() - dt.date(1970, 1, 1)).days
+    rows = regression.lagged(hourly(sample)).withColumn("day_no", day_number("hour_no"))
+    for low, high in ((first, first + 6), (first + 4, first + 12), (None, None)):
+        inside = rows if low is None else rows.where(F.col("day_no").between(low, high))
+        expected = {(r.project, r.title): r for r in regression.page_sums(inside.drop("day_no")).collect()}
+        got = {(r.project, r.title): r for r in regression.range_sums(daily, low, high).collect()}
+        assert got.keys() == expected.keys()
+        for page, r in expected.items():
+            assert (got[page].hours, got[page].n) == (r.hours, r.n)
+            assert got[page].mean == pytest.approx(r["mean"], rel=1e-12) and got[page].sigma == pytest.approx(r.sigma, rel=1e-9)
+        fitted = lambda s: {(r.project, r.title): [r[w] for w in regression.WEIGHTS] for r in regression.fit(regression.enough(s), solver).collect()}
+        mine, theirs = fitted(regression.range_sums(daily, low, high)), fitted(regression.page_sums(inside.drop("day_no")))
+        assert mine.keys() == theirs.keys() and mine
+        for page, weights in theirs.items():
+            assert mine[page] == pytest.approx(weights, rel=1e-6, abs=1e-9)
+    plan = regression.range_sums(daily, first, first + 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_numbers_of_all_anomalies(spark):
+    rows = [("en", f"p{k % 7}", 2014, 3, 1 + k % 28, 5, float(k % 5), 1.0) for k in range(400)]
+    frame = spark.createDataFrame(rows, ANOMALIES_DDL).repartition(6)
+    found = anomalies.numbered(frame).collect()
+    assert sorted(r["rank"] for r in found) == list(range(1, 401))
+    key = lambda r: (-r.relative_to_quantile, r.project, r.title, r.year, r.month, r.day)
+    assert [key(r) for r in sorted(found, key=lambda r: r["rank"])] == sorted(map(key, found))
+    assert anomalies.numbered(frame.limit(0)).count() == 0
+    assert "SinglePartition" not in anomalies.numbered(frame)._jdf.queryExecution().executedPlan().toString()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.operators.windows import DAY, WEEK, daily_scores
 from trafficlens.schema import ANOMALIES_FIELDS, PAGE
+from trafficlens.session import written
 
 PER_DAY = [*PAGE, "year", "month", "day"]
 DATE = ["year", "month", "day"]
@@ -105,5 +108,24 @@ def top_k(anomalies: DataFrame, k: int | None = None) -> DataFrame:
     return ranked if k is None else ranked.limit(k)
 
 
+def numbered(anomalies: DataFrame) -> DataFrame:
+    """All anomalies with ``rank``, their number from 1 in the order of :func:`top_k`.
+
+    No task sees them all: rows are sorted into ranges, each range is counted, and what comes before
+    a range is added to the number within it. Equal rows get different numbers. The sorted rows are
+    kept in a scratch table, so that both passes see the same ranges.
+    """
+    order = [F.desc("relative_to_quantile"), *map(F.asc, (*PAGE, *DATE))]
+    parts = anomalies.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    # The number of the task is in the upper bits, that of the row in the lower 33.
+    rows = written(parts.select("*", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "anomalies-in-order")
+    # A number for each range: as many as there are tasks.
+    counts = sorted((r.part, r.n) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
+    before = list(itertools.accumulate((n for _, n in counts), initial=0))
+    offsets = rows.sparkSession.createDataFrame([(part, n) for (part, _), n in zip(counts, before)], "part bigint, before bigint")
+    return rows.join(offsets, "part").select(*anomalies.columns, (F.col("before") + F.col("place") + 1).alias("rank"))
+
+
 def distinct_titles(traffic: DataFrame) -> DataFrame:
     return traffic.select("title").distinct()

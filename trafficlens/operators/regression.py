@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trafficlens.functions.hours import calendar_fields
+from trafficlens.functions.hours import calendar_fields, day_number
 from trafficlens.schema import PAGE, hourly, with_hour_number
 
 # The lags in hours, and the step sizes tried by the grid search, in order.
@@ -115,7 +115,11 @@ def page_sums(rows: DataFrame) -> DataFrame:
         for i in range(6) for j in range(i, 6)
     ]
     totals = [f"sum(CASE WHEN complete THEN d{i} END) AS t{i}" for i in range(6)]
-    sums = _relative(rows).groupBy(*PAGE).agg(*map(F.expr, (*MOMENT_SUMS, *products, *totals)))
+    return _standardised(_relative(rows).groupBy(*PAGE).agg(*map(F.expr, (*MOMENT_SUMS, *products, *totals))))
+
+
+def _standardised(sums: DataFrame) -> DataFrame:
+    """:func:`page_sums` from sums relative to a pivot."""
     sums = sums.selectExpr("*", *MOMENTS, "s / hours AS shift")
 
     # d0 is the target, d1..d5 are the features 0..4; feature 5 is the constant.
@@ -136,6 +140,49 @@ def page_sums(rows: DataFrame) -> DataFrame:
     )
 
 
+# What a page's day adds to any range of days: hours, complete hours, and exact sums and products of
+# requests (y0) and their lags (y1 to y5).
+DAY_PRODUCTS = tuple(f"p{i}{j}" for i in range(6) for j in range(i, 6))
+DAY_TOTALS = tuple(f"t{i}" for i in range(6))
+DAY_COLUMNS = ("hours", "n", "s", "q", *DAY_PRODUCTS, *DAY_TOTALS)
+
+
+def daily_sums(rows: DataFrame) -> DataFrame:
+    """Additive statistics of each page and day, from :func:`lagged` rows (not of logarithms).
+
+    Sums are exact whole numbers of up to 38 digits around 0, not around a value of the page, so that
+    those of any days add up and none depends on a day that may leave the range.
+    """
+    y = {0: "y"} | dict(enumerate(LAG_NAMES, 1))
+    whole = [f"CAST({name} AS DECIMAL(19,0)) AS y{i}" for i, name in y.items()]
+    values = rows.withColumn("day_no", day_number("hour_no")).selectExpr(*PAGE, "day_no", f"{COMPLETE} AS complete", *whole)
+    products = [f"CAST(sum(CASE WHEN complete THEN y{i} * y{j} END) AS DECIMAL(38,0)) AS p{i}{j}" for i in range(6) for j in range(i, 6)]
+    totals = [f"CAST(sum(CASE WHEN complete THEN y{i} END) AS DECIMAL(38,0)) AS t{i}" for i in range(6)]
+    moments = ["count(*) AS hours", "count_if(complete) AS n", "CAST(sum(y0) AS DECIMAL(38,0)) AS s", "CAST(sum(y0 * y0) AS DECIMAL(38,0)) AS q"]
+    return values.groupBy(*PAGE, "day_no").agg(*map(F.expr, (*moments, *products, *totals)))
+
+
+def range_sums(daily: DataFrame, first_day: int | None = None, last_day: int | None = None) -> DataFrame:
+    """:func:`page_sums` of the hours of a range of days, both included, from :func:`daily_sums` alone.
+
+    Lags of the range's first hours look back before it, as they did when the days were summed. A page
+    without an hour in the range has no row.
+    """
+    rows = daily
+    if first_day is not None:
+        rows = rows.where(F.col("day_no") >= first_day)
+    if last_day is not None:
+        rows = rows.where(F.col("day_no") <= last_day)
+    added = rows.groupBy(*PAGE).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)").alias(c) for c in DAY_COLUMNS])
+    # Moved, in whole numbers, to the range's own mean, so that doubles lose next to nothing.
+    added = added.selectExpr("*", "CAST(round(CAST(s AS DOUBLE) / CAST(hours AS DOUBLE)) AS DECIMAL(19,0)) AS c")
+    products = [f"CAST(p{i}{j} - c * (t{i} + t{j}) + n * c * c AS DOUBLE) AS p{i}{j}" for i in range(6) for j in range(i, 6)]
+    totals = [f"CAST(t{i} - n * c AS DOUBLE) AS t{i}" for i in range(6)]
+    return _standardised(added.selectExpr(
+        *PAGE, "CAST(hours AS BIGINT) AS hours", "CAST(n AS BIGINT) AS n", "CAST(c AS DOUBLE) AS pivot",
+        "CAST(s - hours * c AS DOUBLE) AS s", "CAST(q - 2 * c * s + hours * c * c AS DOUBLE) AS q", *products, *totals))
+
+
 def enough(sums: DataFrame, min_rows: int = 7) -> DataFrame:
     """Pages that can be fitted: at least ``min_rows`` complete hours and a deviation above 0."""
     return sums.where((F.col("n") >= min_rows) & (F.col("sigma") > 0))

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from trafficlens.functions.hours import EPOCH, hour_number_from
 from trafficlens.operators.filters import since
+from trafficlens.operators.regression import LAGS, daily_sums, lagged
 from trafficlens.operators.stats import time_bounds
 from trafficlens.operators.windows import DAY, WEEK, window_models
-from trafficlens.schema import with_hour_number
-from trafficlens.sinks import replace_window_models
+from trafficlens.schema import hourly, with_hour_number
+from trafficlens.sinks import replace_daily_sums, replace_window_models
 from trafficlens.sources import read_traffic_table
 
 
@@ -133,3 +134,25 @@ def _windows_done(spark: SparkSession, models_path: str) -> int:
             raise
         return 0
     return 0 if newest is None else newest + 1
+
+
+LAG_DAYS = -(-max(LAGS) // DAY)
+
+
+def roll_regression(spark: SparkSession, traffic_path: str, sums_path: str, changed: list[dt.date]) -> list[dt.date]:
+    """Bring the daily regression sums up to date after hours of some dates joined the table.
+
+    The dates, and those whose lags look back on them, are summed anew from their own hours and the
+    two days before, and replaced; all other days stay. A fit of any range of days then reads sums
+    only (:func:`trafficlens.operators.regression.range_sums`). Doing it again changes nothing.
+    Returns the dates summed.
+    """
+    days = sorted({d + dt.timedelta(days=k) for d in changed for k in range(LAG_DAYS + 1)})
+    if not days:
+        return []
+    read = sorted({d - dt.timedelta(days=k) for d in days for k in range(LAG_DAYS + 1)})
+    traffic = read_traffic_table(spark, traffic_path, dates=read)
+    numbers = [(d - EPOCH.date()).days for d in days]
+    sums = daily_sums(lagged(hourly(traffic))).where(F.col("day_no").isin(numbers))
+    replace_daily_sums(sums, sums_path)
+    return days

@@ -75,6 +75,13 @@ def replace_window_models(models: DataFrame, path: str, files_per_date: int = 2)
     writer.option("partitionOverwriteMode", "dynamic").partitionBy("window_mid_date").parquet(path)
 
 
+def replace_daily_sums(sums: DataFrame, path: str, files_per_date: int = 2) -> None:
+    """Write sums by page and day over those of the same dates; other dates stay."""
+    dated = sums.withColumn("date", F.date_from_unix_date("day_no"))
+    writer = _spread(dated, "date", files_per_date).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+
+
 def write_by(df: DataFrame, path: str, column: str, mode: str = "overwrite") -> None:
     """One folder per value of ``column``, such as the severity or the project."""
     df.write.mode(mode).partitionBy(column).parquet(path)
