@@ -441,6 +441,8 @@ ORACLES: dict[str, str] = {
         round(quantile_cont(abs_diff, 0.999), 6) AS quantile FROM residuals GROUP BY project, title"""),
     "residual_quantile_approx": regression("""SELECT project, title, count(*) AS n,
         round(quantile_disc(abs_diff, 0.999), 6) AS quantile FROM residuals GROUP BY project, title"""),
+    "rolled_residual_quantile": regression("""SELECT project, title, count(*) AS n,
+        round(quantile_disc(abs_diff, 0.999), 6) AS quantile FROM residuals GROUP BY project, title"""),
     "regression_daily_anomalies": regression(REGRESSION_DAYS),
     "regression_daily_anomalies_grid": regression(REGRESSION_DAYS, grid=True),
     "traffic_series": f"""WITH {traffic('all')}

@@ -617,6 +617,14 @@ def residual_quantile_approx(spark, sf):
     return rounded(regression.residual_quantile(_residuals(spark, sf), exact=False))
 
 
+def rolled_residual_quantile(spark, sf):
+    """The same from daily sketches that were stored, the days put together afterwards."""
+    path = scratch_path(spark, "residual-sketches")
+    sketches = regression.residual_sketches(_residuals(spark, sf))
+    sketches.write.partitionBy("day_no").parquet(path)
+    return rounded(regression.sketch_quantile(spark.read.schema(sketches.schema).parquet(path)))
+
+
 def regression_daily_anomalies(spark, sf):
     return rounded(anomalies.daily_from_residuals(_residuals(spark, sf)))
 
@@ -662,7 +670,7 @@ QUERIES: dict[str, Query] = {
         ma_daily_anomalies_as_written, top5_per_day, newsletter_distinct_pages, top_k_anomalies,
         all_anomalies_ranked, all_anomalies_numbered, rolled_regression_weights, lag_features, page_moments, regression_sums, skipped_pages,
         regression_weights, regression_weights_ols, grid_search_best_step, regression_residuals,
-        residual_threshold, residual_quantile, residual_quantile_approx,
+        residual_threshold, residual_quantile, residual_quantile_approx, rolled_residual_quantile,
         regression_daily_anomalies, regression_daily_anomalies_grid, traffic_series, ma_series,
         regression_series, regression_series_long,
     )

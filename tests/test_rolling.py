@@ -194,3 +194,20 @@ def test_numbers_of_all_anomalies(spark):
     assert [key(r) for r in sorted(found, key=lambda r: r["rank"])] == sorted(map(key, found))
     assert anomalies.numbered(frame.limit(0)).count() == 0
     assert "SinglePartition" not in anomalies.numbered(frame)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quantiles_from_daily_sketches(spark):
+    """Exact on a page below the sketch size, within its error on a larger one; ranges of days; no value lost."""
+    values = [("en", "big", k, float((k * 7919) % 20_011)) for k in range(20_000)] + [("en", "small", k, float((k * 37) % 101)) for k in range(100)]
+    frame = spark.createDataFrame(values, "project string, title string, hour_no bigint, abs_diff double").repartition(5)
+    sketches = regression.residual_sketches(frame, k=200)
+    assert sketches.count() == -(-20_000 // 24) + -(-100 // 24)
+    for low, high in ((None, None), (1, 500)):
+        inside = [v for v in values if low is None or low <= v[2] // 24 <= high]
+        for q in (0.5, 0.9, 0.999):
+            for r in regression.sketch_quantile(sketches, q, low, high).collect():
+                own = sorted(v[3] for v in inside if v[1] == r.title)
+                assert r.n == len(own) and r.quantile in own
+                rank = sum(v <= r.quantile for v in own) / len(own)
+                error = 0 if r.title == "small" else 2.3 / 200**0.9
+                assert q - error <= rank <= q + error + 1 / len(own) + 1e-9

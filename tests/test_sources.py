@@ -1,10 +1,12 @@
 import datetime as dt
 import gzip
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from trafficlens.sinks import write_text, write_traffic_table
+from trafficlens.sources.account import ingest_with_account
 from trafficlens.sources import (
     coverage_gaps,
     expected_hours,
@@ -126,3 +128,29 @@ def test_coverage(spark):
         (dt.date(2014, 1, 1), 1, dt.datetime(2014, 1, 1, 5)),
         (dt.date(2014, 1, 2), 2, dt.datetime(2014, 1, 2, 6)),
     ]
+
+
+def test_damaged_dumps_are_accounted_for(spark, tmp_path):
+    """A good file, one with short, over-long and bad lines, a cut archive, an empty one and a plain one."""
+    def name(hour):
+        return tmp_path / f"pagecounts-20140105-{hour:02d}0000.gz"
+
+    many = "".join(f"en Page_{k} {k} {k * k} {zlib.crc32(b'%d' % k)}\n" for k in range(20_000))
+    name(1).write_bytes(gzip.compress(b"en A 1 10\nen B 2 20"))
+    name(2).write_bytes(gzip.compress(("en C 3 30\nshort line\nen " + "x" * 300 + " 4 40\nen D y 50\nen E \\N 60\n").encode()))
+    whole = gzip.compress(many.encode())
+    name(3).write_bytes(whole[: len(whole) // 2])
+    name(4).write_bytes(gzip.compress(b""))
+    (tmp_path / "pagecounts-20140105-050000").write_text("en F 7 70\n")
+    table = str(tmp_path / "table")
+    ledger, totals = ingest_with_account(spark, f"{tmp_path}/pagecounts-*", table, longest=200)
+    got = {r.path[-9:].removesuffix(".gz")[:2] if r.path.endswith(".gz") else "05": r for r in ledger.collect()}
+    facts = {k: (r.lines, r.kept, r.short, r.too_long, r.bad_number, r.cut_off) for k, r in got.items()}
+    part = facts.pop("03")
+    assert facts == {"01": (2, 2, 0, 0, 0, False), "02": (5, 2, 1, 1, 1, False), "04": (0, 0, 0, 0, 0, False), "05": (1, 1, 0, 0, 0, False)}
+    assert part[5] and 0 < part[1] < 20_000 and part[0] - part[1] <= 1
+    stored = read_traffic_table(spark, table)
+    assert stored.count() == totals["kept"] == 5 + part[1] and totals["lines"] == 8 + part[0]
+    assert {(r.title, r.requests, r.hour) for r in stored.where("hour <> 3").collect()} == {("A", 1, 1), ("B", 2, 1), ("C", 3, 2), ("E", None, 2), ("F", 7, 5)}
+    with pytest.raises(Exception):
+        read_dumps(spark, str(name(3))).count()

@@ -338,3 +338,30 @@ def residual_quantile(found: DataFrame, q: float = 0.999, exact: bool = True) ->
     distances, approximate on pages with more than some 10,000 hours."""
     value = F.percentile("abs_diff", F.lit(q)) if exact else F.percentile_approx("abs_diff", q, 10000)
     return found.groupBy(*PAGE).agg(F.count("*").alias("n"), value.alias("quantile"))
+
+
+SKETCH_SIZE = 4096  # values that a sketch keeps at least; pages with fewer hours are exact
+
+
+def residual_sketches(found: DataFrame, k: int = SKETCH_SIZE) -> DataFrame:
+    """A mergeable sketch of the distances of each page and day: rows (page, day_no, n, sketch).
+
+    Kept by day, sketches of any range are put together later without the residuals themselves.
+    """
+    rows = found.withColumn("day_no", day_number("hour_no"))
+    return rows.groupBy(*PAGE, "day_no").agg(F.count("*").alias("n"), F.kll_sketch_agg_double("abs_diff", F.lit(k)).alias("sketch"))
+
+
+def sketch_quantile(sketches: DataFrame, q: float = 0.999, first_day: int | None = None, last_day: int | None = None) -> DataFrame:
+    """Quantile of the distance per page over a range of days, both included, from sketches alone.
+
+    It is one of the distances: the smallest with a share of ``q`` at or below it. On pages with more
+    hours than the sketch size its rank is off by some 2.3 / k ** 0.9 at most, with 99 % confidence.
+    """
+    rows = sketches
+    if first_day is not None:
+        rows = rows.where(F.col("day_no") >= first_day)
+    if last_day is not None:
+        rows = rows.where(F.col("day_no") <= last_day)
+    merged = rows.groupBy(*PAGE).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    return merged.select(*PAGE, "n", F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias("quantile"))

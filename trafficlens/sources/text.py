@@ -12,9 +12,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trafficlens.functions.hours import calendar_fields
 from trafficlens.schema import ANOMALIES_DDL, TRAFFIC_FIELDS, with_timestamp
 from trafficlens.sinks import NULL_FIELD
-from trafficlens.sources.hours import dump_version, first_version, list_dumps, other_files
+from trafficlens.sources.hours import dump_hour, dump_version, first_version, list_dumps, other_files
 
 DUMP_FIELDS = ("project", "title", "requests", "bytes")
 NUMBER_TYPES = {
@@ -87,6 +88,20 @@ def parse_dump_lines(lines: DataFrame, mode: str = "fail", short_lines: str = "d
     return with_timestamp(_typed(named, TRAFFIC_FIELDS, mode, keep=["version"] if with_version else []))
 
 
+def dump_fields(lines: DataFrame) -> DataFrame:
+    """All columns of ``lines`` (text, path), whether the text has ``enough`` fields, the fields, the
+    numbers also as text, and the hour from the path. Nothing is left out and nothing fails."""
+    parts = F.split(F.rtrim("text"), " ")
+    rows = lines.withColumn("parts", parts).withColumn("enough", F.coalesce(F.size("parts") >= len(DUMP_FIELDS), F.lit(False)))
+    field = lambda k: F.when(F.col("enough"), F.get("parts", F.lit(k)))
+    named = rows.select("*", *[field(k).alias(f"{n}_text" if n in NUMBER_TYPES else n) for k, n in enumerate(DUMP_FIELDS)])
+    hour = dump_hour(F.substring_index("path", "/", -1))
+    text = lambda n: F.when(F.col(n) != NULL_FIELD, F.col(n)).alias(n)
+    kept = [c for c in named.columns if c not in ("project", "title", "parts")]
+    return named.select(*kept, text("project"), text("title"), F.col("requests_text").try_cast("bigint").alias("requests"),
+                        F.col("bytes_text").try_cast("bigint").alias("bytes"), *calendar_fields(hour))
+
+
 def read_traffic(spark: SparkSession, paths, sep: str = " ", mode: str = "fail") -> DataFrame:
     """Prepared traffic: project, title, requests, bytes, year, month, day, hour."""
     rows = _split_lines(spark.read.text(paths), sep, len(TRAFFIC_FIELDS), mode)
