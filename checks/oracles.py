@@ -292,6 +292,12 @@ ORACLES: dict[str, str] = {
     "dump_lines": f"WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic",
     "dump_files": f"WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic",
     "dump_folder_versions": f"WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic",
+    "dump_ledger": f"""WITH {traffic('langs')}, f AS (
+          SELECT strftime(ts, 'pagecounts-%Y%m%d-%H0000.gz') AS file, count(*) AS n, ts = (SELECT max(ts) FROM traffic) AS cut_off
+          FROM traffic GROUP BY ts)
+        SELECT file, CASE WHEN NOT cut_off THEN n + 2 END AS lines, CASE WHEN NOT cut_off THEN n END AS kept,
+               CASE WHEN NOT cut_off THEN 1::BIGINT END AS short, CASE WHEN NOT cut_off THEN 1::BIGINT END AS too_long,
+               CASE WHEN NOT cut_off THEN 0::BIGINT END AS bad_number, cut_off FROM f""",
     "dump_hour_globs": f"WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic",
     "dump_single_file": f"""WITH {traffic('langs')} SELECT {TRAFFIC} FROM traffic
         WHERE hour_no = (SELECT min(hour_no) FROM traffic)""",

@@ -7,6 +7,7 @@ compare by value with the SQL in checks/oracles.py.
 from __future__ import annotations
 
 import datetime as dt
+import gzip
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -35,6 +36,7 @@ from trafficlens.sources import (
     read_traffic,
     read_whitelist,
 )
+from trafficlens.sources.account import ingest_with_account
 from trafficlens.streaming.rolling import RollingPaths, roll_round, rolled_anomalies, rolled_traffic
 
 # One page is listed twice.
@@ -151,22 +153,30 @@ def hour_coverage_gaps(spark, sf):
     )
 
 
-def dump_folder(spark, sf) -> str:
+def dump_folder(spark, sf, damaged: bool = False) -> str:
     """A folder of gz dump files, one per hour, written from the events; once per session and input.
+
+    Damaged ones end with a line of two fields and one of 70,000 characters, and of the last hour's
+    archive the second half is missing.
     """
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, damaged)
     if key not in DUMPS:
         folder = scratch_path(spark, "dumps")
         name = F.format_string("pagecounts-%04d%02d%02d-%02d0000.gz", "year", "month", "day", "hour")
         lines = traffic_langs(spark, sf).select(
             name.alias("name"), F.concat_ws(" ", "project", "title", F.col("requests").cast("string"), F.col("bytes").cast("string")).alias("line"))
+        last = f"pagecounts-{bounds(traffic_all(spark, sf))[1]:%Y%m%d-%H}0000.gz" if damaged else None
 
         def write(table: pa.Table) -> pa.Table:
             system, base = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
             system.create_dir(base, recursive=True)
+            name = table.column("name")[0].as_py()
             text = "".join(f"{x}\n" for x in table.column("line").to_pylist())
-            with system.open_output_stream(f"{base}/{table.column('name')[0]}", compression="gzip") as out:
-                out.write(text.encode())
+            if damaged:
+                text += "short line\n" + "en " + "x" * 70_000 + " 1 1\n"
+            data = gzip.compress(text.encode())
+            with system.open_output_stream(f"{base}/{name}", compression=None) as out:
+                out.write(data[: len(data) // 2] if name == last else data)
             return pa.table({"rows": pa.array([table.num_rows])})
 
         lines.groupBy("name").applyInArrow(write, "rows bigint").agg(F.sum("rows")).collect()
@@ -201,6 +211,13 @@ def dump_folder_versions(spark, sf):
     return read_folder(spark, dump_folder(spark, sf)).select(*TRAFFIC_FIELDS)
 
 
+def dump_ledger(spark, sf):
+    """What of each damaged dump was kept; of the cut archive only that it is cut."""
+    ledger, _ = ingest_with_account(spark, dump_folder(spark, sf, damaged=True), scratch_path(spark, "damaged"))
+    whole = lambda c: F.when(~F.col("cut_off"), F.col(c)).alias(c)
+    return ledger.select(F.substring_index("path", "/", -1).alias("file"), *map(whole, ("lines", "kept", "short", "too_long", "bad_number")), "cut_off")
+
+
 def whitelist_file(spark, sf):
     path = scratch_path(spark, "whitelist")
     write_text(whitelist(spark), path)
@@ -654,7 +671,7 @@ def regression_series_long(spark, sf):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        dump_lines, dump_files, dump_hour_globs, dump_single_file, dump_folder_versions, whitelist_file,
+        dump_lines, dump_files, dump_hour_globs, dump_single_file, dump_folder_versions, dump_ledger, whitelist_file,
         filter_job, stats_job, table_daily_anomalies, table_regression_daily, rolled_out_of_order,
         ma_daily_anomalies_short_steps, ma_daily_anomalies_tiny_windows, skipped_pages_ols, users_window_models, users_daily_anomalies, users_severity_counts,
         traffic_text_roundtrip, anomalies_text_roundtrip, hour_versions,

@@ -45,7 +45,8 @@ def parser() -> argparse.ArgumentParser:
     filtering.add_argument("--table", action="store_true")
     bad_lines(filtering)
     ingest = job("ingest", "dumps", "output")
-    ingest.add_argument("--folder", action="store_true", help="each hour from its lowest version")
+    ingest.add_argument("--folder", action="store_true", help="pass over files of other names")
+    ingest.add_argument("--ledger", help="take in damaged files, and write here what of each was kept")
     bad_lines(ingest)
     stats = job("stats", "dumps", "output")
     stats.add_argument("--projects", nargs="+", default=["en", "de"])

@@ -39,6 +39,7 @@ from trafficlens.sources import (
     read_whitelist,
     table_bounds,
 )
+from trafficlens.sources.account import ingest_with_account
 from trafficlens.streaming.rolling import roll_dumps
 
 SCORED_FIELDS = (
@@ -88,11 +89,16 @@ def filter_job(
     write_text(rows.select(*TRAFFIC_FIELDS), f"{output}/filtered")
 
 
-def ingest_job(spark: SparkSession, dumps: str, output: str, mode: str = "fail", folder: bool = False) -> None:
+def ingest_job(spark: SparkSession, dumps: str, output: str, mode: str = "fail", folder: bool = False, ledger: str | None = None) -> None:
     """Raw dumps to a date-partitioned table, so later jobs read columns and dates they need.
 
-    With ``folder`` every hour comes from its lowest version alone.
+    Every hour comes from its lowest version alone; with ``folder`` files of other names are passed
+    over. With a ``ledger`` damage does not stop the job: what of each file was kept is written there.
     """
+    if ledger is not None:
+        account, _ = ingest_with_account(spark, dumps, output)
+        write_text(account, ledger, sep="\t")
+        return
     read = read_folder if folder else read_dumps
     write_traffic_table(read(spark, dumps, mode), output)
 
