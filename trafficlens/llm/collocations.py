@@ -27,6 +27,7 @@ LEAST = 100  # occurrences of a candidate
 TOP = 2000  # phrases of a language
 # Occurrences that a task adds up at a time, and the bits that tell which shorter grams are frequent.
 CHUNK, BITMAP_BITS = 1 << 21, 26
+CHECK_BITS = 31  # of the second hash
 RANK_PARTS = 64
 
 # Pieces end at . , ; : ! ? and at the bytes 10 to 13; words at these, blank and tab.
@@ -138,7 +139,7 @@ class _Adder:
 
     def use(self, grams: Grams, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at, fp = _found(grams, self.n, self.bits, None if self.shorter is None else self.shorter.value)
-        check = (grams.hashes(at, self.n, 1) >> np.uint64(33)).astype(np.int32)
+        check = (grams.hashes(at, self.n, 1) >> np.uint64(64 - CHECK_BITS)).astype(np.int64)
         doc = rows.column("doc").to_numpy()[grams.owner[at]]
         begin = (grams.starts[at] - grams.texts.ends[grams.owner[at]]).astype(np.int64)
         self.parts.append((fp, check, doc, begin))
@@ -159,19 +160,21 @@ class _Adder:
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(fp)))
         at = order[first]
-        columns = [fp[first].view(np.int64), check[first], count.astype(np.int64), doc[at], begin[at]]
+        columns = [fp[first].view(np.int64), count << CHECK_BITS | check[first], doc[at], begin[at]]
         for k in range(0, len(first), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], names=["fp", "check", "n", "doc", "begin"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], names=["fp", "n_check", "doc", "begin"])
 
 
 def _frequent(texts: DataFrame, n: int, least: int, bits: int, shorter) -> DataFrame:
     """Rows (fp, a, several, doc, begin): fingerprints of n-grams that occur ``least`` times."""
     adder = _Adder(n, bits, shorter)
 
-    # The adder holds state of one task: each task unpickles its own.
-    rows = _each(texts, "fp bigint, check int, n bigint, doc bigint, begin bigint", adder.use, adder.end)
+    # The adder holds state of one task: each task unpickles its own. Tasks have added up what they
+    # can, so the rows are dealt out as they are, and narrow.
+    rows = _each(texts, "fp bigint, n_check bigint, doc bigint, begin bigint", adder.use, adder.end).repartition("fp")
+    check = F.col("n_check").bitwiseAND(F.lit((1 << CHECK_BITS) - 1))
     sums = rows.groupBy("fp").agg(
-        F.sum("n").alias("a"), F.min("check").alias("low"), F.max("check").alias("high"), F.first("doc").alias("doc"), F.first("begin").alias("begin"))
+        F.sum(F.shiftright("n_check", CHECK_BITS)).alias("a"), F.min(check).alias("low"), F.max(check).alias("high"), F.first("doc").alias("doc"), F.first("begin").alias("begin"))
     return sums.where(F.col("a") >= least).select("fp", "a", (F.col("low") != F.col("high")).alias("several"), "doc", "begin")
 
 
