@@ -8,6 +8,7 @@ sequences from its stretch of the curve without gaps.
 from __future__ import annotations
 
 import base64
+import itertools
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.llm.arrays import mix, small_batches, texts_of
 
+TASK_BYTES = 32 << 20  # of texts that a task packs, about
 SEQUENCE = 1024
 END_OF_TEXT = 0  # id put after each document
 DIMENSIONS = 4
@@ -122,52 +124,108 @@ def cut(tokens: np.ndarray, starts: np.ndarray, lengths: list[int]) -> Iterator[
     return zip(segment.tolist(), begin.tolist(), end.tolist(), sequence.tolist(), (begin - edges[sequence]).tolist())
 
 
-def fill(batches: Iterator[pa.RecordBatch], encode, first_sequence: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Pieces of the documents (id, text) of one task, in order, in sequences of ``size`` tokens.
+class Lane:
+    """Documents that are packed one after another."""
 
-    What is left at the end goes to sequences whose lengths are powers of two, so nothing is padded.
-    """
-    rest = np.zeros(0, np.uint32)
-    open_docs: list[tuple[object, int, int]] = []  # id, tokens, where its first token here stands in it
-    sequence = first_sequence
-    kind = None
-
-    def pieces(tokens, docs, starts, lengths):
-        nonlocal sequence
-        rows = []
-        for at, begin, end, number, offset in cut(tokens, starts, lengths):
+    def __init__(self, size: int, numbers: Iterator[int], kind):
+        self.size, self.numbers, self.kind = size, numbers, kind
+        self.rest = np.zeros(0, np.uint32)
+        self.open_docs: list[tuple[object, int, int]] = []  # id, tokens, where its first token here stands in it
+        self.starts = np.zeros(0, np.int64)
+
+    def pieces(self, tokens, docs, lengths) -> pa.RecordBatch:
+        rows, numbers = [], [next(self.numbers) for _ in lengths]
+        for at, begin, end, number, offset in cut(tokens, self.starts, lengths):
             key, total, skipped = docs[at]
-            rows.append((key, skipped + begin - int(starts[at]), end - begin, zlib.crc32(tokens[begin:end]), total, sequence + number, offset))
-        sequence += len(lengths)
+            rows.append((key, skipped + begin - int(self.starts[at]), end - begin, zlib.crc32(tokens[begin:end]), total, numbers[number], offset))
         columns = list(zip(*rows))
         return pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])],
+            [pa.array(columns[0], self.kind), *(pa.array(c, pa.int64()) for c in columns[1:])],
             names=["id", *(x.split()[0] for x in PIECES.split(", "))])
 
-    starts = np.zeros(0, np.int64)
+    def add(self, documents: list[tuple[object, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        lengths = [len(ids) for _, ids in documents]
+        docs = self.open_docs + [(key, len(ids), 0) for key, ids in documents]
+        tokens = np.concatenate([self.rest, *(ids for _, ids in documents)])
+        self.starts = np.concatenate((self.starts, len(self.rest) + np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)))
+        full = len(tokens) // self.size
+        if full:
+            yield self.pieces(tokens, docs, [self.size] * full)
+        used = full * self.size
+        keep = max(int(np.searchsorted(self.starts, used, "right")) - 1, 0) if used < len(tokens) else len(self.starts)
+        self.open_docs = [(k, n, skipped + max(used - int(s), 0)) for (k, n, skipped), s in zip(docs[keep:], self.starts[keep:])]
+        self.starts = np.maximum(self.starts[keep:] - used, 0)
+        self.rest = tokens[used:]
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if len(self.rest):
+            lengths = [1 << b for b in range(len(self.rest).bit_length() - 1, -1, -1) if len(self.rest) >> b & 1]
+            yield self.pieces(self.rest, self.open_docs, lengths)
+
+
+def fill(batches: Iterator[pa.RecordBatch], encode, first_sequence: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of the documents (id, text) of one task, in order, in sequences of ``size`` tokens.
+
+    Rows that follow each other with one id are copies: the first goes to the first lane, the next to
+    the second and so on, and each lane has its own sequences, so that no sequence has two copies of a
+    document. What is left of a lane at the end goes to sequences whose lengths are powers of two, so
+    nothing is padded.
+    """
+    lanes: list[Lane] = []
+    numbers = itertools.count(first_sequence)
+    before, copy = object(), 0
     for batch in batches:
-        kind = batch.schema.field(0).type
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            arrays, docs, lengths = [rest], list(open_docs), []
-            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids = np.array([*encode(text or ""), END_OF_TEXT], "<u4")
-                arrays.append(ids)
-                lengths.append(len(ids))
-                docs.append((key, len(ids), 0))
-            tokens = np.concatenate(arrays)
-            starts = np.concatenate((starts, len(rest) + np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)))
-            full = len(tokens) // size
-            if full:
-                yield pieces(tokens, docs, starts, [size] * full)
-            used = full * size
-            keep = max(int(np.searchsorted(starts, used, "right")) - 1, 0) if used < len(tokens) else len(starts)
-            open_docs = [(k, n, skipped + max(used - int(s), 0)) for (k, n, skipped), s in zip(docs[keep:], starts[keep:])]
-            starts = np.maximum(starts[keep:] - used, 0)
-            rest = tokens[used:]
-    if len(rest):
-        lengths = [1 << b for b in range(len(rest).bit_length() - 1, -1, -1) if len(rest) >> b & 1]
-        yield pieces(rest, open_docs, starts, lengths)
+            dealt: dict[int, list] = {}
+            for key, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
+                # Rows without an id are no copies of each other.
+                copy = copy + 1 if key == before and key is not None else 0
+                before = key
+                dealt.setdefault(copy, []).append((key, np.array([*encode(text or ""), END_OF_TEXT], "<u4")))
+            for k in sorted(dealt):
+                while len(lanes) <= k:
+                    lanes.append(Lane(size, numbers, batch.schema.field("id").type))
+                yield from lanes[k].add(dealt[k])
+    for lane in lanes:
+        yield from lane.end()
+
+
+def _bounds(docs: DataFrame, parts: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and ids at which the tasks' shares of the curve begin, from some 100 rows a task that a
+    hash of the id picks. They only say where tasks begin."""
+    every = max(1, rows // (100 * parts))
+    some = docs.where(F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(every)) == 0)
+    # Equal rows, of which a hash picks all or none, count once.
+    found = _keyed(some, None).select("key", F.coalesce("order", F.lit(0)).alias("order")).distinct().toArrow()
+    key, order = found["key"].to_numpy(), found["order"].to_numpy()
+    at = np.lexsort((order, key))
+    chosen = at[np.arange(1, parts) * len(at) // parts] if len(at) else at
+    return key[chosen], order[chosen]
+
+
+def part_of(key: np.ndarray, order: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many of the bounds, which are in order, are at or before each (key, order)."""
+    keys, orders = bounds
+    low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+    for k in np.flatnonzero(low < high):
+        low[k] += np.searchsorted(orders[low[k] : high[k]], order[k], "right")
+    return low
+
+
+def _keyed(rows: DataFrame, bounds: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """Rows (part, key, order, id, text): place on the curve, and the task that has that part of it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = curve_keys(batch.column("text"))
+            order = batch.column("order").fill_null(0).to_numpy()
+            part = np.zeros(len(key), np.int64) if bounds is None else part_of(key.to_numpy(), order, bounds)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), key, *(batch.column(k) for k in ("order", "id", "text"))], names=["part", "key", "order", "id", "text"])
+
+    kind = dict(rows.dtypes)["id"]
+    # Ids of any type in one order of numbers; equal ids lie together.
+    order = F.col("id").cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64("id")
+    return rows.select(order.alias("order"), "id", "text").mapInArrow(run, f"part int, key bigint, order bigint, id {kind}, text string")
 
 
 def pack(docs: DataFrame, ranks_path: str, json_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -178,8 +236,10 @@ def pack(docs: DataFrame, ranks_path: str, json_path: str, id_col: str = "doc_id
     ``sequence_id`` is the task's number in its upper bits and a count below. Every sequence holds
     ``size`` tokens but the last few of a task, whose lengths are powers of two.
 
-    A null or empty text is the id 0 alone. Repeated rows are packed as often as they occur, rows
-    with one id keep it in all their pieces, a null id stays null; an empty table gives no row.
+    A null or empty text is the id 0 alone. Repeated rows are packed as often as they occur, each copy
+    in sequences that hold no other copy of it; rows with one id keep it in all their pieces, a null id
+    stays null and is no copy of another; an empty table gives no row. Rows that share an id and differ
+    in text are parted where they are neighbours on the curve only.
     Equal texts are told apart by their id in the sort, so a group of copies spreads over tasks.
     Other columns are not read.
     """
@@ -187,11 +247,14 @@ def pack(docs: DataFrame, ranks_path: str, json_path: str, id_col: str = "doc_id
         encoder = _encoder(ranks_path, json_path)
         yield from fill(batches, encoder.ids, TaskContext.get().partitionId() << 40, size)
 
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    key = F.arrow_udf(curve_keys, "bigint")
-    # The curve key in the upper part of the sort, the id below; a hash parts repeated ids.
-    keyed = text.select(key("text").alias("key"), "id", "text")
-    ordered = keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id", F.xxhash64("text")).select("id", "text")
+    # Tasks by the bytes of the texts; as many as a shuffle has, if each gets a megabyte.
+    found = text.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    share = lambda size: -(-(found.bytes or 0) // size)
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), share(1 << 20)), share(TASK_BYTES))
+    keyed = _keyed(text, _bounds(text, parts, found.n))
+    ordered = keyed.repartitionById(parts, F.col("part")).sortWithinPartitions("key", "order", "id", F.xxhash64("text")).select("id", "text")
     return ordered.mapInArrow(task, f"id {kind}, {PIECES}").withColumnRenamed("id", id_col)
