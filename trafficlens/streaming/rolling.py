@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from trafficlens.functions.hours import EPOCH, hour_number_from
+from trafficlens.functions.hours import EPOCH
 from trafficlens.operators.anomalies import anomalies_from_scores
 from trafficlens.operators.windows import DAY, WEEK, merged_slices, models_of_slices, scores_of_slices, slice_sums
 from trafficlens.plans.incremental import changed_windows, days_of_windows, middle, windows_complete
