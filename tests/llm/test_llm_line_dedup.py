@@ -1,7 +1,9 @@
 import random
 import re
 
+import pytest
 from llm_cases import docs_of, edge_rows, edges, nothing, prose
+from pyspark.sql import functions as F
 
 from trafficlens.llm import line_dedup
 
@@ -52,7 +54,8 @@ def check(found, rows):
             assert r.text == "\n".join(x for i, x in enumerate(text.split("\n")) if i not in {*exact, *near})
 
 
-def test_edits_against_every_pair(spark):
+@pytest.mark.parametrize("most", [line_dedup.REST, 4])
+def test_edits_against_every_pair(spark, most):
     rng = random.Random(5)
     base = [prose(i, n).split() for i, n in enumerate([8, 8, 9, 9, 12, 15, 16, 17, 31, 32, 33, 64, 65])]
     lines = []
@@ -74,7 +77,7 @@ def test_edits_against_every_pair(spark):
     for doc, line in rows:
         docs.setdefault(doc, []).append(line)
     rows = [(d, "\n".join(x)) for d, x in docs.items()]
-    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), most=most)
     check(found, rows)
     assert sum(map(len, (r.near_lines for r in found.collect()))) > 60
 
@@ -99,7 +102,8 @@ def test_one_line_in_a_third_of_all_rows(spark):
     assert all(found[i].text == (prose(i, 12) if i % 3 else "") for i in range(1, 300))
 
 
-def test_short_lines_and_characters_against_every_pair(spark):
+@pytest.mark.parametrize("most", [line_dedup.REST, 5])
+def test_short_lines_and_characters_against_every_pair(spark, most):
     """One word edit in lines of few words; one character edit at any length, words joined or split."""
     rng = random.Random(8)
     lines = ["Anat with by of nteres atre are.", "Anat with by of lyhaes atre are.", "brown fox", "brownfox", "7 8 9", "7 8 8",
@@ -134,7 +138,7 @@ def test_short_lines_and_characters_against_every_pair(spark):
             expected.discard(i)
         seen.append(line)
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = line_dedup.dedup_lines(frame, near_words=line_dedup.SHORT_WORDS).collect()
+    found = line_dedup.dedup_lines(frame, near_words=line_dedup.SHORT_WORDS, most=most).collect()
     assert {r.doc_id for r in found if r.near_lines} == expected
     assert {1, 7} <= expected and 5 not in expected and len(expected) > 100
 
@@ -145,3 +149,39 @@ def test_lines_of_one_word_go_if_they_repeat(spark):
     found = {r.doc_id: r for r in line_dedup.dedup_lines(docs_of(spark, texts), near_words=line_dedup.SHORT_WORDS).collect()}
     assert [found[i].text for i in range(5)] == [texts[0], "\n \t", "http://x/1", " ", "Les"]
     assert (list(found[1].exact_lines), list(found[3].near_lines)) == ([0, 1], [0])
+
+
+@pytest.mark.parametrize("piece", [3, 512])
+def test_close_strings_against_distances(spark, piece):
+    rng = random.Random(piece)
+    pairs = []
+    for _ in range(150):
+        a = "".join(rng.choice("abé") for _ in range(rng.randrange(0, 40)))
+        b = list(a)
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "x", "y"])
+        pairs.append((a, "".join(b)))
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    got = [r[0] for r in frame.select(line_dedup.close_strings(F.col("a"), F.col("b"), piece)).collect()]
+    assert got == [distance(a, b) <= 1 for a, b in pairs]
+
+
+def test_long_lines(spark):
+    """Lines of 2,000 and of 100,000 characters, one edit apart at any place, or two."""
+    rng = random.Random(4)
+    lines = []
+    for k, length in enumerate([2000] * 4 + [2003, 100_000]):
+        line = "".join(rng.choice("abcdefghij") for _ in range(length))
+        at = [0, length // 4, length // 2, length - 1, rng.randrange(length)][k % 5]
+        for other in (line[:at] + "X" + line[at + 1 :], line[:at] + "Y" + line[at:], line[:at] + line[at + 1 :]):
+            lines.append([line, other, True])
+        lines.append([line, "Z" + line[1 : length // 3] + "Z" + line[length // 3 + 1 :], False])
+    rows, expected = [], set()
+    for n, (line, other, near) in enumerate(lines):
+        mark = f"{n:05d}" * 8  # keeps the pairs apart
+        rows += [(2 * n, mark + line), (2 * n + 1, mark + other)]
+        if near:
+            expected.add(2 * n + 1)
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "near_lines").collect()
+    assert {r.doc_id for r in found if r.near_lines} == expected
