@@ -1,5 +1,6 @@
 """Repetition rules, packing, near duplicates, fingerprints, mixing."""
 
+import hashlib
 import math
 import random
 import re
@@ -135,6 +136,31 @@ def test_packing_edge_cases(spark, vocabulary):
     assert packing.pack(nothing(spark), *vocabulary).count() == 0
 
 
+def test_copies_are_packed_apart(spark, vocabulary):
+    """Rows with one id are never twice in a sequence, and each copy is whole."""
+    texts = [prose(i, 20 + i % 90) for i in range(60)]
+    rows = [(i, texts[i]) for i in range(60) for _ in range(1 + i % 4)] + [(None, "x")] * 5
+    found = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), *vocabulary).collect()
+    starts = Counter((r.sequence_id, r.doc_id) for r in found if r.start == 0 and r.doc_id is not None)
+    assert max(starts.values()) == 1 and sum(starts.values()) == len(rows) - 5
+    tokens = Counter()
+    for r in found:
+        tokens[r.doc_id] += r.length
+    assert all(tokens[i] % (1 + i % 4) == 0 for i in range(60))
+    by_sequence = Counter()
+    for r in found:
+        by_sequence[r.sequence_id] += r.length
+    assert all(n & (n - 1) == 0 and n <= 1024 for n in by_sequence.values())
+
+
+def test_tasks_share_the_curve_by_key_and_id():
+    rng = np.random.default_rng(1)
+    key, order = rng.integers(0, 9, 500), rng.integers(-5, 5, 500)
+    at = np.lexsort((order, key))[::37]
+    got = packing.part_of(key, order, (key[at], order[at]))
+    assert list(got) == [sum((key[b], order[b]) <= (k, o) for b in at) for k, o in zip(key, order)]
+
+
 def test_similar_documents_are_neighbours_on_the_curve():
     a, b = prose(1, 300), prose(2, 300)
     near = a.replace("the", "or", 2)
@@ -189,12 +215,73 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize("block", [4, 256])
-def test_near_duplicates_against_all_pairs(spark, block):
-    texts = near_texts()
-    found = ngram_join.near_duplicates(docs_of(spark, texts), block=block).collect()
-    assert {r.doc_id: (r.class_id, r.n_copies, r.n_links, r.group_id) for r in found} == plain_groups(list(enumerate(texts)))
-    assert max(r.n_links for r in found) > 8
+def hanging_texts():
+    """A chain whose ends are not alike, and two stars that hang together by one member each."""
+    def changed(words, places, mark):
+        own = list(words)
+        for p in places:
+            own[p] = f"{mark}{p}"
+        return own
+
+    base = prose(71, 200).split()
+    texts, step = [base], list(base)
+    for k in range(8):
+        step = changed(step, range(10 + 20 * k, 14 + 20 * k), "c")
+        texts.append(step)
+    star = prose(72, 200).split()
+    one = changed(star, (20, 60, 100), "m")
+    two = changed(one, (140, 180, 10), "m")
+    other = changed(two, (30, 75, 120), "m")
+    texts += [star, one, two, other]
+    texts += [changed(star, (k,), "s") for k in range(40, 60, 2)] + [changed(other, (k,), "o") for k in range(40, 60, 2)]
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("block,leaders", [(4, 0), (4, 2), (256, 4)])
+def test_near_duplicates_against_all_pairs(spark, block, leaders):
+    texts = near_texts() + hanging_texts()
+    random.Random(block).shuffle(texts)
+    found = ngram_join.near_duplicates(docs_of(spark, texts), block=block, leaders=leaders).collect()
+    expected = plain_groups(list(enumerate(texts)))
+    assert {r.doc_id: (r.class_id, r.n_copies, r.group_id) for r in found} == {k: (c, n, g) for k, (c, n, _, g) in expected.items()}
+    links = {r.doc_id: (r.n_links, expected[r.doc_id][2]) for r in found}
+    assert all(n <= most and (n > 0) == (most > 0) for n, most in links.values())
+    if not leaders:
+        # Everything goes through the cells, which count every link between components.
+        assert all(n == most for n, most in links.values())
+    assert max(n for n, _ in links.values()) > 8
+
+
+def test_a_group_takes_a_pair_a_text(spark):
+    """Near copies of one text meet their leader once each; next to nothing is left for the cells."""
+    base = prose(90, 150).split()
+    texts = []
+    for k in range(300):
+        own = list(base)
+        own[k % 150] = f"w{k}"
+        texts.append(" ".join(own))
+    met = []
+    keep = ngram_join._led
+
+    def led(pairs, *rest):
+        met.append(pairs.count())
+        return keep(pairs, *rest)
+
+    ngram_join._led = led
+    try:
+        found = ngram_join.near_duplicates(docs_of(spark, texts), block=16).collect()
+    finally:
+        ngram_join._led = keep
+    assert {r.group_id for r in found} == {0}
+    assert sum(met) < 6 * len(texts)
+
+
+def test_verify_leader_against_sets():
+    rng = np.random.default_rng(3)
+    leader = np.unique(rng.integers(0, 60, 50).astype(np.uint64))
+    others = [np.unique(np.concatenate((leader[rng.random(len(leader)) < 0.9], rng.integers(0, 70, rng.integers(0, 6)).astype(np.uint64)))) for _ in range(80)]
+    alike = lambda s: len(set(leader) & set(s)) >= 0.8 * len(set(leader) | set(s))
+    assert list(ngram_join.verify_leader(leader, others, 0.8)) == [alike(s) for s in others]
 
 
 def test_near_duplicates_edge_cases(spark):
@@ -244,67 +331,106 @@ def test_components_against_union_find(spark):
 
 # ---- fingerprints
 
-def test_syncmers_against_plain_loops(spark):
-    texts = [t for t in near_texts() if t] + [r[1] for r in edge_rows() if r[1] is not None]
-    hashes = {t: [] for t in texts}
-    cut = {t: re.findall(r"[^ \t\n\x0b\f\r]{1,8}", t) for t in texts}
-    tokens = sorted({x for c in cut.values() for x in c})
-    number = {r.t: r.h for r in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
-    pairs = sorted({(number[a], number[b]) for c in cut.values() for a, b in zip(c, c[1:])})
-    pair = {(r.a, r.b): r.h for r in spark.createDataFrame(pairs, "a bigint, b bigint").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
-    rows = fingerprints.fingerprints(docs_of(spark, texts)).collect()
-    for text, r in zip(texts, sorted(rows, key=lambda r: r.doc_id)):
-        h = [number[x] for x in cut[text]]
-        mers = [pair[p] for p in zip(h, h[1:])]
-        expected = [i for i in range(len(h) - 4) if min(mers[i], mers[i + 3]) <= min(mers[i + 1], mers[i + 2])]
-        assert [a["at"] for a in r.anchors] == (expected or [0])
-        hashes[text] = sorted({a["hash"] for a in r.anchors})[: fingerprints.SKETCH]
-        assert list(r.sketch) == hashes[text]
-        assert r.fingerprint == "".join(f"{x & (2**64 - 1):016x}" for x in hashes[text])
-
-
-def test_same_anchors_where_texts_agree(spark):
-    """A change in the middle leaves the anchors on both sides where they were."""
-    one = prose(4, 200).split()
-    two = one[:100] + ["changed", "here"] + one[102:]
-    frame = docs_of(spark, [" ".join(one), " ".join(two)])
-    a, b = (Counter(x["hash"] for x in r.anchors) for r in fingerprints.fingerprints(frame).orderBy("doc_id").collect())
-    assert sum((a & b).values()) > 0.85 * sum(a.values())
-
-
-def test_likeness(spark):
-    frame = spark.createDataFrame([([1, 2, 3], [2, 3, 4]), ([1], [1]), ([1], [2]), (list(range(64)), list(range(32, 96)))], "a array<bigint>, b array<bigint>")
-    got = [r[0] for r in frame.select(fingerprints.likeness(F.col("a"), F.col("b"))).collect()]
-    assert got == [0.5, 1.0, 0.0, 0.5]
-
-
-def test_fingerprints_edge_cases(spark):
-    found = fingerprints.fingerprints(edges(spark)).collect()
-    by_text = {}
-    for row, r in zip(edge_rows(), found):
-        assert by_text.setdefault(row[1] or "", r.fingerprint) == r.fingerprint
-    assert fingerprints.fingerprints(nothing(spark)).count() == 0
-
-
-def test_character_anchors_in_text_without_spaces_and_short_text(spark):
+def hashes_of(spark, texts):
+    """XXH64 of strings and of pairs of numbers, as Spark gives it."""
+    grams = sorted({t[i : i + fingerprints.S] for t in texts for i in range(len(t) - fingerprints.S + 1)})
+    one = {r.g: r.h for r in spark.createDataFrame([(g,) for g in grams] or [("",)], "g string").select("g", F.xxhash64("g").alias("h")).collect()}
+    last = fingerprints.K - fingerprints.S
+    pairs = sorted({(one[t[i : i + fingerprints.S]], one[t[i + last : i + fingerprints.K]]) for t in texts for i in range(len(t) - fingerprints.K + 1)})
+    two = {(r.a, r.b): r.h for r in spark.createDataFrame(pairs or [(0, 0)], "a bigint, b bigint").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    whole = {r.t: r.h for r in spark.createDataFrame([(t,) for t in set(texts)], "t string").select("t", F.xxhash64(F.lit(fingerprints.K), F.col("t")).alias("h")).collect()}
+    return one, two, whole
+
+
+def plain_anchors(text, one, two):
+    k, s = fingerprints.K, fingerprints.S
+    mers = [one[text[i : i + s]] for i in range(len(text) - s + 1)]
+    found = []
+    for i in range(len(text) - k + 1):
+        inside = mers[i : i + k - s + 1]
+        if min(inside[0], inside[-1]) == min(inside):
+            found.append((i, two[inside[0], inside[-1]]))
+    return found
+
+
+def fingerprint_texts():
     chinese = "".join(chr(0x4E00 + random.Random(i).randrange(5000)) for i in range(71))
-    rows = [(1, chinese, "新" + chinese, "其他"), (2, "one two three four", "one two three fo", ""), (3, None, "", "x"), (4, "abc", "abc", "abd")]
-    frame = spark.createDataFrame(rows, "id int, a string, b string, c string")
-    got = {r.id: r for r in fingerprints.compared(frame, ["id"], "a", "b", "c").collect()}
-    assert got[1].near_edited > 0.9 and got[1].near_next == 0
-    assert got[2].near_edited > 0
-    assert [(got[i].near_edited, got[i].near_next) for i in (3, 4)] == [(1, 0), (1, 0)]
-
-
-def test_all_anchors_of_long_texts_are_compared(spark):
+    passage = prose(900, 60)
+    long = [f"{prose(s, 900)} {passage} {prose(s + 1, 900)}" for s in (901, 903)]
+    short = ["", "abc", "one two three four", "x" * 11, "x" * 12, "x" * 13, "ab" * 40, "\U0001F600" * 30 + "é" * 20, chinese, "新" + chinese]
+    return [r[1] or "" for r in edge_rows() if len(r[1] or "") < 5000] + short + long + [t for t in near_texts() if t][:30]
+
+
+@pytest.mark.parametrize("piece", [16, 50, 4096])
+def test_anchors_against_plain_loops(spark, piece):
+    texts = fingerprint_texts()
+    one, two, _ = hashes_of(spark, texts)
+    found = docs_of(spark, texts).select("doc_id", fingerprints.anchors(F.col("text"), piece=piece).alias("a"))
+    rows = found.select("doc_id", fingerprints.places(F.col("a")).alias("at"), "a.hash").orderBy("doc_id").collect()
+    for text, r in zip(texts, rows):
+        assert list(zip(r["at"], r["hash"])) == plain_anchors(text, one, two)
+
+
+def plain_compared(spark, docs):
+    """docs: (id, text) in order; of each row what compared_with_next says but the longest run."""
+    edited = []
+    for k, (_, text) in enumerate(docs):
+        other, half = docs[(k + 1) % len(docs)][1], len(text) // 2
+        edited.append(text[: len(text) - half] + other[:half])
+    one, two, whole = hashes_of(spark, [t for _, t in docs] + edited)
+    sets = lambda t: {h for _, h in plain_anchors(t, one, two)} or {whole[t]}
+    hexed = lambda s: "".join(f"{x & (2**64 - 1):016x}" for x in sorted(s)[: fingerprints.SKETCH])
+    alike = lambda a, b: len(a & b) / len(a | b)
+    out = []
+    for k, (key, text) in enumerate(docs):
+        own, after, changed = sets(text), sets(docs[(k + 1) % len(docs)][1]), sets(edited[k])
+        out.append((key, len(text), hashlib.sha256(edited[k].encode()).hexdigest(), hexed(own), hexed(changed), alike(own, changed), alike(own, after)))
+    return out
+
+
+def test_compared_with_next_against_plain_loops(spark):
+    texts = fingerprint_texts()
+    texts += [t[:n] for t in texts[-2:] for n in (12, 13, 22, 23, 24, 25, 30)]
+    docs = list(enumerate(texts))
+    found = sorted(fingerprints.compared_with_next(docs_of(spark, texts).repartition(3)).collect(), key=lambda r: r.doc_id)
+    assert [tuple(r)[:7] for r in found] == plain_compared(spark, docs)
+    for k, r in enumerate(found):
+        text, after = texts[k], texts[(k + 1) % len(texts)]
+        assert (r.longest_match is None) == (r.near_next == 0 or min(len(text), len(after)) < fingerprints.K)
+        if r.longest_match is not None:
+            assert text[r.match_at : r.match_at + r.longest_match] == after[r.match_next_at : r.match_next_at + r.longest_match]
+            assert r.longest_match >= fingerprints.K
+
+
+def test_the_shared_passage_of_long_texts_is_found(spark):
     passage = prose(900, 60)
     one, two = (f"{prose(s, 2500)} {passage} {prose(s + 1, 2500)}" for s in (901, 903))
-    got = fingerprints.compared(spark.createDataFrame([(one, one[:-1], two)], "a string, b string, c string"), [], "a", "b", "c").first()
-    sets = [set(r.h) for r in docs_of(spark, [one, one[:-1], two]).select("doc_id", fingerprints.char_hashes(F.col("text")).alias("h")).orderBy("doc_id").collect()]
-    exact = [len(sets[0] & s) / len(sets[0] | s) for s in sets[1:]]
-    assert [got.near_edited, got.near_next] == exact
-    assert exact[0] > 0.99 and 0 < exact[1] < 0.1
-    assert len(got.fingerprint) == 16 * fingerprints.SKETCH
+    r = fingerprints.compared_with_next(docs_of(spark, [one, two])).orderBy("doc_id").first()
+    assert r.longest_match >= len(passage) - 2 * (fingerprints.K - fingerprints.S)
+    assert abs(r.match_at - one.index(passage)) <= 10 and 0 < r.near_next < 0.1 and r.near_edited > 0.3
+    runs = docs_of(spark, ["0123456789 abcdefghijklmnopqrstuvwxyz " * 1 + prose(1, 50) + " the end of it all is here", "so " + prose(1, 50) + " 0123456789 abcdefghijklmnopqrstuvwxyz"])
+    made = fingerprints.with_next(runs.withColumn("anchors", fingerprints.anchors(F.col("text"))), "doc_id", F.xxhash64("text"), ["anchors"])
+    found = made.select(fingerprints.shared_runs(F.col("anchors"), F.col("next_anchors")).alias("r")).first().r
+    assert len(found) >= 2 and max(x["length"] for x in found) > 100
+
+
+def test_compared_with_next_edge_cases(spark):
+    rows = sorted(((r[0], r[1] or "") for r in edge_rows()), key=lambda x: (x[0] is not None, x[0] or 0))
+    found = fingerprints.compared_with_next(edges(spark)).collect()
+    assert len(found) == len(rows) and Counter(r.doc_id for r in found) == Counter(r[0] for r in rows)
+    by_text = {}
+    for r in found:
+        for text in {t for k, t in rows if k == r.doc_id}:
+            if r.doc_id is not None:
+                assert by_text.setdefault(text, r.fingerprint) == r.fingerprint and r.n_chars == len(text)
+    assert fingerprints.compared_with_next(nothing(spark)).count() == 0
+    alone = fingerprints.compared_with_next(docs_of(spark, [prose(1, 30)])).first()
+    assert alone.near_next == 1 and alone.longest_match > 50 and alone.match_at == alone.match_next_at
+
+
+def test_anchors_are_made_once_a_row(spark):
+    plan = fingerprints.compared_with_next(docs_of(spark, ["a", "b"]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and plan.count("regexp_extract_all") <= 8
 
 
 @pytest.mark.parametrize("ids", [range(50), [10**18, -5, 3, 7, 8, 2**62, -(2**63) + 1], [1], [*range(0, 4000, 7), *range(10**9, 10**9 + 300)]])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from trafficlens.session import written
 
 QUANTILES = 256
-ROWS = 20_000  # rows of a bucket, about
+ROWS = 4_000  # rows of a bucket, about
 _LEAST = -(1 << 63)
 
 
@@ -27,9 +28,11 @@ def _bucket(key: Column, bounds: list[int], split: int) -> Column:
     return rank.cast("bigint") * split + F.least(F.greatest(share.cast("bigint"), F.lit(0)), F.lit(split - 1))
 
 
-def with_next(rows: DataFrame, id_col: str, tie: Column, columns: list[str], prefix: str = "next_") -> DataFrame:
+def with_next(rows: DataFrame, id_col: str, tie: Column, columns: list[str], prefix: str = "next_",
+              prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds the given columns of the next row in ascending order of (id, tie); after the last comes
-    the first. A null id comes before all others.
+    the first. A null id comes before all others. Columns that ``prepare`` adds to the rows may be among
+    them: they are made once for each row, after rows have been dealt out, and so do not travel.
 
     Rows are dealt into buckets by approximate quantiles of the id, each cut evenly; every bucket
     also gets the first row of the one after it. Only that row travels twice.
@@ -51,6 +54,10 @@ def with_next(rows: DataFrame, id_col: str, tie: Column, columns: list[str], pre
             F.struct(F.col("_own").alias("bucket"), F.lit(0).alias("guest")), F.struct(F.col("_before").alias("bucket"), F.when(F.col("_wraps"), 2).otherwise(1).alias("guest")))))
     spread = dealt.select(*(rows[c] for c in rows.columns), "_key", tie.alias("_tie"), F.explode("_places").alias("_at"))
     spread = spread.select(*rows.columns, "_key", "_tie", F.col("_at.bucket").alias("_bucket"), F.col("_at.guest").alias("_guest"))
-    order = Window.partitionBy("_bucket").orderBy(F.col("_guest") == 2, "_key", "_tie")
+    spread = spread.withColumn("_last", F.col("_guest") == 2)
+    if prepare is not None:
+        # The window below takes over this partitioning and order.
+        spread = prepare(spread.repartition("_bucket").sortWithinPartitions("_bucket", "_last", "_key", "_tie"))
+    order = Window.partitionBy("_bucket").orderBy("_last", "_key", "_tie")
     led = {f"{prefix}{c}": F.lead(c).over(order) for c in columns}
-    return spread.withColumns(led).where("_guest = 0").drop("_key", "_tie", "_bucket", "_guest")
+    return spread.withColumns(led).where("_guest = 0").drop("_key", "_tie", "_bucket", "_guest", "_last")

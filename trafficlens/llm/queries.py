@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.llm import (
-    collocations, fingerprints, line_dedup, mixing, neighbours, ngram_join, packing, pii, quality_classifier, quality_rules, simhash, toxicity,
+    collocations, fingerprints, line_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, simhash, toxicity,
     vector_codes, warc,
 )
 from trafficlens.session import scratch_path, written
@@ -43,14 +43,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = neighbours.with_next(docs, "doc_id", F.xxhash64("text"), ["text"])
-    n = F.char_length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"), "next_text")
-    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
-    return fingerprints.compared(rows, ["doc_id", "n_chars", "edited_sha256"], "text", "edited", "next_text")
+    return fingerprints.compared_with_next(documents(spark, sf_dir))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
