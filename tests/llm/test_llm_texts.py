@@ -252,6 +252,16 @@ def test_near_duplicates_against_all_pairs(spark, block, leaders):
     assert max(n for n, _ in links.values()) > 8
 
 
+def test_near_duplicates_count_every_link(spark):
+    """All links of a text count, those inside a group that needs none of them, too; bands lose none."""
+    base = prose(91, 120).split()
+    texts = [" ".join([*base[:k], f"w{k}", *base[k + 1 :]]) for k in range(0, 120, 4)] + near_texts()
+    expected = plain_groups(list(enumerate(texts)))
+    for recall in (ngram_join.RECALL, 0.01):
+        found = ngram_join.near_duplicates(docs_of(spark, texts), block=8, recall=recall).collect()
+        assert {r.doc_id: (r.class_id, r.n_copies, r.n_links, r.group_id) for r in found} == expected
+
+
 def test_a_group_takes_a_pair_a_text(spark):
     """Near copies of one text meet their leader once each; next to nothing is left for the cells."""
     base = prose(90, 150).split()

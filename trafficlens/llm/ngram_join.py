@@ -1,14 +1,19 @@
-"""Near-duplicate documents: a Jaccard self-join on word n-grams by MinHash banding.
+"""Near-duplicate documents: a Jaccard self-join on word n-grams by MinHash banding, made exact.
 
 Texts with equal n-gram sets form a class, and only one text of each takes part. MinHash bands bring
-together texts that may be similar, in buckets. First every text of a bucket is verified against the
-bucket's leader, its smallest text; what links is in one component with it. Of those in other
-components the smallest leads next, and is verified against all of the bucket that is not in its
-component, and so on for some rounds: each costs a pair a text, so that a group of any size is
-linear. Pairs that share a bucket and still lie in different components are then verified
-in cells: texts are cut into blocks of bounded size, two blocks meet in one task, and only
-numbers of links and local roots leave it. So no link between two components is lost. Links inside a
-component beyond those found on the way are not looked for.
+together texts that may be similar, in buckets, and every text of a bucket is verified against the
+bucket's leader, its smallest text; what links is in one component with it. Each costs a pair a text,
+so that a group of any size comes together in linear work.
+
+Bands may miss a pair. So each text also has a prefix: its n-grams in one order for all texts, so many
+of the first that two texts within the threshold have one of these in common. Rare n-grams come first
+in that order. Pairs that share a prefix n-gram and still lie in different components are verified in
+cells: the texts of a bucket of bounded size are one, those of larger ones are cut into blocks, and
+two blocks meet in one. Before n-grams are compared, bits that bound the difference of two sets from
+below rule out nearly all that are not near. So no link is lost.
+
+A link never leaves its component. At the end all pairs inside each component are compared, in cells
+again, for the number of links of each text; only numbers leave a cell.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.llm.arrays import Texts, mix, small_batches, texts_of, window_hashes
@@ -30,7 +35,10 @@ THRESHOLD = 0.8
 RECALL = 0.9999  # chance that a pair just at the threshold shares a band
 MAX_HASHES = 192
 BLOCK = 256  # texts of a block, about
-LEADERS = 4  # rounds in which a bucket's leader meets the others
+LEADERS = 4  # rounds, at most, in which the leader of a band's bucket meets the others
+SAMPLE = 20_000  # texts, about, that tell which n-grams are common; only the work depends on it
+COMMON = 1 << 18  # common n-grams known to each task, at most
+BLOCK_GRAMS = 1 << 20  # n-grams of a block whose texts are all compared, about
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -79,37 +87,104 @@ def band_hashes(made: np.ndarray, ends: np.ndarray, bands: int, rows: int) -> np
     return out
 
 
-def sketches(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Rows (id, set_key, size, bands): digest and size of the n-gram set, and the band hashes."""
+def common_grams(texts: DataFrame, n: int, sample: int = SAMPLE, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that several of some texts have, sorted, and in how many (255 at most)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in texts_of(batch.column(1)):
-                made, ends = shingles(texts, n)
+            for part in texts_of(batch.column(1)):
+                made, ends = shingles(part, n)
+                sets = [np.unique(made[b:e]) for b, e in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["gram"])
+
+    share = sample / max(texts.count(), 1)
+    some = texts.sample(share, 1) if share < 1 else texts
+    counts = some.mapInArrow(run, "gram bigint").groupBy("gram").agg(F.least(F.count("*"), F.lit(255)).cast("int").alias("n"))
+    counts = written(counts.where("n > 1"), "ngram-common")
+    least, known = 256, 0
+    for row in sorted(counts.groupBy("n").agg(F.count("*").alias("grams")).collect(), reverse=True):
+        known += row.grams
+        if known > most and least < 256:
+            break
+        least = row.n
+    found = counts.where(F.col("n") >= least).limit(most).toArrow()
+    grams, number = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy().astype(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], number[order]
+
+
+def prefix(own: np.ndarray, threshold: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first n-grams of a set, rare ones first: two sets within the threshold share one of theirs.
+
+    Of a set of s n-grams the other has threshold * s at least, so not all of so many can be missing.
+    """
+    order = own >> np.uint64(8)
+    grams, number = common
+    if len(grams):
+        place = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        order = order | (np.where(grams[place] == own, number[place], np.uint64(0)) << np.uint64(56))
+    many = min(len(own) - int(np.ceil(threshold * len(own) - 1e-6)) + 1, len(own))
+    return np.unique(np.partition(order, many - 1)[:many])
+
+
+def parity_bits(own: np.ndarray) -> bytes:
+    """Whether an odd number of the n-grams fall on each of 1 to 2 places an n-gram, a power of two."""
+    places = max(64, 1 << (len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1, bitorder="little").tobytes()
+
+
+def _folded(bits: bytes, size: int) -> int:
+    """The bits as of fewer places, ``size`` bytes, a number."""
+    value, length = int.from_bytes(bits, "little"), len(bits)
+    while length > size:
+        length //= 2
+        value = (value >> (8 * length)) ^ (value & ((1 << (8 * length)) - 1))
+    return value
+
+
+def may_be_near(bits: bytes, size: int, other_bits: bytes, other_size: int, threshold: float) -> bool:
+    """False only if two sets are below the threshold: bits that differ are n-grams that differ."""
+    if min(size, other_size) < threshold * max(size, other_size) - 1e-6:
+        return False
+    length = min(len(bits), len(other_bits))
+    apart = (_folded(bits, length) ^ _folded(other_bits, length)).bit_count()
+    return apart <= (1 - threshold) / (1 + threshold) * (size + other_size) + 1e-6
+
+
+def _set_key(own: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+
+
+def sketches(texts: DataFrame, bands: int, rows: int, n: int, threshold: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Rows (id, set_key, size, bands, prefix, bits): digest and size of the n-gram set, the band
+    hashes, the prefix and the parity bits."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in texts_of(batch.column(1)):
+                made, ends = shingles(part, n)
                 hashed = iter(band_hashes(made, ends, bands, rows).astype(np.int64))
-                keys, sizes, lists = [], [], []
-                for begin, end in zip(ends[:-1], ends[1:]):
-                    own = np.unique(made[begin:end])
-                    sizes.append(len(own))
-                    keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                    lists.append(next(hashed) if len(own) else None)
+                own = [np.unique(made[b:e]) for b, e in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(texts.first, len(texts)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))],
-                    names=["id", "set_key", "size", "bands"])
+                    [batch.column(0).slice(part.first, len(part)), pa.array(map(_set_key, own), pa.binary()), pa.array(map(len, own), pa.int64()),
+                     pa.array([next(hashed) if len(s) else None for s in own], pa.list_(pa.int64())),
+                     pa.array([prefix(s, threshold, common).view(np.int64) if len(s) else None for s in own], pa.list_(pa.int64())),
+                     pa.array([parity_bits(s) if len(s) else None for s in own], pa.binary())],
+                    names=["id", "set_key", "size", "bands", "prefix", "bits"])
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "id bigint, set_key binary, size bigint, bands array<bigint>")
+    return texts.mapInArrow(run, "id bigint, set_key binary, size bigint, bands array<bigint>, prefix array<bigint>, bits binary")
 
 
 def _full_sets(texts: DataFrame, n: int) -> DataFrame:
-    """Rows (id, grams): the sorted n-gram set of each text as 64-bit integers."""
+    """Rows (id, set_key, grams): the sorted n-gram set of each text as 64-bit integers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in texts_of(batch.column(1)):
                 made, ends = shingles(part, n)
-                sets = [np.unique(made[b:e]).tobytes() for b, e in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), pa.array(sets, pa.binary())], names=["id", "grams"])
+                sets = [np.unique(made[b:e]) for b, e in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(part.first, len(part)), pa.array(map(_set_key, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["id", "set_key", "grams"])
 
-    return texts.mapInArrow(run, "id bigint, grams binary")
+    return texts.mapInArrow(run, "id bigint, set_key binary, grams binary")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -148,45 +223,110 @@ def verify_leader(leader: np.ndarray, others: list[np.ndarray], threshold: float
     return both >= threshold * (len(leader) + size - both)
 
 
-def verify_cell(ids: np.ndarray, side: np.ndarray, component: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int, int]]:
-    """(id, links, smallest id it hangs together with) of the texts with links in one cell.
-
-    Pairs that share a band and lie in different components are verified: across, where two blocks
-    meet, and all where a block meets itself (all sides 0).
-    """
-    m = len(ids)
-    joined = np.zeros((m, m), bool)
-    for band in bands.T:
-        order = np.argsort(band, kind="stable")
-        cuts = np.flatnonzero(np.diff(band[order])) + 1
-        for members in np.split(order, cuts):
-            if len(members) > 1:
-                joined[np.ix_(members, members)] = True
-    joined &= (side[:, None] != side[None, :]) if side.any() else True
-    joined &= component[:, None] != component[None, :]
-    active = np.flatnonzero(joined.any(1))
-    if not len(active):
-        return []
-    joined = joined[np.ix_(active, active)]
-    own = [sets[k] for k in active]
-    size = np.array([len(s) for s in own])
-    if joined.sum() // 2 <= 4 * len(active):
-        linked = np.zeros_like(joined)
-        for a, b in zip(*np.nonzero(np.triu(joined))):
-            both = len(np.intersect1d(own[a], own[b], assume_unique=True))
+def linked_pairs(sets: list[np.ndarray], asked: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs asked for, a symmetric matrix, are within the threshold."""
+    size = np.array([len(s) for s in sets])
+    if asked.sum() // 2 <= 4 * len(sets):
+        linked = np.zeros_like(asked)
+        for a, b in zip(*np.nonzero(np.triu(asked))):
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
             linked[a, b] = linked[b, a] = both >= threshold * (size[a] + size[b] - both)
-    else:
-        both = shared_counts(own)
-        linked = joined & (both >= threshold * (size[:, None] + size[None, :] - both))
-    label = ids[active].copy()
+        return linked
+    both = shared_counts(sets)
+    return asked & (both >= threshold * (size[:, None] + size[None, :] - both))
+
+
+def _met(side: np.ndarray) -> np.ndarray:
+    """The pairs of a cell: across, where two blocks meet, and all where a block meets itself (all sides 0)."""
+    return side[:, None] != side[None, :] if side.any() else np.ones((len(side), len(side)), bool)
+
+
+def candidates(ids: np.ndarray, side: np.ndarray, component: np.ndarray, bits: list[bytes], size: np.ndarray, threshold: float) -> set[int]:
+    """Places of the texts that may be near one of another component in a cell."""
+    rows, found = {}, set()
+    asked = _met(side) & (component[:, None] != component[None, :])
+    near = (np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]) - 1e-6)
+    bound = (1 - threshold) / (1 + threshold) * (size[:, None] + size[None, :]) + 1e-6
+    length = np.array([len(b) for b in bits])
+
+    def words_of(k: int, size: int) -> np.ndarray:
+        if (k, size) not in rows:
+            rows[k, size] = np.frombuffer(_folded(bits[k], size).to_bytes(size, "little"), np.uint64)
+        return rows[k, size]
+
+    for a in range(len(ids)):
+        others = np.flatnonzero(asked[a] & near[a])
+        others = others[others > a]
+        for short in np.unique(np.minimum(length[others], length[a])):
+            some = others[np.minimum(length[others], length[a]) == short]
+            apart = np.bitwise_count(np.stack([words_of(k, short) for k in some]) ^ words_of(a, short)).sum(1)
+            some = some[apart <= bound[a, some]]
+            if len(some):
+                found |= {a, *some.tolist()}
+    return found
+
+
+def verify_cell(ids: np.ndarray, side: np.ndarray, component: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """(id, smallest id it hangs together with) of the texts that have links to other components in one cell."""
+    linked = linked_pairs(sets, _met(side) & (component[:, None] != component[None, :]), threshold)
+    label = ids.copy()
     while True:
-        least = np.where(linked, label[None, :], np.iinfo(np.int64).max).min(1)
+        least = np.where(linked, label[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)
         lower = np.minimum(label, least)
         if (lower == label).all():
             break
         label = lower
-    links = linked.sum(1)
-    return [(int(i), int(n), int(r)) for i, n, r in zip(ids[active], links, label) if n]
+    return [(int(i), int(r)) for i, r, any_link in zip(ids, label, linked.any(1)) if any_link]
+
+
+def count_cell(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """(id, links) of the texts of a cell to other ids in it; sets of one id count together."""
+    linked = linked_pairs(sets, _met(side) & (ids[:, None] != ids[None, :]), threshold)
+    first, at = np.unique(ids, return_inverse=True)
+    if len(first) < len(ids):
+        a, b = np.nonzero(linked)
+        linked = np.zeros((len(first), len(first)), bool)
+        linked[at[a], at[b]] = True
+    else:
+        linked = linked[np.argsort(ids)]
+    return [(int(i), int(n)) for i, n in zip(first, linked.sum(1)) if n]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key, of batches sorted by it."""
+    kept, last = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if kept and keys[a] != last:
+                yield pa.Table.from_batches(kept)
+                kept = []
+            kept.append(batch.slice(a, b - a))
+            last = keys[a]
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _each_cell(rows: DataFrame, found, columns: tuple[str, ...]) -> DataFrame:
+    """Rows of longs that ``found`` makes of the rows of each cell."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, "cell"):
+            made = list(zip(*found(table)))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], names=list(columns))
+
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, ", ".join(f"{c} bigint" for c in columns))
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _grams(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
 
 
 def _led(pairs: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -201,30 +341,33 @@ def _led(pairs: DataFrame, sets: DataFrame, threshold: float, block: int) -> Dat
     def verify(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         leader = table.column("leader")[0].as_py()
-        grams = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
+        grams = _grams(table)
         others = np.flatnonzero(ids != leader)
-        own = np.flatnonzero(ids == leader)
-        near = others[verify_leader(grams[own[0]], [grams[k] for k in others], threshold)] if len(others) and len(own) else others[:0]
-        return pa.table({"a": pa.array(np.full(len(near), leader, np.int64)), "b": pa.array(ids[near])})
+        linked = np.zeros(len(others), bool)
+        for own in np.flatnonzero(ids == leader):
+            if len(others):
+                linked |= verify_leader(grams[own], [grams[k] for k in others], threshold)
+        near = np.unique(ids[others[linked]])
+        return pa.table({"a": pa.array(np.full(len(near), leader, np.int64)), "b": pa.array(near)})
 
     met = members.union(leaders).join(sets.select("id", "grams"), "id")
     return met.groupBy("leader", "part").applyInArrow(verify, "a bigint, b bigint")
 
 
 def _cells(rows: DataFrame, block: int) -> DataFrame:
-    """Rows (id, component, cell of two blocks, side) of texts in buckets (band, hash) of several components."""
-    leaders = rows.groupBy("band", "hash").agg(F.min("id").alias("leader"))
-    homes = rows.join(leaders, ["band", "hash"]).groupBy("id", "component").agg(F.min("leader").alias("home"))
+    """Rows (id, component, cell, side) of texts in buckets of several components; two blocks meet in a cell."""
+    leaders = rows.groupBy("hash").agg(F.min("id").alias("leader"))
+    homes = rows.join(leaders, "hash").groupBy("id", "component").agg(F.min("leader").alias("home"))
     # A component of many texts has blocks of its own, which need not meet each other.
     large = homes.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > block).select("component", F.col("component").alias("only"))
     homes = written(homes.join(large, "component", "left").select("id", "component", "home", "only"), "ngram-homes")
     parts = homes.groupBy("home", "only").agg(F.ceil(F.count("*") / block).cast("bigint").alias("parts")).select(F.col("home").alias("h"), F.col("only").alias("o"), "parts")
     dealt = homes.join(parts, (F.col("home") == F.col("h")) & F.col("only").eqNullSafe(F.col("o")))
     blocks = written(dealt.select("id", "component", F.struct("home", "only", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).alias("block")), "ngram-blocks")
-    met = rows.select("band", "hash", "id").join(blocks, "id").select("band", "hash", "block").distinct()
-    other = met.select("band", "hash", F.col("block").alias("next"))
+    met = rows.select("hash", "id").join(blocks, "id").select("hash", "block").distinct()
+    other = met.select("hash", F.col("block").alias("next"))
     apart = F.col("block.only").isNull() | F.col("next.only").isNull() | (F.col("block.only") != F.col("next.only"))
-    pairs = met.join(other, ["band", "hash"]).where((F.col("block") < F.col("next")) & apart).select("block", "next").distinct()
+    pairs = met.join(other, "hash").where((F.col("block") < F.col("next")) & apart).select("block", "next").distinct()
     alone = blocks.where("block.only is null").select("block").distinct().select("block", F.col("block").alias("next"))
     cells = written(pairs.union(alone), "ngram-cells")
     sides = cells.select("block", "next", F.col("block").alias("of"), F.lit(0).alias("side")).union(
@@ -232,7 +375,8 @@ def _cells(rows: DataFrame, block: int) -> DataFrame:
     key = lambda b: F.xxhash64(f"{b}.home", f"{b}.only", f"{b}.part")
     mine = blocks.select("id", "component", key("block").alias("key"), F.col("block").alias("own"))
     spread = sides.select(key("of").alias("key"), "of", "block", "next", "side")
-    return mine.join(spread, "key").where(F.col("own").eqNullSafe(F.col("of"))).select("id", "component", "block", "next", "side")
+    return mine.join(spread, "key").where(F.col("own").eqNullSafe(F.col("of"))).select(
+        "id", "component", F.xxhash64("block", "next").alias("cell"), "side")
 
 
 def _joined_components(old: DataFrame, links: DataFrame) -> DataFrame:
@@ -245,10 +389,41 @@ def _joined_components(old: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _several(shared: DataFrame, components: DataFrame) -> DataFrame:
-    """Rows (band, hash, id, component) of the buckets whose texts lie in several components."""
-    rows = shared.join(components, "id")
-    mixed = rows.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "hash")
-    return rows.join(mixed, ["band", "hash"])
+    """Rows (hash, n, id, component) of the buckets whose n texts lie in several components."""
+    rows = shared.join(components, "id", "left").select("hash", "id", F.coalesce("component", "id").alias("component"))
+    mixed = rows.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("hash", "n")
+    return rows.join(mixed, "hash").select("hash", "n", "id", "component")
+
+
+def _shared(each: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, id, leader) of the buckets of several ids; the leader is the smallest."""
+    bucket = Window.partitionBy(*keys)
+    rows = each.select(*keys, "id", F.min("id").over(bucket).alias("leader"), F.max("id").over(bucket).alias("last"))
+    return rows.where("leader < last").drop("last").distinct()
+
+
+def _possible(pairs: DataFrame, bits: DataFrame, threshold: float) -> DataFrame:
+    """Rows (leader, id): the pairs that the parity bits do not rule out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = [may_be_near(*row, threshold) for row in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))]
+            yield batch.select(["leader", "id"]).filter(pa.array(left, pa.bool_()))
+
+    theirs = bits.select(F.col("id").alias("leader"), F.col("bits").alias("leader_bits"), F.col("size").alias("leader_size"))
+    both = pairs.join(bits, "id").join(theirs, "leader").select("leader", "id", "bits", "size", "leader_bits", "leader_size")
+    return both.mapInArrow(run, "leader bigint, id bigint").distinct()
+
+
+def _link_cells(components: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Rows (id, grams, cell, side): all pairs of texts of one component meet in one cell."""
+    sized = components.join(sets.select("id", "grams"), "id")
+    parts = sized.groupBy("component").agg(F.ceil(F.greatest(
+        F.count("*") / block, F.sum(F.octet_length("grams")) / (8 * BLOCK_GRAMS))).cast("int").alias("parts"))
+    dealt = written(components.join(parts, "component").select("id", "component", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")), "ngram-parts")
+    spread = dealt.select("id", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cell = F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other"))
+    cells = spread.select("id", cell.alias("cell"), (F.col("part") > F.col("other")).cast("int").alias("side"))
+    return cells.join(sets.select("id", "grams"), "id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
@@ -256,71 +431,97 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, class_id, n_copies, n_links, group_id.
 
     ``class_id`` is the smallest id among documents with the same n-gram set, ``n_copies`` how many
-    rows that class has, ``group_id`` the smallest id that links lead to. ``n_links`` is the number of
-    other classes verified to be within the threshold: all those that hold groups together, and at
-    least one for each class that has any; not all pairs of a group, which grow with its square. Word n-grams are of runs between white space.
+    rows that class has, ``group_id`` the smallest id that links lead to, ``n_links`` the number of
+    other classes within the threshold. Word n-grams are of runs between white space.
 
     A null, empty or blank text, and a row without an id, has no n-grams: it is a class and group of
     its own with 0 links. A text with fewer than n words has one n-gram of all of them. Rows that
     share an id count as one document in groups. Ties go to the smallest id. An empty table gives no
-    rows; other columns are not read. Pairs below the threshold are never linked; a pair just at it
-    is missed with a chance of 1 - ``recall``, less the more alike the two are.
+    rows; other columns are not read. Pairs below the threshold are never linked, all others are.
+    ``recall`` is the share of pairs just at the threshold that bands find; prefixes find the rest.
+    The work for ``n_links`` grows with the square of a component, the rows that meet for it with that
+    square over twice ``block``; all else grows with the texts.
     """
     small_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
-    all_rows = written(sketches(docs, bands, rows, id_col, text_col, n), "ngram-sketches")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    all_rows = written(sketches(texts, bands, rows, n, threshold, common_grams(texts, n)), "ngram-sketches")
     real = all_rows.where("set_key is not null and id is not null")
     classes = written(real.groupBy("set_key").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies")), "ngram-classes")
-    member = real.select("id", "set_key", "bands").join(classes, "set_key")
-    reps = written(member.where("id = class_id").select("id", "bands").dropDuplicates(["id"]), "ngram-texts")
-    each = reps.select("id", F.posexplode("bands").alias("band", "hash"))
-    buckets = written(each.groupBy("band", "hash").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"), "ngram-buckets")
-    shared = written(each.join(buckets, ["band", "hash"]), "ngram-shared")
-    wanted = shared.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = written(_full_sets(texts.join(wanted, "id"), n).dropDuplicates(["id"]).join(reps, "id"), "ngram-sets")
+    copies = written(real.select("id", "set_key").join(classes, "set_key").where("id <> class_id").select("id", "set_key").distinct(), "ngram-copies")
+    reps = real.join(copies, ["id", "set_key"], "left_anti")
+    shared = written(_shared(reps.select("id", F.explode("prefix").alias("hash")), ["hash"]), "ngram-shared")
+    wanted = written(shared.select("id").distinct(), "ngram-wanted")
+    bits = written(reps.join(wanted, "id", "left_semi").select("id", "set_key", "size", "bits").dropDuplicates(["id", "set_key"]), "ngram-bits")
 
-    components = written(wanted.select("id", F.col("id").alias("component")), "ngram-components")
-    several, led = shared.select("band", "hash", "id", F.col("id").alias("component")), []
-    for k in range(leaders):
-        if k:
-            # The smallest text outside the component that the bucket's smallest text is in.
-            first = several.groupBy("band", "hash").agg(F.min(F.struct("id", "component")).alias("first"))
-            others = several.join(first, ["band", "hash"]).where("component <> first.component")
-            first = others.groupBy("band", "hash").agg(F.min(F.struct("id", "component")).alias("first"))
-            met = several.join(first, ["band", "hash"]).where("component <> first.component").select(F.col("first.id").alias("leader"), "id")
-        else:
-            met = shared.where("leader <> id").select("leader", "id")
-        pairs = written(met.distinct(), "ngram-pairs")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        own = _full_sets(texts.join(ids, "id", "left_semi"), n).where("set_key is not null")
+        return written(own.join(copies, ["id", "set_key"], "left_anti").dropDuplicates(["id", "set_key"]), "ngram-sets")
+
+    components, seen = wanted.select("id", F.col("id").alias("component")), []
+
+    def lead(pairs: DataFrame) -> bool:
+        nonlocal components
+        pairs = written(_possible(pairs, bits, threshold), "ngram-pairs")
         if pairs.isEmpty():
-            break
+            return False
+        sets = sets_of(written(pairs.select(F.explode(F.array("leader", "id")).alias("id")).distinct(), "ngram-ids"))
         found = written(_led(pairs, sets, threshold, block), "ngram-led")
-        led.append(found)
         components = written(_joined_components(components, found), "ngram-components")
-        # A bucket that lies in one component needs no more.
-        several = written(_several(several.select("band", "hash", "id"), components), "ngram-several")
-    cells = written(_cells(several, block), "ngram-meetings")
+        seen.append(sets)
+        return not found.isEmpty()
 
-    def verify(table: pa.Table) -> pa.Table:
-        column = lambda k: table.column(k).to_numpy()
-        lists = table.column("bands").combine_chunks()
-        matrix = lists.flatten().to_numpy().reshape(len(lists), -1)
-        grams = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-        found = verify_cell(column("id"), column("side"), column("component"), matrix, grams, threshold)
-        columns = list(zip(*found)) or [(), (), ()]
-        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("id", "links", "root"), columns)})
-
-    rest = written(cells.join(sets, "id").groupBy("block", "next").applyInArrow(verify, "id bigint, links bigint, root bigint"), "ngram-links")
-    components = _joined_components(components, rest.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    links = rest.select("id", "links")
-    if led:
-        every = led[0]
-        for more in led[1:]:
-            every = every.union(more)
-        every = every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.union(every.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("bigint").alias("links")))
-    counted = links.groupBy("id").agg(F.sum("links").alias("n_links"))
-    found = written(components.join(counted, "id", "left").select(F.col("id").alias("class_id"), "n_links", F.col("component").alias("group_id")), "ngram-groups")
+    if leaders > 0:
+        each = reps.join(wanted, "id", "left_semi").select("id", F.posexplode("bands").alias("band", "hash"))
+        groups = written(_shared(each, ["band", "hash"]), "ngram-buckets")
+    for k in range(leaders):
+        if k:
+            # The leader's component is done with: the smallest text outside it leads next.
+            of = components.select("id", F.col("component").alias("own"))
+            known = groups.join(of, "id").join(of.toDF("leader", "led"), "leader").where("own <> led").select("band", "hash", "id")
+            groups = written(known.withColumn("leader", F.min("id").over(Window.partitionBy("band", "hash"))), "ngram-buckets")
+        if not lead(groups.where("leader < id").select("leader", "id").distinct()):
+            break
+    several = written(_several(shared.select("hash", "id"), components), "ngram-several")
+    large = several.where(F.col("n") > block)
+    cells = several.where(F.col("n") <= block).select("id", "component", F.col("hash").alias("cell"), F.lit(0).alias("side"))
+    if not large.isEmpty():
+        cells = cells.union(written(_cells(large, block), "ngram-meetings"))
+
+    def possible(table: pa.Table) -> list[tuple[int, int]]:
+        ids, cell = _numbers(table, "id"), _numbers(table, "cell")
+        found = candidates(ids, _numbers(table, "side"), _numbers(table, "component"), table.column("bits").to_pylist(), _numbers(table, "size"), threshold)
+        return [(int(ids[k]), int(cell[k])) for k in found]
+
+    def verify(table: pa.Table) -> list[tuple[int, int]]:
+        return verify_cell(_numbers(table, "id"), _numbers(table, "side"), _numbers(table, "component"), _grams(table), threshold)
+
+    left = written(_each_cell(cells.join(bits.drop("set_key"), "id"), possible, ("id", "cell")).distinct(), "ngram-left")
+    if not left.isEmpty():
+        sets = sets_of(written(left.select("id").distinct(), "ngram-ids"))
+        met = cells.join(left, ["id", "cell"], "left_semi").join(sets, "id")
+        found = written(_each_cell(met, verify, ("a", "b")), "ngram-links")
+        components = written(_joined_components(components, found), "ngram-components")
+        seen.append(sets)
+
+    # Every link lies in a component, and whoever has one has been verified above.
+    grouped = components.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    grouped = written(components.join(grouped, "component").select("id", "component"), "ngram-grouped")
+
+    def count(table: pa.Table) -> list[tuple[int, int]]:
+        return count_cell(_numbers(table, "id"), _numbers(table, "side"), _grams(table), threshold)
+
+    found = grouped.select(F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("component").alias("group_id")).limit(0)
+    if seen:
+        sets = seen[0]
+        for more in seen[1:]:
+            sets = sets.union(more)
+        if len(seen) > 1:
+            sets = sets.dropDuplicates(["id", "set_key"])
+        links = _each_cell(_link_cells(grouped, sets, 2 * block), count, ("id", "links"))
+        counted = links.groupBy("id").agg(F.sum("links").alias("n_links"))
+        found = grouped.join(counted, "id").select(F.col("id").alias("class_id"), "n_links", F.col("component").alias("group_id"))
+    found = written(found, "ngram-groups")
 
     known = real.select("id", "set_key").join(classes, "set_key").join(found, "class_id", "left").select(
         "id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
