@@ -185,3 +185,9 @@ def test_long_lines(spark):
             expected.add(2 * n + 1)
     found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "near_lines").collect()
     assert {r.doc_id for r in found if r.near_lines} == expected
+
+
+def test_words_are_runs_between_white_space(spark):
+    lines = ["", " ", "\t", "a  b", " a\tb c ", "x\x0by\r", "é ü 漢 ", "a b c", "one"]
+    found = spark.createDataFrame([(line,) for line in lines], "line string").select("line", line_dedup._words(F.col("line")).alias("words")).collect()
+    assert {r.line: r.words for r in found} == {line: re.findall(r"[^\x20\x09-\x0D]+", line) for line in lines}
