@@ -286,6 +286,69 @@ def test_a_group_takes_a_pair_a_text(spark):
     assert sum(met) < 6 * len(texts)
 
 
+def test_a_pair_is_verified_in_one_cell(spark, monkeypatch):
+    """Texts that share many n-grams and still are no near copies: their sets travel once, not for each n-gram."""
+    texts = []
+    for k in range(12):
+        words = prose(300 + k, 200).split()
+        # 5 words apart change 25 n-grams of 196: as near as 171 / 221.
+        texts += [" ".join(words), " ".join(f"w{p}" if p % 40 == 20 else w for p, w in enumerate(words))]
+    rows, keep = {}, ngram_join.written
+
+    def written(df, name):
+        rows.setdefault(name, []).append(found := keep(df, name))
+        return found
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    # As in a large table, whose sample tells nothing of n-grams that two texts have.
+    monkeypatch.setattr(ngram_join, "common_grams", lambda texts, n: (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
+    found = ngram_join.near_duplicates(docs_of(spark, texts), leaders=0).collect()
+    assert {r.doc_id: (r.class_id, r.n_copies, r.n_links, r.group_id) for r in found} == plain_groups(list(enumerate(texts)))
+    left = rows["ngram-left"][0]
+    assert left.select("id").distinct().count() == left.count() > 2
+
+
+def test_texts_of_other_sizes_leave_a_bucket(spark, monkeypatch):
+    """A shared n-gram alone brings no texts together whose sizes rule out that they are near."""
+    passage = "one passage that all of these texts share"
+    texts = [passage + " " + prose(400 + k, 30 * 2**k) for k in range(5)]
+    shared, keep = [], ngram_join.written
+
+    def written(df, name):
+        found = keep(df, name)
+        if name == "ngram-shared":
+            shared.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    monkeypatch.setattr(ngram_join, "common_grams", lambda texts, n: (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
+    found = ngram_join.near_duplicates(docs_of(spark, texts)).collect()
+    assert all(r.group_id == r.doc_id and r.n_links == 0 for r in found)
+    assert shared == [0]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_near_sets_meet_at_the_first_gram_they_share(threshold):
+    rng = np.random.default_rng(4)
+    pool = ngram_join.mix(np.arange(1, 400, dtype=np.uint64))
+    common = np.sort(pool[:60]), rng.integers(2, 256, 60).astype(np.uint64)
+    sets = []
+    for size in (1, 2, 3, 4, 5, 9, 10, 11, 40, 41, 49, 50, 51, 200):
+        base = rng.choice(pool, size, replace=False)
+        for lost in sorted({0, 1, size // 10, size // 5, size // 2}):
+            added = rng.choice(pool, rng.integers(0, 1 + size // 5), replace=False)
+            sets.append(np.unique(np.concatenate((base[min(lost, size - 1) :], added))))
+    codes = [{int(c) >> 24: (int(c) >> 12 & 4095, int(c) & 4095) for c in ngram_join.prefix(s, threshold, common)} for s in sets]
+    near = 0
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            both = len(np.intersect1d(x, y))
+            if both >= threshold * (len(x) + len(y) - both):
+                near += 1
+                assert any(codes[a][g][0] <= codes[b][g][1] and codes[b][g][0] <= codes[a][g][1] for g in codes[a].keys() & codes[b].keys())
+    assert near > 0
+
+
 def test_verify_leader_against_sets():
     rng = np.random.default_rng(3)
     leader = np.unique(rng.integers(0, 60, 50).astype(np.uint64))

@@ -7,10 +7,12 @@ so that a group of any size comes together in linear work.
 
 Bands may miss a pair. So each text also has a prefix: its n-grams in one order for all texts, so many
 of the first that two texts within the threshold have one of these in common. Rare n-grams come first
-in that order. Pairs that share a prefix n-gram and still lie in different components are verified in
-cells: the texts of a bucket of bounded size are one, those of larger ones are cut into blocks, and
-two blocks meet in one. Before n-grams are compared, bits that bound the difference of two sets from
-below rule out nearly all that are not near. So no link is lost.
+in that order. The place of the first n-gram that two texts share bounds how many they share at all, so
+it tells of what size the other can be: texts that find none of such a size in a bucket leave it. Pairs
+that share a prefix n-gram and still lie in different components meet in cells: the texts of a bucket of
+bounded size are one, those of larger ones are cut into blocks, and two blocks meet in one. There, bits
+that bound the difference of two sets from below rule out nearly all that are not near. For the few
+pairs left n-grams are compared, each pair's in one of its cells. So no link is lost.
 
 A link never leaves its component. At the end all pairs inside each component are compared, in cells
 again, for the number of links of each text; only numbers leave a cell.
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +42,7 @@ LEADERS = 4  # rounds, at most, in which the leader of a band's bucket meets the
 SAMPLE = 20_000  # texts, about, that tell which n-grams are common; only the work depends on it
 COMMON = 1 << 18  # common n-grams known to each task, at most
 BLOCK_GRAMS = 1 << 20  # n-grams of a block whose texts are all compared, about
+CLASSES, MOST = 100, (1 << 12) - 1  # classes of sizes for each doubling, and the last one
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -112,10 +116,17 @@ def common_grams(texts: DataFrame, n: int, sample: int = SAMPLE, most: int = COM
     return grams[order], number[order]
 
 
+def size_class(size: np.ndarray) -> np.ndarray:
+    """Sizes on a logarithmic scale, cut down to whole numbers of 12 bits."""
+    return np.minimum(np.floor(CLASSES * np.log2(np.maximum(size, 1))), MOST).astype(np.uint64)
+
+
 def prefix(own: np.ndarray, threshold: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The first n-grams of a set, rare ones first: two sets within the threshold share one of theirs.
 
     Of a set of s n-grams the other has threshold * s at least, so not all of so many can be missing.
+    Each is 40 bits of the n-gram, the class of the set's size, and that of the largest set which can be
+    within the threshold if this is the first n-gram they share: those before it are not in the other.
     """
     order = own >> np.uint64(8)
     grams, number = common
@@ -123,7 +134,12 @@ def prefix(own: np.ndarray, threshold: float, common: tuple[np.ndarray, np.ndarr
         place = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
         order = order | (np.where(grams[place] == own, number[place], np.uint64(0)) << np.uint64(56))
     many = min(len(own) - int(np.ceil(threshold * len(own) - 1e-6)) + 1, len(own))
-    return np.unique(np.partition(order, many - 1)[:many])
+    first = np.argpartition(order, many - 1)[:many]
+    first = first[np.argsort(order[first])]
+    before = np.searchsorted(order[first], order[first])
+    largest = (len(own) - before) * ((1 + threshold) / threshold) - len(own)
+    classes = (size_class(np.array(len(own))) << np.uint64(12)) | size_class(largest * (1 + 1e-9) + 1e-6)
+    return (own[first] >> np.uint64(24) << np.uint64(24)) | classes
 
 
 def parity_bits(own: np.ndarray) -> bytes:
@@ -241,34 +257,36 @@ def _met(side: np.ndarray) -> np.ndarray:
     return side[:, None] != side[None, :] if side.any() else np.ones((len(side), len(side)), bool)
 
 
-def candidates(ids: np.ndarray, side: np.ndarray, component: np.ndarray, bits: list[bytes], size: np.ndarray, threshold: float) -> set[int]:
-    """Places of the texts that may be near one of another component in a cell."""
-    rows, found = {}, set()
+def candidates(side: np.ndarray, component: np.ndarray, bits: pa.ChunkedArray, size: np.ndarray, most: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Places of the pairs of texts of different components that may be near in a cell."""
+    rows, found = {}, []
     asked = _met(side) & (component[:, None] != component[None, :])
     near = (np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]) - 1e-6)
-    bound = (1 - threshold) / (1 + threshold) * (size[:, None] + size[None, :]) + 1e-6
-    length = np.array([len(b) for b in bits])
+    fits = size_class(size)[None, :] <= most[:, None].astype(np.uint64)
+    asked &= near & fits & fits.T
+    if not asked.any():
+        return found
+    length = pc.binary_length(bits).to_numpy()
 
     def words_of(k: int, size: int) -> np.ndarray:
         if (k, size) not in rows:
-            rows[k, size] = np.frombuffer(_folded(bits[k], size).to_bytes(size, "little"), np.uint64)
+            rows[k, size] = np.frombuffer(_folded(bits[k].as_py(), size).to_bytes(size, "little"), np.uint64)
         return rows[k, size]
 
-    for a in range(len(ids)):
-        others = np.flatnonzero(asked[a] & near[a])
-        others = others[others > a]
-        for short in np.unique(np.minimum(length[others], length[a])):
-            some = others[np.minimum(length[others], length[a]) == short]
-            apart = np.bitwise_count(np.stack([words_of(k, short) for k in some]) ^ words_of(a, short)).sum(1)
-            some = some[apart <= bound[a, some]]
-            if len(some):
-                found |= {a, *some.tolist()}
+    for a in np.flatnonzero(asked.any(1)):
+        others = np.flatnonzero(asked[a, a + 1 :]) + a + 1
+        bound = (1 - threshold) / (1 + threshold) * (size[a] + size[others]) + 1e-6
+        shorter = np.minimum(length[others], length[a])
+        for short in np.unique(shorter):
+            some = shorter == short
+            apart = np.bitwise_count(np.stack([words_of(int(k), int(short)) for k in others[some]]) ^ words_of(int(a), int(short))).sum(1)
+            found += [(a, k) for k in others[some][apart <= bound[some]]]
     return found
 
 
-def verify_cell(ids: np.ndarray, side: np.ndarray, component: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+def verify_cell(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     """(id, smallest id it hangs together with) of the texts that have links to other components in one cell."""
-    linked = linked_pairs(sets, _met(side) & (component[:, None] != component[None, :]), threshold)
+    linked = linked_pairs(sets, component[:, None] != component[None, :], threshold)
     label = ids.copy()
     while True:
         least = np.where(linked, label[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)
@@ -355,7 +373,10 @@ def _led(pairs: DataFrame, sets: DataFrame, threshold: float, block: int) -> Dat
 
 
 def _cells(rows: DataFrame, block: int) -> DataFrame:
-    """Rows (id, component, cell, side) of texts in buckets of several components; two blocks meet in a cell."""
+    """Rows (id, component, cell, side, most) of texts in buckets of several components; two blocks meet in a cell.
+
+    Texts meet there for many n-grams at once, so that none bounds the sizes.
+    """
     leaders = rows.groupBy("hash").agg(F.min("id").alias("leader"))
     homes = rows.join(leaders, "hash").groupBy("id", "component").agg(F.min("leader").alias("home"))
     # A component of many texts has blocks of its own, which need not meet each other.
@@ -376,7 +397,7 @@ def _cells(rows: DataFrame, block: int) -> DataFrame:
     mine = blocks.select("id", "component", key("block").alias("key"), F.col("block").alias("own"))
     spread = sides.select(key("of").alias("key"), "of", "block", "next", "side")
     return mine.join(spread, "key").where(F.col("own").eqNullSafe(F.col("of"))).select(
-        "id", "component", F.xxhash64("block", "next").alias("cell"), "side")
+        "id", "component", F.xxhash64("block", "next").alias("cell"), "side", F.lit(MOST).cast("bigint").alias("most"))
 
 
 def _joined_components(old: DataFrame, links: DataFrame) -> DataFrame:
@@ -389,10 +410,10 @@ def _joined_components(old: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _several(shared: DataFrame, components: DataFrame) -> DataFrame:
-    """Rows (hash, n, id, component) of the buckets whose n texts lie in several components."""
-    rows = shared.join(components, "id", "left").select("hash", "id", F.coalesce("component", "id").alias("component"))
+    """Rows (hash, n, id, component, most) of the buckets whose n texts lie in several components."""
+    rows = shared.join(components, "id", "left").select("hash", "id", F.coalesce("component", "id").alias("component"), "most")
     mixed = rows.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("hash", "n")
-    return rows.join(mixed, "hash").select("hash", "n", "id", "component")
+    return rows.join(mixed, "hash").select("hash", "n", "id", "component", "most")
 
 
 def _shared(each: DataFrame, keys: list[str]) -> DataFrame:
@@ -402,6 +423,22 @@ def _shared(each: DataFrame, keys: list[str]) -> DataFrame:
     return rows.where("leader < last").drop("last").distinct()
 
 
+def _shared_prefixes(each: DataFrame, threshold: float) -> DataFrame:
+    """Rows (hash, id, most) of the texts that share a prefix n-gram with one of a size that their places in
+    it allow; the class of the largest such size is ``most``."""
+    gap = int(np.ceil(-CLASSES * np.log2(threshold)))
+    # Rows are dealt before they are taken apart: so only two numbers of each travel.
+    rows = each.repartition(F.shiftright("prefix", 24)).select(
+        F.shiftright("prefix", 24).alias("hash"), "id", F.shiftright("prefix", 12).bitwiseAND(MOST).alias("size"), F.col("prefix").bitwiseAND(MOST).alias("most"))
+    by_size = Window.partitionBy("hash").orderBy("size")
+    # Whoever has a larger one in reach has the next one, a smaller one is no further than the last.
+    rows = rows.select(
+        "hash", "id", "size", "most", F.lead("size").over(by_size).alias("next"), F.lag("size").over(by_size).alias("last"),
+        F.max("most").over(by_size.rowsBetween(Window.unboundedPreceding, -1)).alias("reach"))
+    met = rows.where((F.col("next") <= F.col("most")) | ((F.col("last") >= F.col("size") - gap) & (F.col("reach") >= F.col("size"))))
+    return met.groupBy("hash", "id").agg(F.max("most").alias("most"))
+
+
 def _possible(pairs: DataFrame, bits: DataFrame, threshold: float) -> DataFrame:
     """Rows (leader, id): the pairs that the parity bits do not rule out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,11 +451,10 @@ def _possible(pairs: DataFrame, bits: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "leader bigint, id bigint").distinct()
 
 
-def _link_cells(components: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+def _link_cells(components: DataFrame, sizes: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     """Rows (id, grams, cell, side): all pairs of texts of one component meet in one cell."""
-    sized = components.join(sets.select("id", "grams"), "id")
-    parts = sized.groupBy("component").agg(F.ceil(F.greatest(
-        F.count("*") / block, F.sum(F.octet_length("grams")) / (8 * BLOCK_GRAMS))).cast("int").alias("parts"))
+    parts = components.join(sizes, "id").groupBy("component").agg(F.ceil(F.greatest(
+        F.count("*") / block, F.sum("size") / BLOCK_GRAMS)).cast("int").alias("parts"))
     dealt = written(components.join(parts, "component").select("id", "component", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")), "ngram-parts")
     spread = dealt.select("id", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     cell = F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other"))
@@ -450,9 +486,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(real.groupBy("set_key").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies")), "ngram-classes")
     copies = written(real.select("id", "set_key").join(classes, "set_key").where("id <> class_id").select("id", "set_key").distinct(), "ngram-copies")
     reps = real.join(copies, ["id", "set_key"], "left_anti")
-    shared = written(_shared(reps.select("id", F.explode("prefix").alias("hash")), ["hash"]), "ngram-shared")
+    shared = written(_shared_prefixes(reps.select("id", F.explode("prefix").alias("prefix")), threshold), "ngram-shared")
     wanted = written(shared.select("id").distinct(), "ngram-wanted")
-    bits = written(reps.join(wanted, "id", "left_semi").select("id", "set_key", "size", "bits").dropDuplicates(["id", "set_key"]), "ngram-bits")
+    some = real.join(wanted, "id", "left_semi").join(copies, ["id", "set_key"], "left_anti")
+    bits = written(some.select("id", "set_key", "size", "bits").dropDuplicates(["id", "set_key"]), "ngram-bits")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         own = _full_sets(texts.join(ids, "id", "left_semi"), n).where("set_key is not null")
@@ -472,7 +509,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return not found.isEmpty()
 
     if leaders > 0:
-        each = reps.join(wanted, "id", "left_semi").select("id", F.posexplode("bands").alias("band", "hash"))
+        each = some.select("id", F.posexplode("bands").alias("band", "hash"))
         groups = written(_shared(each, ["band", "hash"]), "ngram-buckets")
     for k in range(leaders):
         if k:
@@ -482,24 +519,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             groups = written(known.withColumn("leader", F.min("id").over(Window.partitionBy("band", "hash"))), "ngram-buckets")
         if not lead(groups.where("leader < id").select("leader", "id").distinct()):
             break
-    several = written(_several(shared.select("hash", "id"), components), "ngram-several")
+    several = written(_several(shared, components), "ngram-several")
     large = several.where(F.col("n") > block)
-    cells = several.where(F.col("n") <= block).select("id", "component", F.col("hash").alias("cell"), F.lit(0).alias("side"))
+    cells = several.where(F.col("n") <= block).select("id", "component", F.col("hash").alias("cell"), F.lit(0).alias("side"), "most")
     if not large.isEmpty():
         cells = cells.union(written(_cells(large, block), "ngram-meetings"))
 
-    def possible(table: pa.Table) -> list[tuple[int, int]]:
+    def possible(table: pa.Table) -> list[tuple[int, int, int]]:
         ids, cell = _numbers(table, "id"), _numbers(table, "cell")
-        found = candidates(ids, _numbers(table, "side"), _numbers(table, "component"), table.column("bits").to_pylist(), _numbers(table, "size"), threshold)
-        return [(int(ids[k]), int(cell[k])) for k in found]
+        found = candidates(_numbers(table, "side"), _numbers(table, "component"), table.column("bits"), _numbers(table, "size"), _numbers(table, "most"), threshold)
+        return [(int(min(ids[a], ids[b])), int(max(ids[a], ids[b])), int(cell[a])) for a, b in found]
 
     def verify(table: pa.Table) -> list[tuple[int, int]]:
-        return verify_cell(_numbers(table, "id"), _numbers(table, "side"), _numbers(table, "component"), _grams(table), threshold)
+        return verify_cell(_numbers(table, "id"), _numbers(table, "component"), _grams(table), threshold)
 
-    left = written(_each_cell(cells.join(bits.drop("set_key"), "id"), possible, ("id", "cell")).distinct(), "ngram-left")
+    # A pair may meet in many cells; its sets travel to one of them.
+    left = _each_cell(cells.join(bits.drop("set_key"), "id"), possible, ("a", "b", "cell")).groupBy("a", "b").agg(F.min("cell").alias("cell"))
+    left = written(left.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct(), "ngram-left")
     if not left.isEmpty():
         sets = sets_of(written(left.select("id").distinct(), "ngram-ids"))
-        met = cells.join(left, ["id", "cell"], "left_semi").join(sets, "id")
+        met = left.join(components, "id").join(sets, "id")
         found = written(_each_cell(met, verify, ("a", "b")), "ngram-links")
         components = written(_joined_components(components, found), "ngram-components")
         seen.append(sets)
@@ -518,7 +557,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sets = sets.union(more)
         if len(seen) > 1:
             sets = sets.dropDuplicates(["id", "set_key"])
-        links = _each_cell(_link_cells(grouped, sets, 2 * block), count, ("id", "links"))
+        links = _each_cell(_link_cells(grouped, bits.select("id", "size"), sets, 2 * block), count, ("id", "links"))
         counted = links.groupBy("id").agg(F.sum("links").alias("n_links"))
         found = grouped.join(counted, "id").select(F.col("id").alias("class_id"), "n_links", F.col("component").alias("group_id"))
     found = written(found, "ngram-groups")
