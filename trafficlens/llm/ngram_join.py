@@ -39,6 +39,7 @@ RECALL = 0.9999  # chance that a pair just at the threshold shares a band
 MAX_HASHES = 192
 BLOCK = 256  # texts of a block, about
 LEADERS = 4  # rounds, at most, in which the leader of a band's bucket meets the others
+FEW = 8  # the last round is one that finds at most so small a part of the links of the first
 SAMPLE = 20_000  # texts, about, that tell which n-grams are common; only the work depends on it
 COMMON = 1 << 18  # common n-grams known to each task, at most
 BLOCK_GRAMS = 1 << 20  # n-grams of a block whose texts are all compared, about
@@ -495,18 +496,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = _full_sets(texts.join(ids, "id", "left_semi"), n).where("set_key is not null")
         return written(own.join(copies, ["id", "set_key"], "left_anti").dropDuplicates(["id", "set_key"]), "ngram-sets")
 
-    components, seen = wanted.select("id", F.col("id").alias("component")), []
+    components, seen, met = wanted.select("id", F.col("id").alias("component")), [], []
 
-    def lead(pairs: DataFrame) -> bool:
+    def lead(pairs: DataFrame) -> int:
         nonlocal components
         pairs = written(_possible(pairs, bits, threshold), "ngram-pairs")
         if pairs.isEmpty():
-            return False
+            return 0
         sets = sets_of(written(pairs.select(F.explode(F.array("leader", "id")).alias("id")).distinct(), "ngram-ids"))
         found = written(_led(pairs, sets, threshold, block), "ngram-led")
         components = written(_joined_components(components, found), "ngram-components")
         seen.append(sets)
-        return not found.isEmpty()
+        return found.count()
 
     if leaders > 0:
         each = some.select("id", F.posexplode("bands").alias("band", "hash"))
@@ -517,7 +518,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             of = components.select("id", F.col("component").alias("own"))
             known = groups.join(of, "id").join(of.toDF("leader", "led"), "leader").where("own <> led").select("band", "hash", "id")
             groups = written(known.withColumn("leader", F.min("id").over(Window.partitionBy("band", "hash"))), "ngram-buckets")
-        if not lead(groups.where("leader < id").select("leader", "id").distinct()):
+        met.append(lead(groups.where("leader < id").select("leader", "id").distinct()))
+        # Cells find the few links left at less cost than another round.
+        if FEW * met[-1] <= met[0]:
             break
     several = written(_several(shared, components), "ngram-several")
     large = several.where(F.col("n") > block)
@@ -538,8 +541,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = written(left.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct(), "ngram-left")
     if not left.isEmpty():
         sets = sets_of(written(left.select("id").distinct(), "ngram-ids"))
-        met = left.join(components, "id").join(sets, "id")
-        found = written(_each_cell(met, verify, ("a", "b")), "ngram-links")
+        found = written(_each_cell(left.join(components, "id").join(sets, "id"), verify, ("a", "b")), "ngram-links")
         components = written(_joined_components(components, found), "ngram-components")
         seen.append(sets)
 
